@@ -17,20 +17,21 @@ from __future__ import annotations
 import functools
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm import bpe, common
 
 SCALE_BITS = 20
 SCALE = 1 << SCALE_BITS
-LANES = 512
-BLOCK = 1 << 17
+LANES = 2048
+BLOCK = 1 << 18
 LOW = np.uint64(1 << 31)
 _S, _W, _MASK = np.uint64(SCALE_BITS), np.uint64(32), np.uint64(SCALE - 1)
 
@@ -98,51 +99,54 @@ def _words(path: str):
     from tokenizers import Tokenizer
 
     library, vocab, of = Tokenizer.from_file(path), bpe.vocabulary(path), {}
+    kind = id_kind(path)
 
     def learn(words: set[str]) -> dict:
         new = [w for w in words if w not in of]
-        if len(of) + len(new) > bpe.CACHE:
-            of.clear()
-            new = list(words)
+        known = {w: of[w] for w in words if w in of} if len(of) > bpe.CACHE else of
         for a in range(0, len(new), 4096):
             for w, e in zip(new[a : a + 4096], library.encode_batch_fast(new[a : a + 4096], add_special_tokens=False)):
-                of[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return of
+                known[w] = array(kind, e.ids).tobytes()
+        return known
 
     return vocab, learn
 
 
+def id_kind(path: str) -> str:
+    """Array type code of ids on their way: 16 bits where the vocabulary fits."""
+    return "H" if bpe.vocabulary(path).size <= 1 << 16 else "I"
+
+
 def tokenize(docs: DataFrame, path: str, end: int = 0) -> DataFrame:
-    """(doc_id, ids): little-endian unsigned 32-bit ids of each text and the end id."""
+    """(doc_id, ids): ids of each text and the end id, as id_kind() packs them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, learn = _words(path)
-        tail = np.array([end], dtype="<u4").tobytes()
+        tail = array(id_kind(path), [end]).tobytes()
         for batch in batches:
             ids = []
-            for part in bpe.slices([t or "" for t in batch.column(1).to_pylist()]):
+            for part in bpe.slices([t or "" for t in batch.column(1).to_pylist()], 2_000_000):
                 cut_up = [vocab.pieces(t) for t in part]
                 words: set[str] = set()
                 for ps in cut_up:
                     words.update(ps)
                 of = learn(words)
-                ids += [b"".join([of[p] for p in ps]) + tail for ps in cut_up]
+                ids += [b"".join(map(of.__getitem__, ps)) + tail for ps in cut_up]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary")
 
 
-def count_ids(tokens: DataFrame) -> DataFrame:
+def count_ids(tokens: DataFrame, kind: str) -> DataFrame:
     """(token, n) over all documents: summed per task before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1, dtype=np.int64)
         for batch in batches:
-            for x in batch.column(0).to_pylist():
-                got = np.bincount(np.frombuffer(x, dtype="<u4"))
-                if len(got) > len(total):
-                    total = np.pad(total, (0, len(got) - len(total)))
-                total[: len(got)] += got
+            got = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=kind))
+            if len(got) > len(total):
+                total = np.pad(total, (0, len(got) - len(total)))
+            total[: len(got)] += got
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["token", "n"])
 
@@ -158,7 +162,8 @@ def write_store(docs: DataFrame, vocab_path: str, path: str, end: int = 0, block
     raw = f"{path}/raw"
     tokenize(docs, vocab_path, end).write.parquet(raw)  # else the range sampling would tokenize twice
     tokens = spark.read.schema("doc_id long, ids binary").parquet(raw)
-    rows = count_ids(tokens).collect()  # a row per vocabulary entry at most
+    kind = id_kind(vocab_path)
+    rows = count_ids(tokens, kind).collect()  # a row per vocabulary entry at most
     size = max([r["token"] for r in rows], default=0) + 1
     counts = np.zeros(size, dtype=np.int64)
     for r in rows:
@@ -170,9 +175,10 @@ def write_store(docs: DataFrame, vocab_path: str, path: str, end: int = 0, block
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, shard, done, number = Coder(np.frombuffer(table, dtype=np.int32).astype(np.int64)), TaskContext.get().partitionId(), 0, 0
         doc_ids, lengths, held, size = [], [], [], 0
+        width = array(kind).itemsize
 
         def flush() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(held), dtype="<u4")
+            ids = np.frombuffer(b"".join(held), dtype=kind)
             payload = coder.encode(ids)
             cols = [[shard], [number], [done], [len(ids)], [list(doc_ids)], [list(lengths)], [payload], [zlib.crc32(payload)]]
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.int64()]
@@ -181,9 +187,9 @@ def write_store(docs: DataFrame, vocab_path: str, path: str, end: int = 0, block
         for batch in batches:
             for doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 doc_ids.append(doc_id)
-                lengths.append(len(ids) // 4)
+                lengths.append(len(ids) // width)
                 held.append(ids)
-                size += len(ids) // 4
+                size += lengths[-1]
                 if size >= block:
                     yield flush()
                     done, number = done + size, number + 1
@@ -208,9 +214,9 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids binary) of every document, decoded block by block."""
     table = read_freq(spark, path).astype(np.int32).tobytes()
     blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
-    # One row per shard, that is per writing task.
-    totals = blocks.groupBy("shard").agg(F.sum("n_tokens").alias("total"))
-    before = totals.select("shard", (F.sum("total").over(Window.orderBy("shard")) - F.col("total")).alias("shard_start"))
+    before, ids_so_far = {}, 0
+    for shard, total in blocks.groupBy("shard").agg(F.sum("n_tokens")).orderBy("shard").collect():  # a row per writing task
+        before[shard], ids_so_far = ids_so_far, ids_so_far + total
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(np.frombuffer(table, dtype=np.int32).astype(np.int64))
@@ -221,11 +227,11 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
                 ids = coder.decode(r["payload"], r["n_tokens"]).astype("<u4")
                 lengths = np.array(r["doc_tokens"], dtype=np.int64)
                 ends = np.cumsum(lengths)
-                starts = r["shard_start"] + r["first_token"] + ends - lengths
+                starts = before[r["shard"]] + r["first_token"] + ends - lengths
                 docs = [ids[e - n : e].tobytes() for e, n in zip(ends.tolist(), lengths.tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(r["doc_ids"], pa.int64()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(docs, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
 
-    return blocks.join(before, "shard").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return blocks.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def digest(docs: DataFrame, vocab_path: str) -> DataFrame:
