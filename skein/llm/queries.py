@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import bpe, token_store
+from skein.llm import bpe, fingerprint, line_dedup, token_store
 from skein.llm.common import table
 
 #: The vocabulary's folder; nothing of it is kept in this repository.
@@ -22,6 +22,10 @@ def vocab_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "lines_removed")
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), vocab_path())
 
@@ -30,9 +34,17 @@ def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.digest(table(spark, sf_dir, "documents"), vocab_path())
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_line_dedup": op3_line_dedup,
     "op5_bpe": op5_bpe,
     "op6_token_store": op6_token_store,
+    "op10_fingerprints": op10_fingerprints,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_line_dedup": line_dedup.ORACLE.format(docs="documents"),
+}
