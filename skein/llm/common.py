@@ -40,3 +40,8 @@ def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def let(name: str, value: str, body: str) -> str:
+    """SQL: evaluate value once and use it by name in body, also inside lambdas."""
+    return f"transform(array({value}), {name} -> {body})[0]"

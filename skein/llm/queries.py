@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import bpe, fingerprint, line_dedup, token_store
+from skein.llm import bpe, decontaminate, fingerprint, line_dedup, token_store
 from skein.llm.common import table
 
 #: The vocabulary's folder; nothing of it is kept in this repository.
@@ -26,6 +26,11 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "lines_removed")
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.selectExpr("doc_id", "item_id", "cast(same as bigint) AS same")
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), vocab_path())
 
@@ -40,11 +45,13 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": op3_line_dedup,
+    "op4_decontaminate": op4_decontaminate,
     "op5_bpe": op5_bpe,
     "op6_token_store": op6_token_store,
     "op10_fingerprints": op10_fingerprints,
 }
 
 ORACLES: dict[str, str] = {
-    "op3_line_dedup": line_dedup.ORACLE.format(docs="documents"),
+    "op3_line_dedup": line_dedup.ORACLE.replace("{docs}", "documents"),
+    "op4_decontaminate": decontaminate.ORACLE.replace("{docs}", "documents"),
 }
