@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -33,9 +34,16 @@ def cut(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, what)
     df.write.parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # finished stages' shuffle files go when nothing refers to them
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Rows per Arrow batch for Python workers: texts can be long, and each worker holds a few batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import bpe, decontaminate, fingerprint, line_dedup, token_store
+from skein.llm import bpe, decontaminate, fingerprint, line_dedup, substring_dedup, token_store
 from skein.llm.common import table
 
 #: The vocabulary's folder; nothing of it is kept in this repository.
@@ -22,6 +22,10 @@ def vocab_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "lines_removed")
 
@@ -44,6 +48,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op3_line_dedup": op3_line_dedup,
     "op4_decontaminate": op4_decontaminate,
     "op5_bpe": op5_bpe,
