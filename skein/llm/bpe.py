@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 _PLAIN = re.compile("[\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-՗ -⁯₠-₿ぁ-ヿ一-鿿가-힣\U0001f300-\U0001f64f]*")
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 #: Words kept per Python worker.
-CACHE = 400_000
+CACHE = 250_000
 
 
 def byte_alphabet() -> list[str]:

@@ -238,6 +238,7 @@ def digest(docs: DataFrame, vocab_path: str) -> DataFrame:
     """Write a store, read it back, and return a digest row per document."""
     spark = docs.sparkSession
     path = common.shared_path(spark, "tokens")
+    common.small_batches(spark)
     write_store(docs, vocab_path, path)
     # crc32 takes the bytes as they are: little-endian unsigned 32-bit ids
     return read_store(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
