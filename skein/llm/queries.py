@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import bpe, decontaminate, fingerprint, line_dedup, maxent_lm, ngram_join, substring_dedup, token_store, toxicity
+from skein.llm import bpe, decontaminate, fingerprint, html_extract, line_dedup, maxent_lm, ngram_join, substring_dedup, token_store, toxicity
 from skein.llm.common import table
 
 #: The vocabulary's folder; nothing of it is kept in this repository.
@@ -52,6 +52,10 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.report(table(spark, sf_dir, "documents")).drop("th")
 
 
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxent_lm.score(table(spark, sf_dir, "documents"))
 
@@ -68,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_bpe": op5_bpe,
     "op6_token_store": op6_token_store,
     "op7_ngram_join": op7_ngram_join,
+    "op8_html_extract": op8_html_extract,
     "op9_maxent_lm": op9_maxent_lm,
     "op10_fingerprints": op10_fingerprints,
 }
