@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.llm import common
+from skein.llm.common import let
 
 PIECE = 96
 GROUP = 8
@@ -25,11 +26,8 @@ GROUP = 8
 CELLS = (21, 63, 255, 1023)
 #: Cells of the fingerprint itself.
 PRINT_CELLS = 12
-
-
-def let(name: str, value: str, body: str) -> str:
-    """Evaluate value once and use it by name in body."""
-    return f"transform(array({value}), {name} -> {body})[0]"
+#: Stands for a null doc_id inside the plan.
+NO_ID = "-9223372036854775808L"
 
 
 def digests(text: str) -> str:
@@ -101,7 +99,7 @@ def order_links(docs: DataFrame) -> DataFrame:
 
     Ids are dealt by range; neighbours across two ranges come from a table with a row per range.
     """
-    ids = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("n_chars").alias("n"))
+    ids = docs.groupBy("doc_id").agg(F.max("n_chars").alias("n"))
     ids = common.cut(ids.repartitionByRange("doc_id").withColumn("part", F.spark_partition_id()), "order")
     # One row per partition of the line above.
     edge = ids.groupBy("part").agg(F.max(F.struct("doc_id", "n")).alias("last"))
@@ -115,13 +113,15 @@ def order_links(docs: DataFrame) -> DataFrame:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprint every text and its edited text: the last half replaced by the start of the next document."""
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("n_chars", F.char_length("text"))
-    links = order_links(base)
+    # A key without nulls: no join filters its side, and both take the texts from the same exchange.
+    base = docs.select(F.expr(f"coalesce(cast(doc_id as bigint), {NO_ID})").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    links = order_links(base.where(f"doc_id != {NO_ID}").select("doc_id", F.char_length("text").alias("n_chars")))
     lent = base.join(links, "doc_id").select(
         F.col("prev_id").alias("doc_id"), F.expr("left(text, cast(prev_n div 2 as int))").alias("lead"), F.expr(digests("text")).alias("next_digests")
     )
     lent = lent.groupBy("doc_id").agg(F.min(F.struct("lead", "next_digests")).alias("lent"))
-    edited = base.join(lent, "doc_id", "left").select(
+    edited = base.join(lent, "doc_id", "left").select("doc_id", "text", "lent", F.char_length("text").alias("n_chars"))
+    edited = edited.select(
         "doc_id",
         F.col("n_chars").cast("long"),
         F.expr(digests("text")).alias("own"),
@@ -130,7 +130,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     )
     ready = edited.select("doc_id", "n_chars", "own", "next", F.expr(digests("edited")).alias("changed"), F.sha2("edited", 256).alias("edited_sha256"))
     return ready.select(
-        "doc_id",
+        F.expr(f"nullif(doc_id, {NO_ID})").alias("doc_id"),
         "n_chars",
         "edited_sha256",
         F.expr(printed("own")).alias("fingerprint"),
