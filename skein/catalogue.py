@@ -1,20 +1,271 @@
-"""Named queries over the sample tables, each with the SQL that another engine can check it by."""
+"""Named queries over the sample tables, each with the SQL that another engine can check it by.
+
+Sums are rounded and integers widened on both sides, so that the order of additions and the engines' integer types don't show.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from skein.functions import scalar, timeops
+from skein.operators import changes, recursion, space
+from skein.plans.engine import Engine
+from skein.sources.files import parquet
+from skein.streaming import changelog
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+KEYS = {"region": ["r_regionkey"], "nation": ["n_nationkey"], "customer": ["c_custkey"], "supplier": ["s_suppkey"], "part": ["p_partkey"], "orders": ["o_orderkey"], "lineitem": [], "events": ["event_id"]}
+
+
+def engine(spark: SparkSession, sf_dir: str) -> Engine:
+    e = Engine(spark)
+    for name, key in KEYS.items():
+        e.register(name, parquet(spark, sf_dir, name), key)
+    return e
+
+
+def sql(name: str, dialect: str, oracle: str | None = None) -> None:
+    """A query in the dialect; without an oracle the dialect's text is plain SQL for both engines."""
+    QUERIES[name] = lambda spark, sf_dir: engine(spark, sf_dir).sql(dialect)
+    ORACLES[name] = oracle or dialect
+
+
+def frame(name: str, oracle: str | None = None) -> Callable:
+    def keep(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[name] = f
+        if oracle:
+            ORACLES[name] = oracle
+        return f
+
+    return keep
+
+
+FLAGSHIP = """SELECT o.o_orderpriority AS o_orderpriority, COUNT(*) AS n, SUM(l.l_quantity) AS q
+  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
+  WHERE l.l_shipdate >= CAST('1995-01-01' AS DATETIME) GROUP BY o.o_orderpriority HAVING COUNT(*) > 10 ORDER BY n DESC, o_orderpriority LIMIT 10"""
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    for name in ("lineitem", "orders"):
-        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
-    return spark.sql(
-        """SELECT o.o_orderpriority, COUNT(*) AS n, SUM(l.l_quantity) AS q
-           FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
-           WHERE l.l_shipdate >= TIMESTAMP '1995-01-01' GROUP BY 1 HAVING COUNT(*) > 10 ORDER BY n DESC, 1 LIMIT 10"""
-    )
+    return engine(spark, sf_dir).sql(FLAGSHIP)
+
+
+sql("flagship", FLAGSHIP, FLAGSHIP.replace("DATETIME", "TIMESTAMP"))
+
+# scans and predicates
+sql("scan_filter", "SELECT l_orderkey, l_linenumber, l_quantity FROM SEQSCAN lineitem WHERE l_quantity > 45 AND l_discount <= 0.02", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity > 45 AND l_discount <= 0.02")
+sql("index_hint", "SELECT p_partkey FROM part INDEXED BY pk WHERE p_size == 10", "SELECT p_partkey FROM part WHERE p_size = 10")
+sql("multi_or", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' OR o_totalprice > 300000.0 OR o_orderkey IN (1, 2, 3)")
+sql("in_loop", "SELECT c_custkey, c_name FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_nationkey IN (1, 5, 9)")
+sql("empty_in", "SELECT COUNT(*) AS n FROM nation WHERE n_nationkey IN ()", "SELECT COUNT(*) AS n FROM nation WHERE false")
+sql("not_empty_in", "SELECT COUNT(*) AS n FROM nation WHERE n_nationkey NOT IN ()", "SELECT COUNT(*) AS n FROM nation")
+sql("between", "SELECT o_orderkey FROM orders WHERE o_totalprice BETWEEN 1000.0 AND 20000.0 AND o_orderkey NOT BETWEEN 10 AND 5000")
+sql("is_null", "SELECT event_id FROM events WHERE props IS NOT NULL AND value IS NOT NULL AND event_id < 500")
+sql("three_valued", "SELECT COUNT(*) AS n FROM nation WHERE (n_nationkey > 3 AND UNKNOWN) OR NOT (n_regionkey = 1 OR n_nationkey = 0)", "SELECT COUNT(*) AS n FROM nation WHERE (n_nationkey > 3 AND NULL) OR NOT (n_regionkey = 1 OR n_nationkey = 0)")
+sql("row_compare", "SELECT n_nationkey FROM nation WHERE (n_regionkey, n_nationkey) = (1, 1) OR (n_regionkey, n_nationkey) > (3, 10)")
+sql("like_escape", "SELECT p_partkey FROM part WHERE p_name LIKE '%a_e%' AND p_name NOT LIKE '%!%%' ESCAPE '!'")
+sql("regexp", "SELECT p_partkey FROM part WHERE p_name REGEXP '^[a-m].*e'", "SELECT p_partkey FROM part WHERE regexp_matches(p_name, '^[a-m].*e')")
+sql("distinct", "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders")
+sql("values", "VALUES (1, 'a'), (2, 'b')", 'SELECT * FROM (VALUES (1, \'a\'), (2, \'b\')) v("COLUMN_1", "COLUMN_2")')
+sql("subquery_scan", "SELECT q.k AS k, q.n AS n FROM (SELECT c_nationkey AS k, COUNT(*) AS n FROM customer GROUP BY c_nationkey) AS q WHERE q.n > 40")
+sql("default_names", "SELECT n_nationkey + 1, n_nationkey FROM nation", 'SELECT n_nationkey + 1 AS "COLUMN_1", n_nationkey FROM nation')
+
+# expressions
+sql("int_division", "SELECT p_partkey, p_size / 7 AS q, p_size % 7 AS r, (0 - p_size) / 7 AS m FROM part", "SELECT p_partkey, p_size // 7 AS q, p_size % 7 AS r, CAST((0 - p_size) // 7 AS BIGINT) AS m FROM part")
+sql("bit_operators", "SELECT p_partkey, p_size & 12 AS a, p_size | 3 AS o, p_size << 2 AS l, p_size >> 1 AS r, ~p_size AS inv FROM part", "SELECT p_partkey, p_size & 12 AS a, p_size | 3 AS o, CAST(p_size AS BIGINT) << 2 AS l, CAST(p_size AS BIGINT) >> 1 AS r, ~p_size AS inv FROM part")
+sql("concat", "SELECT n_nationkey, n_name || '-' || 'x' AS s FROM nation")
+sql("case_simple", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'open' ELSE 'other' END AS s FROM orders")
+sql("case_searched", "SELECT p_partkey, CASE WHEN p_size < 10 THEN 'small' WHEN p_size < 30 THEN 'middle' END AS s FROM part")
+sql("casts", "SELECT p_partkey, CAST(p_retailprice AS INTEGER) AS i, CAST(p_size AS TEXT) AS t, CAST('12' AS INTEGER) AS n FROM part", "SELECT p_partkey, CAST(trunc(p_retailprice) AS BIGINT) AS i, CAST(p_size AS VARCHAR) AS t, CAST(12 AS BIGINT) AS n FROM part")
+sql("collate_equal", "SELECT COUNT(*) AS n FROM customer WHERE c_mktsegment COLLATE \"unicode_ci\" = 'building'", "SELECT COUNT(*) AS n FROM customer WHERE lower(c_mktsegment) = 'building'")
+sql("array_subscript", "SELECT n_nationkey, [n_nationkey, n_regionkey, 7][2] AS b, [1, 2][5] AS none FROM nation", "SELECT n_nationkey, n_regionkey AS b, CAST(NULL AS INTEGER) AS none FROM nation")
+sql("map_subscript", "SELECT n_nationkey, {'a': n_nationkey, 'b': 5}['a'] AS a, {'a': 1}['z'] AS none FROM nation", "SELECT n_nationkey, n_nationkey AS a, CAST(NULL AS INTEGER) AS none FROM nation")
+sql("likelihood", "SELECT COUNT(*) AS n FROM orders WHERE LIKELY(o_totalprice > 100000.0) AND LIKELIHOOD(o_orderstatus = 'O', 0.5)", "SELECT COUNT(*) AS n FROM orders WHERE o_totalprice > 100000.0 AND o_orderstatus = 'O'")
+
+# joins
+sql("inner_join", "SELECT c.c_custkey AS c_custkey, n.n_name AS n_name FROM customer c INNER JOIN nation n ON c.c_nationkey = n.n_nationkey WHERE n.n_regionkey = 2")
+sql("left_join", "SELECT c.c_custkey AS c_custkey, COUNT(o.o_orderkey) AS n FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey AND o.o_totalprice > 250000.0 GROUP BY c.c_custkey")
+sql("comma_join", "SELECT n.n_name AS n_name, r.r_name AS r_name FROM nation n, region r WHERE n.n_regionkey = r.r_regionkey")
+sql("cross_join", "SELECT a.r_name AS x, b.r_name AS y FROM region a CROSS JOIN region b")
+sql("natural_join", "SELECT * FROM (SELECT n_regionkey AS k, n_name FROM nation) AS a NATURAL JOIN (SELECT r_regionkey AS k, r_name FROM region) AS b")
+sql("natural_left_join", "SELECT * FROM (SELECT r_regionkey AS k, r_name FROM region) AS a NATURAL LEFT JOIN (SELECT n_regionkey AS k, n_name FROM nation WHERE n_nationkey < 4) AS b")
+sql("using_join", "SELECT k, n_name, s_name FROM (SELECT n_nationkey AS k, n_name FROM nation) AS a JOIN (SELECT s_nationkey AS k, s_name FROM supplier) AS b USING (k)")
+sql("theta_join", "SELECT a.n_nationkey AS x, b.n_nationkey AS y FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
+sql("self_join", "SELECT a.p_partkey AS x, b.p_partkey AS y FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey WHERE a.p_partkey < 200")
+sql("nested_from", "SELECT r.r_name AS r_name, COUNT(*) AS n FROM region r JOIN (SELECT n_regionkey AS k FROM nation JOIN supplier ON s_nationkey = n_nationkey) AS x ON x.k = r.r_regionkey GROUP BY r.r_name")
+sql("transitive", "SELECT COUNT(*) AS n FROM orders o, customer c WHERE o.o_custkey = c.c_custkey AND c.c_custkey = 7")
+sql("semi_join", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000.0)")
+sql("anti_join", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+sql("in_table", "SELECT n_name FROM nation WHERE n_regionkey IN (SELECT r_regionkey FROM region WHERE r_name LIKE 'A%')")
+sql("exists", "SELECT s_suppkey FROM supplier s WHERE EXISTS (SELECT 1 FROM customer c WHERE c.c_nationkey = s.s_nationkey AND c.c_acctbal > 9900.0)")
+sql("not_exists", "SELECT n_nationkey FROM nation n WHERE NOT EXISTS (SELECT 1 FROM supplier s WHERE s.s_nationkey = n.n_nationkey AND s.s_acctbal > 5000.0)")
+sql("scalar_subquery", "SELECT COUNT(*) AS n FROM part WHERE p_retailprice > (SELECT AVG(p_retailprice) FROM part)")
+sql("correlated", "SELECT COUNT(*) AS n FROM lineitem l WHERE l.l_quantity > (SELECT AVG(i.l_quantity) FROM lineitem i WHERE i.l_partkey = l.l_partkey)")
+
+# aggregates
+sql("group_by_having", "SELECT l_returnflag, l_linestatus, COUNT(*) AS n, ROUND(SUM(l_quantity), 2) AS q, ROUND(AVG(l_discount), 6) AS d FROM lineitem GROUP BY l_returnflag, l_linestatus HAVING COUNT(*) > 5")
+sql("avg_int", "SELECT p_brand, AVG(p_size) AS a, MAX(p_size) / AVG(p_size) AS b FROM part GROUP BY p_brand", "SELECT p_brand, CAST(sum(p_size) // count(p_size) AS BIGINT) AS a, CAST(max(p_size) // (sum(p_size) // count(p_size)) AS BIGINT) AS b FROM part GROUP BY p_brand")
+sql("total", "SELECT TOTAL(p_size) AS t, TOTAL(NULL) AS z, SUM(p_size) AS s FROM part", "SELECT CAST(sum(p_size) AS DOUBLE) AS t, 0.0::DOUBLE AS z, CAST(sum(p_size) AS BIGINT) AS s FROM part")
+sql("count_distinct", "SELECT COUNT(DISTINCT o_custkey) AS c, COUNT(o_custkey) AS n, COUNT(*) AS m FROM orders")
+sql("min_max", "SELECT c_nationkey, MIN(c_acctbal) AS lo, MAX(c_acctbal) AS hi, MIN(c_name) AS first_name FROM customer GROUP BY c_nationkey")
+sql("bare_column", "SELECT p_brand, MAX(p_partkey) AS k, p_name FROM part GROUP BY p_brand", "SELECT p_brand, max(p_partkey) AS k, max_by(p_name, p_partkey) AS p_name FROM part GROUP BY p_brand")
+sql("group_concat", "SELECT n_regionkey, GROUP_CONCAT(n_name) AS s, GROUP_CONCAT(n_name, '; ') AS t FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS s, string_agg(n_name, '; ' ORDER BY n_name) AS t FROM nation GROUP BY n_regionkey")
+sql("group_by_alias", "SELECT SUBSTR(o_orderpriority, 1, 1) AS p, COUNT(*) AS n FROM orders GROUP BY p")
+sql("group_by_ordinal", "SELECT o_orderstatus, COUNT(*) AS n FROM orders GROUP BY 1")
+sql("empty_aggregate", "SELECT COUNT(*) AS n, MIN(p_size) AS lo, TOTAL(p_size) AS t FROM part WHERE p_partkey < 0", "SELECT count(*) AS n, min(p_size) AS lo, 0.0::DOUBLE AS t FROM part WHERE p_partkey < 0")
+sql("case_aggregate", "SELECT l_returnflag, SUM(CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END) AS big FROM lineitem GROUP BY l_returnflag", "SELECT l_returnflag, CAST(sum(CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END) AS BIGINT) AS big FROM lineitem GROUP BY l_returnflag")
+
+# order and limits
+sql("order_limit", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
+sql("limit_offset", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 10 OFFSET 25")
+sql("limit_comma", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 25, 10", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 10 OFFSET 25")
+sql("limit_subquery", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT (SELECT COUNT(*) FROM region)")
+sql("order_ordinal", "SELECT n_name, n_regionkey FROM nation ORDER BY 2 DESC, 1 LIMIT 7")
+
+# sets and recursion
+sql("union", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")
+sql("union_all", "SELECT n_nationkey AS k FROM nation UNION ALL SELECT r_regionkey FROM region")
+sql("except", "SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier")
+sql("intersect", "SELECT c_nationkey AS k FROM customer INTERSECT SELECT n_nationkey FROM nation WHERE n_regionkey = 3")
+sql("compound_order", "SELECT n_nationkey AS k FROM nation UNION ALL SELECT r_regionkey FROM region EXCEPT SELECT 3 ORDER BY k LIMIT 12")
+sql("cte", "WITH big AS (SELECT o_custkey AS k, COUNT(*) AS n FROM orders GROUP BY o_custkey), top AS (SELECT k FROM big WHERE n > 15) SELECT COUNT(*) AS n FROM top")
+sql("recursive_cte", "WITH RECURSIVE s(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM s WHERE n < 50) SELECT n, n * n AS sq FROM s", "WITH RECURSIVE s(n) AS (SELECT CAST(1 AS BIGINT) UNION ALL SELECT n + 1 FROM s WHERE n < 50) SELECT n, n * n AS sq FROM s")
+
+
+@frame("recursive_union", "WITH RECURSIVE e AS (SELECT DISTINCT c_nationkey % 7 AS s, c_custkey % 11 AS t FROM customer), r(s, t) AS (SELECT s, t FROM e UNION SELECT r.s, e.t FROM r JOIN e ON e.s = r.t) SELECT s, t FROM r")
+def _recursive_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = parquet(spark, sf_dir, "customer").select((F.col("c_nationkey") % 7).cast("long").alias("s"), (F.col("c_custkey") % 11).alias("t"))
+    return recursion.closure(edges, "s", "t")
+
+
+# scalar functions
+sql("text_functions", "SELECT p_partkey, UPPER(p_name) AS u, LOWER(p_brand) AS l, LENGTH(p_name) AS n, CHAR_LENGTH(p_name) AS c, REPLACE(p_name, 'a', 'xy') AS r FROM part", "SELECT p_partkey, upper(p_name) AS u, lower(p_brand) AS l, CAST(length(p_name) AS INTEGER) AS n, CAST(length(p_name) AS INTEGER) AS c, replace(p_name, 'a', 'xy') AS r FROM part")
+sql("substr_rules", "SELECT p_partkey, SUBSTR(p_name, 0, 2) AS a, SUBSTR(p_name, -1, 1) AS b, SUBSTR(p_name, -1, 10) AS c, SUBSTR(p_name, 3) AS d FROM part", "SELECT p_partkey, substr(p_name, 1, 1) AS a, '' AS b, substr(p_name, 1, 8) AS c, substr(p_name, 3) AS d FROM part")
+sql("trim_position", "SELECT p_partkey, TRIM(BOTH 'a' FROM p_name) AS b, TRIM(LEADING 'ab' FROM p_name) AS l, POSITION('e', p_name) AS p FROM part", "SELECT p_partkey, trim(p_name, 'a') AS b, ltrim(p_name, 'ab') AS l, CAST(position('e' IN p_name) AS INTEGER) AS p FROM part")
+sql("char_unicode", "SELECT n_nationkey, CHAR(1103, 65 + n_nationkey) AS c, UNICODE(n_name) AS u FROM nation", "SELECT n_nationkey, chr(1103) || chr(65 + n_nationkey) AS c, unicode(n_name) AS u FROM nation")
+sql("quote_typeof", "SELECT n_nationkey, QUOTE(n_name || 'it''s') AS q, TYPEOF(n_name) AS t, TYPEOF(n_nationkey) AS i, TYPEOF(1.5) AS d FROM nation", "SELECT n_nationkey, '''' || replace(n_name || 'it''s', '''', '''''') || '''' AS q, 'string' AS t, 'integer' AS i, 'double' AS d FROM nation")
+sql("greatest_least", "SELECT p_partkey, GREATEST(p_size, 25) AS g, LEAST(p_size, 25) AS l, GREATEST('x', 5, TRUE) AS m, LEAST('x', 5) AS k FROM part", "SELECT p_partkey, greatest(p_size, 25) AS g, least(p_size, 25) AS l, 'x' AS m, 5 AS k FROM part")
+sql("null_functions", "SELECT n_nationkey, COALESCE(NULLIF(n_regionkey, 2), 99) AS c, IFNULL(NULLIF(n_name, 'X'), 'none') AS i FROM nation", "SELECT n_nationkey, coalesce(nullif(n_regionkey, 2), 99) AS c, coalesce(nullif(n_name, 'X'), 'none') AS i FROM nation")
+sql("round_abs", "SELECT s_suppkey, ABS(s_acctbal) AS a, ROUND(s_acctbal, 1) AS r, ROUND(s_suppkey) AS i, ROUND(s_acctbal, -3) AS z FROM supplier", "SELECT s_suppkey, abs(s_acctbal) AS a, round(s_acctbal, 1) AS r, s_suppkey AS i, round(s_acctbal, 0) AS z FROM supplier")
+sql("hex_blob", "SELECT n_nationkey, HEX(x'00ff41') AS h, HEX(ZEROBLOB(2)) AS z FROM nation", "SELECT n_nationkey, '00FF41' AS h, '0000' AS z FROM nation")
+sql("soundex", "SELECT SOUNDEX('Robert') AS a, SOUNDEX('Rupert') AS b", "SELECT 'R163' AS a, 'R163' AS b")
+sql("printf", "SELECT n_nationkey, PRINTF('%05d|%s|%.2f', n_nationkey, n_name, 1.5) AS s FROM nation", "SELECT n_nationkey, printf('%05d|%s|%.2f', n_nationkey, n_name, 1.5) AS s FROM nation")
+
+
+# key and range access
+def _space(spark: SparkSession, sf_dir: str, name: str = "orders") -> space.Space:
+    return space.Space(parquet(spark, sf_dir, name), KEYS[name])
+
+
+frame("key_get", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey = 42")(lambda s, d: _space(s, d).get([42]).select("o_orderkey", "o_custkey"))
+for _it, _op in (("GE", ">="), ("GT", ">"), ("LE", "<="), ("LT", "<"), ("EQ", "="), ("REQ", "=")):
+    frame(f"range_{_it.lower()}", f"SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey {_op} 1000")(lambda s, d, it=_it: _space(s, d).select([1000], it).select("o_orderkey", "o_totalprice"))
+frame("key_page", "SELECT o_orderkey FROM orders WHERE o_orderkey > 100 ORDER BY o_orderkey LIMIT 10")(lambda s, d: _space(s, d).select(after=[100], limit=10).select("o_orderkey"))
+frame("key_page_down", "SELECT o_orderkey FROM orders WHERE o_orderkey <= 900 AND o_orderkey < 500 ORDER BY o_orderkey DESC LIMIT 10")(lambda s, d: _space(s, d).select([900], "LE", after=[500], limit=10).select("o_orderkey"))
+frame("key_offset_limit", "SELECT o_orderkey FROM orders WHERE o_orderkey >= 50 ORDER BY o_orderkey LIMIT 5 OFFSET 7")(lambda s, d: _space(s, d).select([50], "GE", offset=7, limit=5).select("o_orderkey"))
+frame("key_count", "SELECT count(*) AS n FROM orders WHERE o_orderkey > 777")(lambda s, d: _space(s, d).count([777], "GT"))
+frame("key_min", "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey LIMIT 1")(lambda s, d: _space(s, d).min().select("o_orderkey", "o_custkey"))
+frame("key_max", "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey DESC LIMIT 1")(lambda s, d: _space(s, d).max().select("o_orderkey", "o_custkey"))
+frame("key_quantile", "SELECT quantile_disc(l_quantity, 0.9) AS quantile FROM lineitem WHERE l_quantity >= 5 AND l_quantity < 40")(lambda s, d: space.Space(parquet(s, d, "lineitem"), ["l_quantity"]).quantile(0.9, [5.0], [40.0]))
+frame("key_offset_of", "SELECT count(*) AS n FROM orders WHERE o_orderkey < 333")(lambda s, d: _space(s, d).offset_of([333]))
+frame("key_random")(lambda s, d: _space(s, d).random(7).select("o_orderkey"))
+frame("next_prefix", "SELECT c_custkey, c_name FROM customer WHERE c_name > 'Customer#000000' AND NOT starts_with(c_name, 'Customer#000000')")(lambda s, d: space.Space(parquet(s, d, "customer"), ["c_name"]).select(["Customer#000000"], "NP").select("c_custkey", "c_name"))
+frame("previous_prefix", "SELECT c_custkey, c_name FROM customer WHERE c_name < 'Customer#00000002'")(lambda s, d: space.Space(parquet(s, d, "customer"), ["c_name"]).select(["Customer#00000002"], "PP").select("c_custkey", "c_name"))
+frame("compound_range", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey > 500 OR (l_orderkey = 500 AND l_linenumber >= 2)")(lambda s, d: space.Space(parquet(s, d, "lineitem"), ["l_orderkey", "l_linenumber"]).select([500, 2], "GE").select("l_orderkey", "l_linenumber"))
+frame("hash_gt", "SELECT s_suppkey FROM supplier WHERE s_suppkey > 50")(lambda s, d: space.hash_select(parquet(s, d, "supplier"), ["s_suppkey"], "GT", [50]).select("s_suppkey"))
+for _it, _test in (("BITS_ALL_SET", "= 5"), ("BITS_ANY_SET", "<> 0"), ("BITS_ALL_NOT_SET", "= 0")):
+    frame(_it.lower(), f"SELECT event_id, user_id FROM events WHERE user_id & 5 {_test}")(lambda s, d, it=_it: space.bits(parquet(s, d, "events"), "user_id", it, 5).select("event_id", "user_id"))
+
+
+def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parquet(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("x1"), (F.col("p_size") + 5).cast("double").alias("x2"), (F.col("p_partkey") % 50).cast("double").alias("y1"), (F.col("p_partkey") % 50 + 3).cast("double").alias("y2"))
+
+
+for _it, _test in (("GE", "x1 <= 20 AND x2 >= 22 AND y1 <= 10 AND y2 >= 11"), ("LE", "x1 >= 10 AND x2 <= 30 AND y1 >= 10 AND y2 <= 30"), ("OVERLAPS", "x1 <= 22 AND x2 >= 20 AND y1 <= 11 AND y2 >= 10"), ("LT", "x1 > 10 AND x2 < 30 AND y1 > 10 AND y2 < 30"), ("GT", "x1 < 20 AND x2 > 22 AND y1 < 10 AND y2 > 11")):
+    _k = [10.0, 10.0, 30.0, 30.0] if _it in ("LE", "LT") else [20.0, 10.0, 22.0, 11.0]
+    frame(f"box_{_it.lower()}", f"SELECT p_partkey FROM (SELECT p_partkey, p_size AS x1, p_size + 5 AS x2, p_partkey % 50 AS y1, p_partkey % 50 + 3 AS y2 FROM part) b WHERE {_test}")(lambda s, d, it=_it, k=_k: space.box(_boxes(s, d), ["x1", "y1"], ["x2", "y2"], it, k).select("p_partkey"))
+frame("box_neighbor", "SELECT p_partkey FROM part ORDER BY (p_size - 20.5) ** 2 + (p_partkey - 300.25) ** 2, p_size, p_partkey LIMIT 9")(
+    lambda s, d: space.box(parquet(s, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("x"), F.col("p_partkey").cast("double").alias("y")), ["x", "y"], ["x", "y"], "NEIGHBOR", [20.5, 300.25], 9).select("p_partkey")
+)
+frame("knn", "SELECT vec_id FROM (SELECT vec_id, list_sum(list_transform(embedding, lambda x: x * x)) AS d FROM embeddings) e ORDER BY d, vec_id LIMIT 10")(
+    lambda s, d: parquet(s, d, "embeddings").select("vec_id", F.expr("aggregate(embedding, 0D, (a, x) -> a + x * x)").alias("d")).orderBy("d", "vec_id").limit(10).select("vec_id")
+)
+frame("multikey", "SELECT key, count(*) AS n FROM (SELECT unnest(list_distinct(string_split(p_name, ' '))) AS key FROM part) p GROUP BY key")(lambda s, d: space.multikey(parquet(s, d, "part").withColumn("w", F.split("p_name", " ")), "w").groupBy("key").agg(F.count(F.lit(1)).alias("n")))
+frame("json_path", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")(lambda s, d: parquet(s, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k")))
+frame("merger", "SELECT o_orderkey FROM orders WHERE o_orderkey % 3 < 3 ORDER BY o_orderkey LIMIT 50")(
+    lambda s, d: space.merge([parquet(s, d, "orders").where(F.col("o_orderkey") % 3 == i).select("o_orderkey") for i in range(3)], ["o_orderkey"]).limit(50)
+)
+
+
+# changes
+def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = parquet(spark, sf_dir, "events")
+    return e.select(F.col("event_id").alias("lsn"), F.lit(1).alias("replica_id"), F.expr("if(event_id % 7 = 0, 'DELETE', 'REPLACE')").alias("op"), F.col("user_id").alias("key"), "value")
+
+
+frame("compaction", "SELECT key, lsn, value FROM (SELECT user_id AS key, event_id AS lsn, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) x WHERE r = 1")(lambda s, d: changes.compact(_log(s, d), ["key"], "lsn").select("key", "lsn", "value"))
+frame("replay", "SELECT key, value, lsn FROM (SELECT user_id AS key, event_id AS lsn, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) x WHERE r = 1 AND lsn % 7 <> 0")(lambda s, d: changelog.replay(_log(s, d)))
+frame("latest_by_key", "SELECT user_id AS key, max(event_id) AS lsn, max_by(value, event_id) AS value FROM events GROUP BY user_id")(lambda s, d: changelog.latest(_log(s, d)).select("key", "lsn", "value"))
+frame("upsert_add", "SELECT s_suppkey AS k, CAST(s_nationkey + coalesce(q, 0) AS BIGINT) AS v FROM supplier LEFT JOIN (SELECT l_suppkey, count(*) AS q FROM lineitem GROUP BY 1) l ON l_suppkey = s_suppkey UNION SELECT l_suppkey, count(*) FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier) GROUP BY 1")(
+    lambda s, d: changes.add_up(parquet(s, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_nationkey").cast("long").alias("v")), parquet(s, d, "lineitem").select(F.col("l_suppkey").alias("k"), F.lit(1).alias("d")), ["k"], "v", "d")
+)
+
+
+def _changed(*statements: str, then: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        e = engine(spark, sf_dir)
+        for x in statements:
+            e.sql(x)
+        return e.sql(then)
+
+    return run
+
+
+frame("insert_ignore", "SELECT n_nationkey, n_name FROM nation UNION ALL SELECT 100, 'NEW'")(_changed("INSERT OR IGNORE INTO nation VALUES (1, 'AGAIN', 1), (100, 'NEW', 2)", then="SELECT n_nationkey, n_name FROM nation"))
+frame("replace_into", "SELECT n_nationkey, CASE WHEN n_nationkey = 1 THEN 'AGAIN' ELSE n_name END AS n_name FROM nation UNION ALL SELECT 100, 'NEW'")(_changed("REPLACE INTO nation VALUES (1, 'AGAIN', 1), (100, 'NEW', 2)", then="SELECT n_nationkey, n_name FROM nation"))
+frame("insert_select", "SELECT r_regionkey, r_name FROM region UNION ALL SELECT n_nationkey + 100, n_name FROM nation WHERE n_regionkey = 1")(_changed("INSERT INTO region SELECT n_nationkey + 100, n_name FROM nation WHERE n_regionkey = 1", then="SELECT r_regionkey, r_name FROM region"))
+frame("update", "SELECT s_suppkey, CASE WHEN s_acctbal < 0 THEN 0.0 ELSE s_acctbal END AS s_acctbal, CASE WHEN s_acctbal < 0 THEN 'poor' ELSE s_name END AS s_name FROM supplier")(_changed("UPDATE supplier SET s_acctbal = 0.0, s_name = 'poor' WHERE s_acctbal < 0.0", then="SELECT s_suppkey, s_acctbal, s_name FROM supplier"))
+frame("update_row_form", "SELECT n_nationkey, CASE WHEN n_regionkey = 4 THEN n_nationkey ELSE n_regionkey END AS n_regionkey, CASE WHEN n_regionkey = 4 THEN 'x' ELSE n_name END AS n_name FROM nation")(_changed("UPDATE nation SET (n_regionkey, n_name) = (n_nationkey, 'x') WHERE n_regionkey = 4", then="SELECT n_nationkey, n_regionkey, n_name FROM nation"))
+frame("delete", "SELECT o_orderkey FROM orders WHERE NOT (o_orderstatus = 'F' AND o_totalprice > 1000)")(_changed("DELETE FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 1000.0", then="SELECT o_orderkey FROM orders"))
+frame("truncate", "SELECT count(*) AS n FROM region WHERE false")(_changed("TRUNCATE TABLE region", then="SELECT COUNT(*) AS n FROM region"))
+frame("create_insert", "SELECT * FROM (VALUES (1, 'a', 5), (2, 'b', 7)) t(id, s, n)")(_changed("CREATE TABLE made (id INT PRIMARY KEY, s TEXT NOT NULL, n INT DEFAULT 5, CHECK (n > 0))", "INSERT INTO made (id, s) VALUES (1, 'a')", "INSERT INTO made VALUES (2, 'b', 7)", then="SELECT id, s, n FROM made"))
+frame("create_view", "SELECT r_name, count(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")(_changed("CREATE VIEW per_region AS SELECT r_name, COUNT(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name", then="SELECT r_name, n FROM per_region"))
+frame("alter_table", "SELECT r_regionkey, r_name, CAST(NULL AS BIGINT) AS extra FROM region")(_changed("ALTER TABLE region ADD COLUMN extra INT", "ALTER TABLE region RENAME TO area", then="SELECT r_regionkey, r_name, extra FROM area"))
+frame("row_count")(lambda s, d: engine(s, d).sql("UPDATE nation SET n_name = 'x' WHERE n_regionkey = 1"))
+frame("delete_range", "SELECT o_orderkey FROM orders WHERE NOT (o_orderkey >= 100 AND o_orderkey < 900)")(lambda s, d: changes.delete_range(parquet(s, d, "orders"), "o_orderkey", 100, 900).select("o_orderkey"))
+frame("foreign_key_check", "SELECT n_nationkey FROM nation WHERE n_regionkey NOT IN (SELECT r_regionkey FROM region WHERE r_regionkey < 3)")(lambda s, d: changes.dangling(parquet(s, d, "nation"), ["n_regionkey"], parquet(s, d, "region").where("r_regionkey < 3"), ["r_regionkey"]).select("n_nationkey"))
+frame("sequence", "SELECT o_orderkey, 10 + 5 * (row_number() OVER (ORDER BY o_orderkey) - 1) AS id FROM orders")(lambda s, d: changes.sequence(parquet(s, d, "orders").select("o_orderkey"), "id", 10, 5, order_by=["o_orderkey"]))
+
+# times, digests and text
+frame("time_parts", "SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS year, CAST(quarter(o_orderdate) AS INTEGER) AS quarter, CAST(month(o_orderdate) AS INTEGER) AS month, CAST(weekofyear(o_orderdate) AS INTEGER) AS week, CAST(day(o_orderdate) AS INTEGER) AS day, CAST(dayofweek(o_orderdate) AS INTEGER) AS dow, CAST(dayofyear(o_orderdate) AS INTEGER) AS doy, CAST(hour(o_orderdate) AS INTEGER) AS hour, CAST(minute(o_orderdate) AS INTEGER) AS min, CAST(second(o_orderdate) AS INTEGER) AS sec, CAST(floor(epoch(o_orderdate)) AS BIGINT) AS epoch FROM orders")(
+    lambda s, d: parquet(s, d, "orders").select("o_orderkey", *timeops.parts(F.col("o_orderdate").cast("timestamp")))
+)
+frame("strftime", "SELECT o_orderkey, strftime(o_orderdate, '%Y/%m/%d at %H:%M') AS s FROM orders")(lambda s, d: parquet(s, d, "orders").select("o_orderkey", timeops.strftime(F.col("o_orderdate"), "%Y/%m/%d at %H:%M").alias("s")))
+frame("interval_add", "SELECT o_orderkey, strftime(o_orderdate + INTERVAL 14 MONTH + INTERVAL 10 DAY + INTERVAL 4 HOUR, '%Y-%m-%d %H:%M:%S') AS t FROM orders")(
+    lambda s, d: parquet(s, d, "orders").select("o_orderkey", timeops.strftime(timeops.add(F.col("o_orderdate").cast("timestamp"), timeops.interval(year=1, month=2, week=1, day=3, hour=4)), "%F %T").alias("t"))
+)
+frame("datetime_subtract", "SELECT event_id, CAST(trunc((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 1000000) AS BIGINT) AS sec FROM events")(
+    lambda s, d: parquet(s, d, "events").select("event_id", timeops.subtract(F.col("ts").cast("timestamp"), F.lit("2024-01-01").cast("timestamp"))["sec"].alias("sec"))
+)
+frame("digests", "SELECT n_nationkey, md5(n_name) AS m, sha1(n_name) AS s1, sha256(n_name) AS s2 FROM nation")(lambda s, d: parquet(s, d, "nation").select("n_nationkey", F.md5("n_name").alias("m"), F.sha1("n_name").alias("s1"), F.sha2("n_name", 256).alias("s2")))
+frame("murmur")(lambda s, d: parquet(s, d, "nation").select("n_nationkey", scalar.murmur(F.col("n_name")).alias("h")))
+frame("consistent_hash")(lambda s, d: parquet(s, d, "customer").select("c_custkey", scalar.consistent(16)(F.col("c_custkey")).alias("shard")))
+frame("justify", "SELECT n_nationkey, rpad(n_name, greatest(20, length(n_name))::INTEGER, '.') AS l, lpad(n_name, greatest(20, length(n_name))::INTEGER, '.') AS r FROM nation")(lambda s, d: parquet(s, d, "nation").select("n_nationkey", scalar.ljust(F.col("n_name"), 20, ".").alias("l"), scalar.rjust(F.col("n_name"), 20, ".").alias("r")))
+frame("big_decimal")(lambda s, d: parquet(s, d, "nation").select("n_nationkey", scalar.big_decimal("*")(F.concat(F.lit("1234567890123456789012345678901234567"), F.col("n_nationkey").cast("string")), F.lit("98765432109876543210987654321")).alias("p")))
+frame("tumbling", "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM events GROUP BY 1")(lambda s, d: changelog.windows(parquet(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "1 hour", "10 minutes").select(timeops.strftime(F.col("start"), "%F %T").alias("start"), "n"))
+frame("user_function", "SELECT n_nationkey, n_nationkey * 3 + 1 AS v FROM nation")(lambda s, d: _with_function(engine(s, d)).sql("SELECT n_nationkey, triple(n_nationkey) AS v FROM nation"))
+
+
+def _with_function(e: Engine) -> Engine:
+    e.function("triple", "int", "x * 3 + 1", ["x:int"])
+    return e
+
+
+@frame("user_aggregate", "SELECT p_brand, CAST(sum(p_size * p_size) AS BIGINT) AS v FROM part GROUP BY p_brand")
+def _user_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Step and final functions over each group, as the fold that aggregate() is."""
+    grouped = parquet(spark, sf_dir, "part").groupBy("p_brand").agg(F.collect_list(F.col("p_size").cast("long")).alias("xs"))
+    return grouped.select("p_brand", F.aggregate("xs", F.lit(0).cast("long"), lambda state, x: state + x * x, lambda state: state).alias("v"))
