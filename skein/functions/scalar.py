@@ -96,7 +96,8 @@ def _murmur(data: bytes, seed: int = 13) -> int:
     return h ^ h >> 16
 
 
-murmur = _pandas("bigint", _murmur)
+def murmur(x: Column) -> Column:
+    return _pandas("bigint", _murmur)(x)
 
 
 def pbkdf2(salt: str, rounds: int = 100_000, size: int = 128):
