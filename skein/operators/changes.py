@@ -105,21 +105,21 @@ def upsert(base: DataFrame, log: DataFrame, key: list[str]) -> DataFrame:
     are by key, so a key's own history is all that one task holds.
     """
     fields = [c for c in base.columns if c not in key]
-    schema = base.schema
+    schema, columns = base.schema, base.columns
     tagged = base.select(*base.columns, F.lit(-1).cast("long").alias("lsn"), F.lit(None).cast(log.schema["ops"].dataType).alias("ops"))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         row: dict | None = None
         for r in pdf.sort_values("lsn").to_dict("records"):
             if row is None:
-                row = {c: r[c] for c in base.columns}
+                row = {c: r[c] for c in columns}
                 continue
             steps = []
             for o in r["ops"] if r["ops"] is not None else []:
                 arg = o["text"] if o["number"] is None else o["number"]
                 steps.append((o["code"], o["field"], o["start"], o["length"], o["text"]) if o["code"] == ":" else (o["code"], o["field"], arg))
-            row = apply_ops({c: (None if pd.isna(row[c]) else row[c]) for c in base.columns}, steps)
-        return pd.DataFrame([row], columns=base.columns)
+            row = apply_ops({c: (None if pd.isna(row[c]) else row[c]) for c in columns}, steps)
+        return pd.DataFrame([row], columns=columns)
 
     both = tagged.unionByName(log.select(*base.columns, "lsn", "ops"))
     return both.groupBy(*key).applyInPandas(fold, schema).select(*key, *fields)
