@@ -269,3 +269,19 @@ def _user_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Step and final functions over each group, as the fold that aggregate() is."""
     grouped = parquet(spark, sf_dir, "part").groupBy("p_brand").agg(F.collect_list(F.col("p_size").cast("long")).alias("xs"))
     return grouped.select("p_brand", F.aggregate("xs", F.lit(0).cast("long"), lambda state, x: state + x * x, lambda state: state).alias("v"))
+
+
+frame("trigger", "SELECT CAST(n_nationkey + 99 AS BIGINT) AS k, n_name AS n FROM nation WHERE n_nationkey + 99 > 100")(
+    _changed(
+        "CREATE TABLE seen (k INT, n TEXT)",
+        "CREATE TRIGGER tr AFTER INSERT ON region FOR EACH ROW WHEN NEW.r_regionkey > 100 BEGIN INSERT INTO seen VALUES (NEW.r_regionkey, NEW.r_name); END",
+        "INSERT INTO region SELECT n_nationkey + 99, n_name FROM nation",
+        then="SELECT k, n FROM seen",
+    )
+)
+frame("rollback", "SELECT n_nationkey, n_name FROM nation")(_changed("START TRANSACTION", "DELETE FROM nation WHERE n_nationkey > 3", "ROLLBACK", then="SELECT n_nationkey, n_name FROM nation"))
+frame("savepoint", "SELECT n_nationkey FROM nation WHERE n_nationkey <= 20")(_changed("START TRANSACTION", "DELETE FROM nation WHERE n_nationkey > 20", "SAVEPOINT a", "DELETE FROM nation WHERE n_nationkey > 3", "ROLLBACK TO a", "COMMIT", then="SELECT n_nationkey FROM nation"))
+frame("table_info", "SELECT 'n_nationkey' AS name, 1 AS pk UNION ALL SELECT 'n_name', 0 UNION ALL SELECT 'n_regionkey', 0")(lambda s, d: engine(s, d).sql("PRAGMA table_info(nation)").select("name", "pk"))
+frame("show_create_table")(lambda s, d: engine(s, d).sql("SHOW CREATE TABLE nation"))
+frame("explain")(lambda s, d: engine(s, d).sql("EXPLAIN SELECT n_name FROM nation WHERE n_nationkey = 3"))
+frame("random_functions")(lambda s, d: engine(s, d).sql("SELECT RANDOM() AS r, LENGTH(RANDOMBLOB(20)) AS b, LENGTH(UUID()) AS u, TYPEOF(NOW()) AS t"))

@@ -39,6 +39,8 @@ class Engine:
         self.prepared: dict[int, tuple[str, int]] = {}
         self.version = 0
         self.changed = 0
+        self.triggers: dict[str, dict] = {}
+        self.saved: list[tuple[str | None, dict, dict]] = []
 
     # catalog
     def register(self, name: str, df: DataFrame, key: list[str] | None = None, **meta: object) -> DataFrame:
@@ -116,6 +118,10 @@ class Engine:
             df = self.tables[name.lower()]
             self.register(name, df.limit(0), **self.meta[name.lower()])
             return self._count(0)
+        if head in ("START", "BEGIN", "COMMIT", "ROLLBACK", "SAVEPOINT", "RELEASE"):
+            return self._transaction(words)
+        if words[1:2] == ["TRIGGER"]:
+            return self._trigger(text)
         if head in ("CREATE", "DROP", "ALTER"):
             return self._define(text)
         raise DialectError(f"no such statement: {head}")
@@ -144,6 +150,71 @@ class Engine:
     def recursive(self, seed: str, step: Callable[[DataFrame], DataFrame], distinct: bool = True, order_by: list[str] | None = None, limit: int | None = None) -> DataFrame:
         return recursion.iterate(self.sql(seed), step, distinct=distinct, order_by=order_by, limit=limit)
 
+    # transactions: a savepoint is the tables as they are, which is only names for immutable plans
+    def _transaction(self, words: list[str]) -> DataFrame:
+        head, name = words[0], words[-1] if len(words) > 1 and words[-1] not in ("TRANSACTION", "START") else None
+        if head in ("START", "BEGIN"):
+            if any(n is None for n, *_ in self.saved):
+                raise DialectError("a transaction is open")
+            self.saved.append((None, dict(self.tables), {k: dict(v) for k, v in self.meta.items()}))
+        elif not self.saved:
+            raise DialectError("no transaction is open")
+        elif head == "SAVEPOINT":
+            self.saved.append((name, dict(self.tables), {k: dict(v) for k, v in self.meta.items()}))
+        elif head == "COMMIT":
+            self.saved.clear()
+        else:
+            at = next((i for i in range(len(self.saved) - 1, -1, -1) if self.saved[i][0] == (name if name not in ("ROLLBACK", "COMMIT") else None)), None)
+            if at is None:
+                raise DialectError(f"no savepoint {name}")
+            if head == "RELEASE":
+                del self.saved[at:]
+            else:
+                _, tables, meta = self.saved[at]
+                for gone in set(self.tables) - set(tables):
+                    self.drop(gone)
+                for table, df in tables.items():
+                    self.register(table, df, **meta[table])
+                del self.saved[at + (name is not None) :]
+        return self._count(0)
+
+    # triggers run once per statement, over all of its rows
+    def _trigger(self, text: str) -> DataFrame:
+        if m := re.match(r"\s*DROP\s+TRIGGER\s+(?:IF\s+EXISTS\s+)?\"?(\w+)\"?", text, re.I):
+            self.triggers.pop(m[1], None)
+            return self._count(1)
+        m = re.match(r"\s*CREATE\s+TRIGGER\s+\"?(\w+)\"?\s+(BEFORE|AFTER|INSTEAD\s+OF)\s+(INSERT|UPDATE|DELETE)(?:\s+OF\s+([\w\s,]+?))?\s+ON\s+\"?(\w+)\"?\s+FOR\s+EACH\s+ROW\s*(?:WHEN\s+(.+?)\s+)?BEGIN\s+(.*?);?\s*END\s*;?\s*$", text, re.I | re.S)
+        if not m:
+            raise DialectError("syntax error in CREATE TRIGGER")
+        steps = []
+        for step in filter(None, (x.strip() for x in m[7].split(";"))):
+            i = re.fullmatch(r"INSERT\s+INTO\s+\"?(\w+)\"?(?:\s*\(([^)]*)\))?\s+VALUES\s*\((.*)\)", step, re.I | re.S)
+            if not i:
+                raise DialectError("a trigger's steps are INSERT INTO ... VALUES")
+            steps.append((i[1], i[2], i[3]))
+        of = [c.strip() for c in m[4].split(",")] if m[4] else []
+        self.triggers[m[1]] = {"when": m[2].upper().split()[0], "event": m[3].upper(), "of": of, "table": m[5].lower(), "if": m[6], "steps": steps}
+        return self._count(1)
+
+    def _fire(self, when: str, event: str, table: str, new: DataFrame | None, old: DataFrame | None, changed: set[str] = frozenset()) -> bool:
+        fired = False
+        for t in list(self.triggers.values()):
+            if (t["when"], t["event"], t["table"]) != (when, event, table) or (t["of"] and not changed & set(t["of"])):
+                continue
+            fired = True
+            rows = new if new is not None else old
+            sides = {f"NEW_{c}": new[c] for c in new.columns} if new is not None else {}
+            if new is not None and old is not None:  # an UPDATE: rows carry both sides
+                sides = {f"NEW_{c}": rows[c] for c in rows.columns if not c.startswith("OLD_")} | {c: rows[c] for c in rows.columns if c.startswith("OLD_")}
+            elif old is not None:
+                sides = {f"OLD_{c}": old[c] for c in old.columns}
+            self.register("trigger_rows", rows.select(*[c.alias(n) for n, c in sides.items()]))
+            flat = lambda e: re.sub(r"\b(NEW|OLD)\s*\.\s*\"?(\w+)\"?", lambda m: f"{m[1].upper()}_{m[2]}", e, flags=re.I)
+            for target, columns, values in t["steps"]:
+                self._insert(f"INSERT INTO {target} {f'({columns}) ' if columns else ''}SELECT {flat(values)} FROM trigger_rows{' WHERE ' + flat(t['if']) if t['if'] else ''}")
+            self.drop("trigger_rows")
+        return fired
+
     # data changes
     def _insert(self, text: str) -> DataFrame:
         m = re.fullmatch(r"\s*(INSERT|REPLACE)(?:\s+OR\s+(\w+))?\s+INTO\s+\"?(\w+)\"?\s*(?:\(([^()]*)\)\s*(?=VALUES|SELECT|WITH))?(DEFAULT\s+VALUES|.+?);?\s*", text, re.I | re.S)
@@ -159,9 +230,13 @@ class Engine:
             new = self.sql(m[5]).toDF(*columns)
         defaults = meta.get("defaults", {})
         new = new.select(*[(F.coalesce(F.col(c), F.expr(defaults[c])) if c in defaults else F.col(c)).cast(old.schema[c].dataType).alias(c) if c in columns else F.expr(defaults.get(c, "NULL")).cast(old.schema[c].dataType).alias(c) for c in old.columns])
+        if self._fire("INSTEAD", "INSERT", name, new, None):
+            return self._count(new.count())
+        self._fire("BEFORE", "INSERT", name, new, None)
         result, n = changes.insert(old, new, meta["key"], mode)
         changes.validate(result, meta, self.tables)
         self.register(name, result, **meta)
+        self._fire("AFTER", "INSERT", name, new, None)
         return self._count(n)
 
     def _update(self, text: str) -> DataFrame:
@@ -188,8 +263,11 @@ class Engine:
         where = self._condition(name, m[3])
         n = df.where(where).count()
         out = df.select(*[F.expr(f"CASE WHEN {where} THEN {values[c]} ELSE `{c}` END").cast(df.schema[c].dataType).alias(c) if c in values else F.col(c) for c in df.columns])
+        both = df.where(where).select(*[(F.expr(values[c]).cast(df.schema[c].dataType) if c in values else F.col(c)).alias(c) for c in df.columns], *[F.col(c).alias(f"OLD_{c}") for c in df.columns])
+        self._fire("BEFORE", "UPDATE", name, both, df, set(values))
         changes.validate(out, meta, self.tables)
         self.register(name, out, **meta)
+        self._fire("AFTER", "UPDATE", name, both, df, set(values))
         return self._count(n)
 
     def _condition(self, name: str, text: str | None) -> str:
@@ -206,7 +284,10 @@ class Engine:
         name = m[1].lower()
         df, where = self.tables[name], self._condition(name, m[2])
         n = df.where(where).count()
+        gone = df.where(where)
+        self._fire("BEFORE", "DELETE", name, None, gone)
         self.register(name, df.where(f"NOT coalesce({where}, false)"), **self.meta[name])
+        self._fire("AFTER", "DELETE", name, None, gone)
         return self._count(n)
 
     # definitions
