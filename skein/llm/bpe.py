@@ -24,11 +24,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.llm import common
+
 # Characters whose classes (letter, number, space, other) are the same in Python's re as in the tokenizers library.
 _PLAIN = re.compile("[\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-՗ -⁯₠-₿ぁ-ヿ一-鿿가-힣\U0001f300-\U0001f64f]*")
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 #: Words kept per Python worker.
-CACHE = 250_000
+CACHE = 150_000
 
 
 def byte_alphabet() -> list[str]:
@@ -263,4 +265,5 @@ def digest(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                     text_hash.append(hashlib.sha256(text.encode()).hexdigest())
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n_tokens": n, "ids_sha256": ids_hash, "decoded_sha256": text_hash})
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, DIGEST)
+    common.small_batches(docs.sparkSession)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(common.tidy(run), DIGEST)

@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from skein.llm import common
 
-HEAD = 4096
-CLASS = 64
+HEAD = 2048
+CLASS = 32
 KNOWN = 100_000
 KINDS = 8
 ROWS = 1 << 14
@@ -39,7 +39,9 @@ STRIDE = 16
 BLOCK = 32
 RATE = 0.25
 END = b""
-_M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+_M1, _M2 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77)
+#: Stand for the two words before a text.
+_START = np.array([7, 5], dtype=np.uint32)
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -67,11 +69,11 @@ def count_words(docs: DataFrame) -> DataFrame:
             for text in batch.column(0).to_pylist():
                 c = Counter(tokens(text))
                 held[xxhash.xxh32_intdigest(max(c, key=lambda w: (c[w], w))) % KINDS].update(c)
-            if sum(map(len, held)) > 400_000:
+            if sum(map(len, held)) > 250_000:
                 yield from flush()
         yield from flush()
 
-    rows = docs.select("text").mapInArrow(run, "word binary, kind int, n long")
+    rows = docs.select("text").mapInArrow(common.tidy(run), "word binary, kind int, n long")
     kinds = [F.sum(F.expr(f"if(kind = {k}, n, 0)")).alias(f"k{k}") for k in range(KINDS)]
     return rows.groupBy("word").agg(F.sum("n").alias("n"), *kinds)
 
@@ -79,6 +81,19 @@ def count_words(docs: DataFrame) -> DataFrame:
 _KINDS_OF = [pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
 
 
+class _Numbered(dict):
+    """Numbers words in the order in which they come; new ones are listed."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
+
+
 def _change(what: str, at: int, salt: int, delta: np.ndarray, touched: np.ndarray) -> pa.RecordBatch:
     cols = [[what], [at], [salt], [delta.tobytes()], [touched.astype(np.uint16).tobytes()]]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, _KINDS_OF)], ["what", "piece", "salt", "delta", "touched"])
@@ -122,35 +137,45 @@ class Model:
         self.word_bias = np.full((max(1, self.heads), CLASS), -1e9, dtype=np.float32)
         for c, part in enumerate(members):
             self.word_bias[c, : len(part)] = np.log((n[part] + 1) / mass[c])
+        self.member_hash = (self.members + 1).astype(np.uint32) * _M1
+        self.seen = _Numbered()
         self.row = np.zeros((ROWS, self.classes), dtype=np.float32)
         self.pair = np.zeros(PAIRS, dtype=np.float32)
 
-    def read(self, text: str | None, hashes: dict) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        """Words, their ids (len(known) beyond), and the three feature hashes of each position."""
-        words = tokens(text)
-        beyond = len(self.count)
-        ids = np.array([self.id.get(w, beyond) for w in words], dtype=np.int64)
-        h = np.empty(len(words) + 2, dtype=np.uint64)
-        h[:2] = 7, 5
-        for i, w in enumerate(words[:-1]):
-            x = hashes.get(w)
-            if x is None:
-                x = xxhash.xxh64_intdigest(w)
-                if len(hashes) < 200_000:
-                    hashes[w] = x
-            h[i + 2] = x
-        one, two = h[1 : len(words) + 1], h[: len(words)]
+    def look(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words (len(count) for those beyond) and their hashes. What is looked up is kept, up to a bound."""
+        if len(self.seen) > 250_000 or not self.seen:
+            self.seen, self.seen_ids, self.seen_hashes = _Numbered(), np.zeros(1 << 18, dtype=np.int64), np.zeros(1 << 18, dtype=np.uint32)
+        start = len(self.seen)
+        at = np.fromiter(map(self.seen.__getitem__, words), dtype=np.int64, count=len(words))
+        if new := self.seen.new:
+            stop, beyond = start + len(new), len(self.count)
+            if stop > len(self.seen_ids):
+                self.seen_ids, self.seen_hashes = (np.concatenate([x, np.zeros(stop, dtype=x.dtype)]) for x in (self.seen_ids, self.seen_hashes))
+            self.seen_ids[start:stop] = [self.id.get(w, beyond) for w in new]
+            self.seen_hashes[start:stop] = [xxhash.xxh32_intdigest(w) for w in new]
+            new.clear()
+        return self.seen_ids[at], self.seen_hashes[at]
+
+    @staticmethod
+    def features(h: np.ndarray) -> np.ndarray:
+        """Hashes of the word before, the one before that, and both, for h[2:]."""
+        one, two = h[1:-1], h[:-2]
         f = np.stack([one * _M1, two * _M2, (one * _M1) ^ (two * _M2 + _M1)], axis=1)
-        return words, ids, f ^ (f >> np.uint64(29))
+        return f ^ (f >> np.uint32(15))
+
+    def read(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and features of a whole text's words."""
+        ids, h = self.look(words)
+        return ids, self.features(np.concatenate([_START, h]))
 
     def class_logits(self, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        rows = ((f * _M2) >> np.uint64(64 - 14)).astype(np.int64)
+        rows = ((f * _M2) >> np.uint32(32 - 14)).astype(np.int64)
         return rows, self.bias + self.row[rows[:, 0]] + self.row[rows[:, 1]] + self.row[rows[:, 2]]
 
     def word_logits(self, f: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        members = self.members[classes].astype(np.uint64)
-        slots = (((f[:, :2, None] ^ (members[:, None, :] * _M1)) * _M2) >> np.uint64(64 - 20)).astype(np.int64)
-        return slots, self.word_bias[classes] + self.pair[slots[:, 0]] + self.pair[slots[:, 1]]
+        slots = ((f[:, :1] ^ self.member_hash[classes]) * _M2) >> np.uint32(32 - 20)
+        return slots, self.word_bias[classes] + self.pair[slots]
 
     def log_probs(self, ids: np.ndarray, f: np.ndarray) -> np.ndarray:
         """Natural log P of each position; for rare words that of the class alone."""
@@ -190,11 +215,10 @@ class Model:
             p = np.exp(z - z.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
             p[np.arange(len(head)), self.place[ids[head]]] -= 1
-            for k in range(2):
-                used, back = np.unique(slots[:, k], return_inverse=True)
-                grad = np.bincount(back.ravel(), weights=p.ravel(), minlength=len(used)).astype(np.float32)
-                pair_sum[used] += grad**2
-                self.pair[used] -= RATE * grad / np.sqrt(pair_sum[used] + 1)
+            used, back = np.unique(slots, return_inverse=True)
+            grad = np.bincount(back.ravel(), weights=p.ravel(), minlength=len(used)).astype(np.float32)
+            pair_sum[used] += grad**2
+            self.pair[used] -= RATE * grad / np.sqrt(pair_sum[used] + 1)
 
 
 def train(docs: DataFrame, model: Model) -> None:
@@ -206,18 +230,19 @@ def train(docs: DataFrame, model: Model) -> None:
         own: Model = shared.value
         own.row, own.pair = np.zeros_like(own.row), np.zeros_like(own.pair)
         row_sum, pair_sum = np.zeros_like(own.row), np.zeros_like(own.pair)
-        hashes: dict = {}
         ids, fs, size, seen = [], [], 0, 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                _, i, f = own.read(text, hashes)
-                at = np.arange(len(i))
-                at = at[(at // BLOCK + seen) % STRIDE == 0]
-                seen += 1 + len(i) // BLOCK
-                if len(at):
-                    ids.append(i[at])
-                    fs.append(f[at])
-                    size += len(at)
+                words = tokens(text)
+                blocks = 1 + (len(words) - 1) // BLOCK
+                for k in range(-seen % STRIDE, blocks, STRIDE):  # only these blocks' words are looked up
+                    at = k * BLOCK
+                    i, h = own.look(words[max(0, at - 2) : at + BLOCK])
+                    lead = min(at, 2)
+                    ids.append(i[lead:])
+                    fs.append(own.features(np.concatenate([_START[lead:], h])))
+                    size += len(i) - lead
+                seen += blocks
                 if size >= 4096:
                     own.learn(np.concatenate(ids), np.concatenate(fs), row_sum, pair_sum)
                     ids, fs, size = [], [], 0
@@ -246,8 +271,8 @@ def train(docs: DataFrame, model: Model) -> None:
         for (what, at), (d, t) in held.items():
             yield _change(what, at, 0, d, np.minimum(t, 65535))
 
-    changes = docs.select("text").mapInArrow(run, schema)
-    changes = changes.repartition("what", "piece", "salt").mapInArrow(add, schema).repartition("what", "piece").mapInArrow(add, schema)
+    changes = docs.select("text").mapInArrow(common.tidy(run), schema)
+    changes = changes.repartition("what", "piece", "salt").mapInArrow(common.tidy(add), schema).repartition("what", "piece").mapInArrow(common.tidy(add), schema)
     for what, at, _, delta, touched in changes.collect():  # the model's own size
         target = model.row.reshape(-1) if what == "row" else model.pair
         t = np.frombuffer(touched, dtype=np.uint16)
@@ -255,6 +280,25 @@ def train(docs: DataFrame, model: Model) -> None:
     shared.unpersist()
 
 
+def _frequent(counts: DataFrame) -> list[tuple[bytes, int, int]]:
+    """The KNOWN most frequent (word, n, kind), without the last ones that tie beyond that number.
+
+    A histogram of the counts gives the least count first, so that no task sends more than its share to the driver.
+    """
+    least, held = None, 0
+    for n, words in counts.groupBy("n").agg(F.count(F.lit(1))).orderBy(F.desc("n")).limit(KNOWN).collect():  # KNOWN rows at most
+        held += words
+        if held > KNOWN:
+            break
+        least = n
+    if least is None:
+        return []
+    kinds = ", ".join(f"k{k}" for k in range(KINDS))
+    kind = F.expr(f"cast(array_position(array({kinds}), greatest({kinds})) - 1 as int)")
+    rows = counts.where(F.col("n") >= least).select("word", "n", kind.alias("kind")).collect()  # KNOWN rows at most
+    return sorted(((bytes(w), n, k) for w, n, k in rows), key=lambda r: (-r[1], r[0]))
+
+
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, beyond array<binary>"
 
 
@@ -265,9 +309,7 @@ def score(docs: DataFrame) -> DataFrame:
     learn_from = docs.where("NOT held_out")
     counts = common.cut(count_words(learn_from), "counts")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    kind = F.expr(f"array_position(array({', '.join(f'k{k}' for k in range(KINDS))}), greatest({', '.join(f'k{k}' for k in range(KINDS))})) - 1")
-    top = counts.orderBy(F.desc("n"), "word").limit(KNOWN).select("word", "n", kind.cast("int").alias("kind")).collect()  # KNOWN rows at most
-    model = Model([(bytes(w), n, k) for w, n, k in top], total, distinct)
+    model = Model(_frequent(counts), total, distinct)
     train(learn_from, model)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     unit = total + distinct + 1
@@ -275,10 +317,10 @@ def score(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Model = shared.value
         known = np.log10(np.concatenate([own.count + 1, [1.0]]))
-        hashes: dict = {}
         for batch in batches:
             n, seen, base, scores, beyond = [], [], [], [], []
-            read = [own.read(t, hashes) for t in batch.column(2).to_pylist()]
+            texts = [tokens(t) for t in batch.column(2).to_pylist()]
+            read = [(w, *own.read(w)) for w in texts]
             logs = own.log_probs(np.concatenate([r[1] for r in read]), np.concatenate([r[2] for r in read])) / math.log(10) if read else []
             at = 0
             for words, ids, _ in read:
@@ -295,7 +337,7 @@ def score(docs: DataFrame) -> DataFrame:
                 [x.split()[0] for x in SCORED.split(", ")],
             )
 
-    scored = common.cut(docs.mapInArrow(run, SCORED).withColumn("row", F.monotonically_increasing_id()), "scored")
+    scored = common.cut(docs.mapInArrow(common.tidy(run), SCORED).withColumn("row", F.monotonically_increasing_id()), "scored")
     far = scored.select("row", F.explode("beyond").alias("word")).join(counts.select("word", "n"), "word")
     far = far.groupBy("row").agg(F.sum(F.log10(F.col("n") + 1)).alias("more"), F.count(F.lit(1)).alias("n_far"))
     out = scored.drop("beyond").join(far, "row", "left")

@@ -171,7 +171,7 @@ class Reader:
             x = of.get(token)
             if x is None:
                 x = self.derive(features(readings(token, self.model)))
-                if len(of) < 300_000:
+                if len(of) < 150_000:
                     of[token] = x
             if x:
                 got.update(x)
@@ -190,14 +190,14 @@ def char_counts(docs: DataFrame) -> np.ndarray:
             for text in batch.column(0).to_pylist():
                 if text:
                     words.update(text.lower().split())
-                    if len(words) > 200_000:
+                    if len(words) > 100_000:
                         total += trigram_counts(_letters(words))
                         words = Counter()
         total += trigram_counts(_letters(words))
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["tri", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "tri long, n long").groupBy("tri").agg(F.sum("n").alias("n")).collect()  # 64**3 rows at most
+    rows = docs.select("text").mapInArrow(common.tidy(run), "tri long, n long").groupBy("tri").agg(F.sum("n").alias("n")).collect()  # 64**3 rows at most
     total = np.zeros(_SIZE**3, dtype=np.int64)
     for tri, n in rows:
         total[tri] = n
@@ -251,7 +251,7 @@ def train(docs: DataFrame, labels: DataFrame, counts: np.ndarray) -> dict:
 
     sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     ones, zeros = sizes.get(1, 0), sizes.get(0, 0)
-    by = sample.mapInArrow(count, "feature string, toxic int, n long").groupBy("feature").agg(F.sum(F.expr("if(toxic = 1, n, 0)")).alias("n1"), F.sum(F.expr("if(toxic = 0, n, 0)")).alias("n0"))
+    by = sample.mapInArrow(common.tidy(count), "feature string, toxic int, n long").groupBy("feature").agg(F.sum(F.expr("if(toxic = 1, n, 0)")).alias("n1"), F.sum(F.expr("if(toxic = 0, n, 0)")).alias("n0"))
     odds = F.log((F.col("n1") + 0.5) / (ones + 1)) - F.log((F.col("n0") + 0.5) / (zeros + 1))
     best = by.where(F.col("n1") >= max(3, ones // 400)).withColumn("odds", odds).where("odds > 1.5").orderBy(F.desc(F.col("odds") * F.sqrt("n1")), "feature").limit(FEATURES)
     vocabulary = {r["feature"]: i for i, r in enumerate(best.collect())}  # FEATURES rows at most
@@ -262,7 +262,7 @@ def train(docs: DataFrame, labels: DataFrame, counts: np.ndarray) -> dict:
             found = [sorted(reader.read(t)) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.int32()))], ["toxic", "found"])
 
-    rows = sample.mapInArrow(pick, "toxic int, found array<int>").collect()  # TRAIN_ROWS, times the rows of a repeated doc_id
+    rows = sample.mapInArrow(common.tidy(pick), "toxic int, found array<int>").collect()  # TRAIN_ROWS, times the rows of a repeated doc_id
     weights, bias = fit([r["found"] for r in rows], [r["toxic"] for r in rows], len(vocabulary))
     return {"vocabulary": vocabulary, "weights": weights, "bias": bias}
 
@@ -285,6 +285,6 @@ def score(docs: DataFrame, labels: DataFrame, learn_from: DataFrame | None = Non
 
     kept = docs.select(*names)
     schema = kept.withColumn("score", F.lit(0.0)).schema
-    scored = kept.mapInArrow(run, schema)
+    scored = kept.mapInArrow(common.tidy(run), schema)
     held = (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4) == 2
     return scored.withColumn("predicted", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).cast("int")).withColumn("held_out", held)
