@@ -357,6 +357,8 @@ def _links(r: random.Random, n: int) -> str:
 
 def _article(r: random.Random, semantic: bool) -> str:
     parts = [_part(r.choice(["h1", "h1", "h2"]), _attrs(r, "title headline entry-title") if r.random() < 0.4 else "", _sentence(r, 2, 12), 1)] if r.random() < 0.9 else []
+    if parts and r.random() < 0.15:
+        parts = [_part("header", _attrs(r, "entry-header article-header") if r.random() < 0.5 else "", parts[0], 1)]
     for _ in range(r.choice([1, 2, 3, 5, 8, 14, 25])):
         k = r.random()
         if k < 0.72:
@@ -409,7 +411,7 @@ def _clutter(r: random.Random, inside: bool = False) -> str:
     if k == 9:
         return _part(r.choice(["nav", "div", "ol"]), r.choice([' class="breadcrumb"', ' class="breadcrumbs"', ' class="pagination"', ' class="pager"']), _links(r, r.randrange(2, 6)), 0)
     if k == 10:
-        return _part("aside", _attrs(r, "sidebar widget rail side"), (_part("h3", "", _sentence(r, 1, 3), 0) if r.random() < 0.5 else "") + (p(text) if r.random() < 0.5 else _links(r, r.randrange(2, 8))), 0)
+        return _part(r.choice(["aside", "aside", "div"]), _attrs(r, "sidebar widget rail side") or ' class="sidebar"', (_part("h3", "", _sentence(r, 1, 3), 0) if r.random() < 0.5 else "") + (p(text) if r.random() < 0.5 else _links(r, r.randrange(2, 8))), 0)
     return _part("div", _attrs(r, "byline meta tags toolbar skip legal widget"), p(short), 0)
 
 
@@ -417,14 +419,22 @@ def made_page(r: random.Random) -> str:
     """A page in a random layout; data-part tells for each block whether it belongs to the article."""
     semantic = r.random() < 0.6
     top, bottom = [], []
-    if r.random() < 0.7:
-        top.append(_part("header", _attrs(r, "header masthead head"), (_part("div", _attrs(r, "logo brand title"), _sentence(r, 1, 4), 0) if r.random() < 0.6 else "") + (_part("p", "", _sentence(r, 2, 9), 0) if r.random() < 0.4 else ""), 0) if r.random() < 0.6 else _part("div", ' class="header"', _sentence(r, 1, 6), 0))
+    if r.random() < 0.75:
+        name = _part(r.choice(["div", "h1", "h2", "h3", "p"]), _attrs(r, "logo brand title site-title") if r.random() < 0.5 else "", _sentence(r, 1, 4), 0)
+        inner = name if r.random() < 0.7 else f'<a href="/">{_sentence(r, 1, 4)}</a>'
+        if r.random() < 0.4:
+            inner += _part("p", "", _sentence(r, 2, 9), 0)
+        if r.random() < 0.3:
+            inner += _part(r.choice(["nav", "div"]), _attrs(r, "menu nav"), _links(r, r.randrange(2, 7)), 0)
+        top.append(_part("header", _attrs(r, "header masthead head") if r.random() < 0.6 else "", inner, 0) if r.random() < 0.65 else _part("div", r.choice([' class="header"', ' id="header"', ' class="masthead"', ' class="site-header top"']), inner, 0))
     if r.random() < 0.85:
         top.append(_part(r.choice(["nav", "nav", "div"]), _attrs(r, "nav menu navbar navigation main-menu") or ' class="menu"', _links(r, r.randrange(3, 12)), 0))
     for _ in range(r.choice([0, 1, 1, 2, 3])):
         (top if r.random() < 0.4 else bottom).append(_clutter(r))
     if r.random() < 0.85:
         foot = _sentence(r, 2, 12) if r.random() < 0.5 else _links(r, r.randrange(2, 7)) + _part("p", "", "&copy; " + _sentence(r, 2, 9), 0)
+        if r.random() < 0.3:
+            foot = _part(r.choice(["h2", "h3", "h4"]), "", _sentence(r, 1, 4), 0) + _part("p", "", _text(r), 0) + foot
         bottom.append(_part("footer", _attrs(r, "footer foot site-footer"), foot, 0) if r.random() < 0.7 else _part("div", ' class="footer"', foot, 0))
     middle = _article(r, semantic)
     if r.random() < 0.4:
@@ -474,4 +484,4 @@ def extract(pages: DataFrame) -> DataFrame:
             texts = extract_many(batch.column(2).to_pylist(), trees)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(common.tidy(run), "page_id long, url string, text string, n_chars long")
