@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -38,8 +39,10 @@ def cut(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, what)
     df.write.parquet(path)
+    # Finished stages' shuffle files go when nothing refers to them; the listeners do for a moment longer.
+    time.sleep(0.4)
     gc.collect()
-    spark.sparkContext._jvm.System.gc()  # finished stages' shuffle files go when nothing refers to them
+    spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out.skein_path = path
     return out

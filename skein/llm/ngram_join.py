@@ -2,14 +2,18 @@
 
 A document is the set of its 5-grams of words (a shorter one is a single gram). Documents with equal sets
 form a class; classes are joined. Sets are embedded as ``SIGNATURE`` min-hashes, which are the tokens of the
-chosen-path recursion: in each run a bucket splits on the few tokens that a hash of its path samples, 1/similarity
-of them expected, so that a similar pair is expected to share a child at every level. Buckets of up to
-``SMALL`` classes are compared by brute force; larger ones are split on. A pair survives d levels of one run with the probability
-that a branching process with mean 1 does, so runs are repeated until 1 - recall falls below ``MISS`` at the greatest
-depth that a run has reached. Pairs that agree in enough min-hashes are verified on the sets themselves: no pair below
-the similarity is returned.
-
-Null and empty texts have no grams and are classes of their own kind: all of them are one class without links. Repeated rows are
+chosen-path recursion: in each run the root splits on the few tokens that a hash samples, 1/similarity
+of them expected, and runs are repeated until the chance that a pair of the asked similarity shares none of them is below ``MISS``.
+Buckets of up to ``SMALL`` classes are compared by brute force. In a larger one every class meets a few pivots; classes that nearly
+equal one are done, since whatever is similar to them is then tied to that pivot too, and the others split on over ``CHILDREN``
+tokens of their path.
+
+Classes whose signatures agree as those of a similar pair might are tied together; ties are kept as spanning trees, so
+their number is linear in the buckets' sizes. All pairs of a tied component are then verified on the sets themselves, in
+blocks of at most ``TILE`` by ``TILE`` classes: so a pair that the recursion itself missed counts as soon as others tie it, and
+nothing below the similarity ever does. Results are counts and spanning trees of links, never a row per pair.
+
+Null and empty texts have no grams: all of them are one class without links. Repeated rows are
 members of one class. Rows with null doc_id get the class of their text. Extra columns are ignored.
 """
 
@@ -30,9 +34,16 @@ from skein.llm import common
 GRAM = 5
 SIMILARITY = 0.8
 SIGNATURE = 48
-SMALL = 256
-MISS = 1e-3
-MAX_DEPTH = 12
+SMALL = 1024
+MISS = 1e-5
+CHILDREN = 2
+MAX_DEPTH = 6
+TILE = 512
+#: Agreeing min-hashes of a pair of the asked similarity are fewer than this once in a million times.
+TIED = math.floor(SIGNATURE * SIMILARITY - 4.9 * math.sqrt(SIGNATURE * SIMILARITY * (1 - SIMILARITY)))
+#: Agreeing min-hashes from which a class is as good as its pivot.
+SAME = math.ceil(0.85 * SIGNATURE)
+PIVOTS = 8
 _WORD = re.compile(common.WORD)
 _MULTIPLIERS = np.array([xxhash.xxh64_intdigest(f"min-hash {i}") | 1 for i in range(SIGNATURE)], dtype=np.uint64)
 
@@ -46,7 +57,7 @@ def grams(text: str | None, of: dict) -> np.ndarray:
         if w not in of:
             of[w] = xxhash.xxh64_intdigest(w)
     h = np.array([of[w] for w in words], dtype=np.uint64)
-    if len(of) > 300_000:
+    if len(of) > 150_000:
         of.clear()
     size = min(GRAM, len(h))
     x = np.full(len(h) - size + 1, size, dtype=np.uint64)
@@ -77,46 +88,62 @@ def embed(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(classes), pa.array(sizes, pa.int32()), pa.array(signatures)], ["doc_id", "th", "class", "n", "signature"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
-    return slim.mapInArrow(run, "doc_id long, th long, class binary, n int, signature binary")
+    return slim.mapInArrow(common.tidy(run), "doc_id long, th long, class binary, n int, signature binary")
 
 
-def _sampled(path: np.ndarray, run: int) -> np.ndarray:
-    """Which of the tokens each path splits on: a hash of path, run and token decides."""
-    salt = np.array([xxhash.xxh64_intdigest(f"token {i} run {run}") for i in range(SIGNATURE)], dtype=np.uint64)
-    x = (path[:, None] ^ salt[None, :]) * np.uint64(0x9E3779B97F4A7C15)
-    x ^= x >> np.uint64(31)
-    x *= np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(29)
-    return (x >> np.uint64(11)).astype(np.float64) / 2.0**53 < 1 / (SIMILARITY * SIGNATURE)
+def root_tokens() -> list[tuple[int, int]]:
+    """(run, token) of the root's splits: runs are added until the recall is reached."""
+    out: list[tuple[int, int]] = []
+    run = 0
+    while len({t for _, t in out}) < math.log(MISS) / math.log(1 - SIMILARITY):
+        draw = (xxhash.xxh64_intdigest(f"run {run} token {t}") / 2.0**64 for t in range(SIGNATURE))
+        out += [(run, t) for t, x in enumerate(draw) if x < 1 / (SIMILARITY * SIGNATURE) and t not in {k for _, k in out}]
+        run += 1
+    return out
 
 
-def split(rows: DataFrame, runs: range | None) -> DataFrame:
-    """Children (run, path, class) of rows (run, path, class, signature); with runs, of the roots of these runs."""
+def split(rows: DataFrame, root: bool) -> DataFrame:
+    """Children (path, class) of rows (path, class, signature): at the root on its sampled tokens, else on CHILDREN tokens that a hash of the path chooses."""
+    tokens_of_root = np.array([t for _, t in root_tokens()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            tokens = np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype="<u4").reshape(-1, SIGNATURE).astype(np.uint64)
-            held, paths = np.array(batch.column(0)), np.array(batch.column(1)).view(np.uint64)
-            for r in runs if runs is not None else np.unique(held).tolist():
-                at = np.arange(len(held)) if runs is not None else np.flatnonzero(held == r)
-                row, token = np.nonzero(_sampled(paths[at], r))
-                x = (paths[at][row] ^ (token.astype(np.uint64) + np.uint64(r * SIGNATURE + 1))) * np.uint64(0x9E3779B97F4A7C15)
-                x = (x ^ (x >> np.uint64(32)) ^ tokens[at][row, token]) * np.uint64(0xBF58476D1CE4E5B9)
-                x ^= x >> np.uint64(30)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), r), pa.int32()), pa.array(x.view(np.int64)), batch.column(2).take(pa.array(at[row]))], ["run", "path", "class"])
+            held = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype="<u4").reshape(-1, SIGNATURE).astype(np.uint64)
+            paths = np.array(batch.column(0)).view(np.uint64)
+            choices = tokens_of_root if root else range(CHILDREN)
+            for k in choices:
+                x = (paths ^ np.uint64(0x5851F42D4C957F2D * (int(k) + 1) & (1 << 64) - 1)) * np.uint64(0x9E3779B97F4A7C15)
+                x ^= x >> np.uint64(29)
+                token = np.full(len(paths), int(k)) if root else (x % np.uint64(SIGNATURE)).astype(np.int64)
+                y = (x ^ held[np.arange(len(paths)), token]) * np.uint64(0xBF58476D1CE4E5B9)
+                y ^= y >> np.uint64(30)
+                yield pa.RecordBatch.from_arrays([pa.array(y.view(np.int64)), batch.column(1)], ["path", "class"])
 
-    return rows.select("run", "path", "class", "signature").mapInArrow(run, "run int, path long, class binary").distinct()
+    return rows.select("path", "class", "signature").mapInArrow(common.tidy(run), "path long, class binary")
 
 
-def compare(rows: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) of classes within each path of rows (path, class, n, signature).
+class Forest:
+    """Union-find over 0..n-1."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def root(self, i: int) -> int:
+        while self.up[i] != i:
+            self.up[i] = self.up[self.up[i]]
+            i = self.up[i]
+        return i
+
+    def tie(self, i: int, j: int) -> bool:
+        i, j = self.root(i), self.root(j)
+        self.up[max(i, j)] = min(i, j)
+        return i != j
 
-    A pair is kept if the signatures agree where a pair of the asked similarity would, but for once in a million times.
-    """
-    spread = math.sqrt(SIMILARITY * (1 - SIMILARITY) / SIGNATURE)
-    least = math.floor(SIGNATURE * (SIMILARITY - 4.9 * spread))
+
+def compare(rows: DataFrame) -> DataFrame:
+    """Ties (a, b) of classes within each path of rows (path, class, n, signature): a spanning tree of those that might be similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
@@ -128,94 +155,186 @@ def compare(rows: DataFrame) -> DataFrame:
                 continue
             first = int(np.searchsorted(paths, paths[-1])) if paths[0] != paths[-1] else 0  # the last path may go on
             rest = table.slice(first)
-            yield from pairs(table.slice(0, first))
+            yield from ties(table.slice(0, first))
         if rest is not None:
-            yield from pairs(rest)
+            yield from ties(rest)
 
-    def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    def ties(table: pa.Table) -> Iterator[pa.RecordBatch]:
         if table.num_rows < 2:
             return
         paths, sizes = np.array(table.column(0).combine_chunks()), np.array(table.column(2).combine_chunks())
         classes = table.column(1).combine_chunks()
         tokens = np.frombuffer(b"".join(table.column(3).to_pylist()), dtype="<u4").reshape(-1, SIGNATURE)
+        forest, left, right = Forest(len(paths)), [], []
         at, apart = np.arange(len(paths)), 1
-        while True:
+        while len(at):
             at = at[: np.searchsorted(at, len(paths) - apart)]
             at = at[paths[at] == paths[at + apart]]
-            if not len(at):
-                return
             for some in np.array_split(at, max(1, len(at) // 50_000)):
                 other = some + apart
                 fit = np.minimum(sizes[some], sizes[other]) >= SIMILARITY * np.maximum(sizes[some], sizes[other]) - 1e-9
                 some, other = some[fit], other[fit]
-                near = (tokens[some] == tokens[other]).sum(axis=1) >= least
-                if near.any():
-                    yield pa.RecordBatch.from_arrays([classes.take(pa.array(some[near])), classes.take(pa.array(other[near]))], ["a", "b"])
+                near = (tokens[some] == tokens[other]).sum(axis=1) >= TIED
+                for i, j in zip(some[near].tolist(), other[near].tolist()):
+                    if forest.tie(i, j):
+                        left.append(i)
+                        right.append(j)
             apart += 1
+        if left:
+            yield pa.RecordBatch.from_arrays([classes.take(pa.array(left)), classes.take(pa.array(right))], ["a", "b"])
 
     ordered = rows.select("path", "class", "n", "signature").repartition("path").sortWithinPartitions("path", "class")
-    return ordered.mapInArrow(run, "a binary, b binary").distinct()
+    return ordered.mapInArrow(common.tidy(run), "a binary, b binary").distinct()
 
 
-def survival(depth: int) -> float:
-    """Probability that a pair of exactly the asked similarity shares a path of this depth in one run."""
-    s = 1.0
-    for _ in range(depth):
-        s = 1 - math.exp(-s)
-    return s
+def meet(rows: DataFrame) -> DataFrame:
+    """Classes of large buckets against their pivots. rows: (path, class, n, signature, pivots array<struct<class,n,signature>>).
 
+    Output rows are ties (a, b), or what must split on (path, class). A class is tied to one pivot of each set of pivots that are tied among themselves.
+    """
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """Pairs of classes that some run's recursion brought together."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache: dict[int, tuple] = {}
+        for batch in batches:
+            paths, classes, sizes = batch.column(0).to_pylist(), batch.column(1).to_pylist(), np.array(batch.column(2))
+            if not paths:
+                continue
+            tokens = np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype="<u4").reshape(-1, SIGNATURE)
+            a, b, on = [], [], []
+            order = np.argsort(np.array(paths), kind="stable")
+            cuts = np.flatnonzero(np.diff(np.array(paths)[order])) + 1
+            for some in np.split(order, cuts):
+                path = paths[some[0]]
+                if path not in cache:
+                    pivots = sorted(batch.column(4)[int(some[0])].as_py(), key=lambda p: p["class"])
+                    held = np.frombuffer(b"".join(p["signature"] for p in pivots), dtype="<u4").reshape(-1, SIGNATURE)
+                    n = np.array([p["n"] for p in pivots])
+                    near = ((held[:, None] == held[None]).sum(axis=2) >= TIED) & _fits(n[:, None], n[None])
+                    forest = Forest(len(pivots))
+                    for i, j in zip(*np.nonzero(near)):
+                        forest.tie(int(i), int(j))
+                    cache[path] = ([p["class"] for p in pivots], held, n, np.array([forest.root(i) for i in range(len(pivots))]))
+                names, held, n, root = cache[path]
+                agree = (tokens[some][:, None] == held[None]).sum(axis=2)
+                tied = (agree >= TIED) & _fits(sizes[some][:, None], n[None])
+                for r in np.unique(root):
+                    mine = tied & (root == r)[None]
+                    for k in np.flatnonzero(mine.any(axis=1)).tolist():
+                        name = classes[some[k]]
+                        to = names[r] if name in names else names[int(mine[k].argmax())]
+                        if to != name:
+                            a.append(to)
+                            b.append(name)
+                on += some[~(agree >= SAME).any(axis=1)].tolist()
+            none, gone = pa.nulls(len(on), pa.binary()), pa.nulls(len(a), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.concat_arrays([pa.array(a, pa.binary()), none]), pa.concat_arrays([pa.array(b, pa.binary()), none]), pa.concat_arrays([gone, pa.array([paths[i] for i in on], pa.int64())]), pa.concat_arrays([pa.nulls(len(a), pa.binary()), pa.array([classes[i] for i in on], pa.binary())])],
+                ["a", "b", "path", "class"],
+            )
+
+    return rows.select("path", "class", "n", "signature", "pivots").mapInArrow(common.tidy(run), "a binary, b binary, path long, class binary")
+
+
+def _fits(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.minimum(x, y) >= SIMILARITY**2 * np.maximum(x, y)
+
+
+def ties(classes: DataFrame) -> DataFrame:
+    """Spanning ties (a, b) over all classes that some path brought together and that might be similar."""
     found: list[DataFrame] = []
-    done, runs = 0, math.ceil(math.log(MISS) / math.log(1 - survival(1)))
-    while done < runs:
-        depth = 1
-        roots = classes.select(F.lit(0).alias("run"), F.lit(0).cast("long").alias("path"), "class", "signature")
-        rows = common.cut(split(roots, range(done, runs)), "paths")
-        while True:
-            sizes = rows.groupBy("run", "path").count().where("count > 1")
-            sized = rows.join(sizes, ["run", "path"])
-            small = sized.where(F.col("count") <= (SMALL if depth < MAX_DEPTH else 1 << 40))
-            found.append(common.cut(compare(small.select("path", "class").join(classes, "class")), "pairs"))
-            large = sized.where(F.col("count") > SMALL)
-            if depth >= MAX_DEPTH or large.isEmpty():
-                break
-            depth += 1
-            rows = common.cut(split(large.select("run", "path", "class").join(classes.select("class", "signature"), "class").select("run", "path", "class", "signature"), None), "paths")
-        done, runs = runs, max(runs, math.ceil(math.log(MISS) / math.log(1 - survival(depth))))
+    rows = common.cut(split(classes.select(F.lit(0).cast("long").alias("path"), "class", "signature"), True), "paths")
+    for depth in range(1, MAX_DEPTH + 1):
+        sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+        sized = common.cut(rows.join(sizes, "path"), "sized")
+        small = sized.where(F.col("size") <= SMALL).select("path", "class").join(classes, "class")
+        found.append(common.cut(compare(small), "ties"))
+        large = sized.where(F.col("size") > SMALL)
+        if large.isEmpty():
+            break
+        large = large.join(classes.select("class", "n", "signature"), "class")
+        # a bucket has about PIVOTS of them, whatever its size
+        drawn = large.where(f"pmod(xxhash64(path, class), size) < {PIVOTS}")
+        pivots = drawn.groupBy("path").agg(F.collect_list(F.struct("class", "n", "signature")).alias("pivots"))
+        met = common.cut(meet(large.join(pivots, "path", "left").withColumn("pivots", F.expr("coalesce(pivots, array())"))), "met")
+        found.append(common.cut(met.where("path IS NULL").select("a", "b").distinct(), "ties"))
+        rest = met.where("path IS NOT NULL").select("path", "class").join(classes, "class")
+        if depth < MAX_DEPTH:
+            rows = common.cut(split(rest, False), "paths")
+        else:  # what no split parts: compared in full
+            found.append(common.cut(compare(rest), "ties"))
     out = found[0]
     for more in found[1:]:
         out = out.union(more)
-    return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return out.distinct()
+
 
+def verify(docs: DataFrame, classes: DataFrame, components: DataFrame) -> DataFrame:
+    """(class, links, root): how many classes of its component each is similar to in a tile, and a spanning tree of these links.
 
-def verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets do have the similarity. A class's text is read from its first document."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    wanted = ends.join(classes.select("class", "rep", "th"), "class").select("class", F.col("rep").alias("w_id"), F.col("th").alias("w_th"))
+    components: (class, group). A class's text is read from its first document. A component of more than TILE classes is dealt over
+    tiles of two parts each, so that a task never holds more than two parts; a class goes to as many tiles as its component has parts.
+    """
+    wanted = components.join(classes.select("class", "rep", "th"), "class").select("class", F.col("rep").alias("w_id"), F.col("th").alias("w_th"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
     texts = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("th") == F.col("w_th"))).select("class", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of: dict[str, int] = {}
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([grams(t, of).tobytes() for t in batch.column(1).to_pylist()])], ["class", "grams"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([grams(t, of).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["class", "grams"])
 
-    held = texts.mapInArrow(sets, "class binary, grams binary").dropDuplicates(["class"])
-    held = common.cut(held, "sets")
-    both = pairs.join(held.select(F.col("class").alias("a"), F.col("grams").alias("ga")), "a").join(held.select(F.col("class").alias("b"), F.col("grams").alias("gb")), "b")
+    held = common.cut(texts.mapInArrow(common.tidy(sets), "class binary, grams binary").dropDuplicates(["class"]), "grams")
+    parts = components.groupBy("group").agg(F.expr(f"cast(ceil(count(1) * 2 / {TILE}) as int)").alias("parts"))
+    dealt = components.join(parts, "group").withColumn("part", F.expr("cast(pmod(xxhash64(class), parts) as int)"))
+    tiles = F.explode(F.expr("transform(sequence(0, parts - 1), p -> struct(least(p, part) AS i, greatest(p, part) AS j))"))
+    dealt = dealt.select("class", "group", "part", tiles.alias("t")).select("class", "part", F.xxhash64("group", "t.i", "t.j").alias("tile"), "t.i", "t.j")
+    rows = dealt.join(held, "class").select("tile", "class", "part", "i", "j", "grams")
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, kept = None, []
         for batch in batches:
-            keep = []
-            for ga, gb in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(ga, dtype=np.uint64), np.frombuffer(gb, dtype=np.uint64)
-                same = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(same >= SIMILARITY * (len(x) + len(y) - same) - 1e-9)
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return both.select("a", "b", "ga", "gb").mapInArrow(check, "a binary, b binary")
+            for tile, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if tile != key:
+                    yield from links(kept)
+                    key, kept = tile, []
+                kept.append(row)
+        yield from links(kept)
+
+    def links(kept: list) -> Iterator[pa.RecordBatch]:
+        if len(kept) < 2:
+            return
+        arrays = [np.frombuffer(r[4], dtype=np.uint64) for r in kept]
+        n = np.array([len(a) for a in arrays])
+        if len(kept) <= 6:
+            same = np.diag(n).astype(np.float64)
+            for i in range(len(kept)):
+                for j in range(i):
+                    same[i, j] = same[j, i] = len(np.intersect1d(arrays[i], arrays[j], assume_unique=True))
+        else:  # an incidence matrix, some grams at a time
+            words, at = np.unique(np.concatenate(arrays), return_inverse=True)
+            row = np.repeat(np.arange(len(kept)), n)
+            order = np.argsort(at, kind="stable")
+            row, at = row[order], at[order]
+            same = np.zeros((len(kept), len(kept)), dtype=np.float32)
+            for a in range(0, len(words), 4096):
+                lo, hi = np.searchsorted(at, a), np.searchsorted(at, a + 4096)
+                dense = np.zeros((len(kept), 4096), dtype=np.float32)
+                dense[row[lo:hi], at[lo:hi] - a] = 1
+                same += dense @ dense.T
+        linked = same >= SIMILARITY * (n[:, None] + n[None, :] - same) - 1e-6
+        np.fill_diagonal(linked, False)
+        part, (i, j) = np.array([r[1] for r in kept]), kept[0][2:4]
+        if i != j:  # pairs within one part belong to that part's own tile
+            linked &= part[:, None] != part[None, :]
+        forest = Forest(len(kept))
+        for x, y in zip(*np.nonzero(np.triu(linked))):
+            forest.tie(int(x), int(y))
+        degree = linked.sum(axis=1)
+        at = np.flatnonzero(degree)
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array([kept[k][0] for k in at], pa.binary()), pa.array(degree[at].astype(np.int64)), pa.array([kept[forest.root(int(k))][0] for k in at], pa.binary())], ["class", "links", "root"])
+
+    return rows.repartition("tile").sortWithinPartitions("tile", "class").mapInArrow(common.tidy(run), "class binary, links long, root binary")
 
 
 def groups(links: DataFrame) -> DataFrame:
@@ -237,23 +356,26 @@ def groups(links: DataFrame) -> DataFrame:
 
 
 def join(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(members, classes, links): (doc_id, th, class), (class, rep, th, n, signature), (a, b)."""
+    """(members, classes, links): (doc_id, th, class, n), (class, rep, th, n, signature), (class, links, root)."""
     common.small_batches(docs.sparkSession)
-    both = common.cut(embed(docs), "members")
-    classes = both.where("n > 0").groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th", "n", "signature")).alias("x"))
+    members = common.cut(embed(docs), "members")
+    classes = members.where("n > 0").groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th", "n", "signature")).alias("x"))
     classes = common.cut(classes.select("class", F.col("x.doc_id").alias("rep"), "x.th", "x.n", "x.signature"), "classes")
-    pairs = common.cut(candidates(classes), "candidates")
-    links = common.cut(verify(docs, classes, pairs), "verified")
-    return both.select("doc_id", "th", "class"), classes, links
+    links = common.cut(verify(docs, classes, groups(common.cut(ties(classes), "ties"))), "links")
+    return members.select("doc_id", "th", "class", "n"), classes, links
+
+
+def linked_groups(links: DataFrame) -> DataFrame:
+    return groups(links.where("class != root").select(F.col("class").alias("a"), F.col("root").alias("b")).distinct())
 
 
 def report(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id, links, group_id) of every row: the least doc_id of its class, how many other classes its class
     links to, and the least doc_id of all classes it is linked with by any chain."""
     members, classes, links = join(docs)
-    degree = links.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("links"))
+    degree = links.groupBy("class").agg(F.sum("links").alias("links"))
     reps = members.groupBy("class").agg(F.min("doc_id").alias("class_id"))
-    labels = groups(links)
+    labels = linked_groups(links)
     least = labels.join(reps, "class").groupBy("group").agg(F.min("class_id").alias("group_id"))
     about = reps.join(degree, "class", "left").join(labels.join(least, "group").select("class", "group_id"), "class", "left")
     about = about.select("class", "class_id", F.coalesce("links", F.lit(0).cast("long")).alias("links"), F.coalesce("group_id", "class_id").alias("group_id"))
@@ -265,11 +387,10 @@ def dedup(docs: DataFrame) -> DataFrame:
 
     Rows without words are kept. Of rows that repeat that doc_id and text, all stay equal and one is kept.
     """
-    members, classes, links = join(docs)
-    labels = groups(links)
-    named = members.join(labels, "class", "left").join(classes.select("class", F.lit(True).alias("worded")), "class", "left")
+    members, _, links = join(docs)
+    named = members.join(linked_groups(links), "class", "left").withColumn("worded", F.col("n") > 0)
     best = named.where("worded").groupBy(F.coalesce("group", "class").alias("group")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("x"))
-    stay = best.select("x.doc_id", "x.th").union(named.where("worded IS NULL").select("doc_id", "th")).distinct()
+    stay = best.select("x.doc_id", "x.th").union(named.where("NOT worded").select("doc_id", "th")).distinct()
     stay = stay.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"))
     kept = docs.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__th")), "left_semi")
     return kept.dropDuplicates(["doc_id", "text"])

@@ -30,11 +30,11 @@ from pyspark.sql import functions as F
 from skein.llm import common
 
 WINDOW = 35
-SEED = 22
+SEED = 16
 _WORD = re.compile(common.WORD)
 _BASE = 0x9E3779B97F4A7C15
 #: Hashed words that a worker keeps.
-_KEPT = 300_000
+_KEPT = 200_000
 
 
 class _Hashes(dict):
@@ -125,7 +125,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ths, pa.int64()), _signed(np.concatenate(found)), pa.array(np.concatenate(places), pa.int32())], ["doc_id", "th", "anchor", "place"])
 
     keepers = marked.where("keeps").select("doc_id", "th", "text", "copied")
-    index = common.cut(keepers.select("doc_id", "th", "text").mapInArrow(anchors, "doc_id long, th long, anchor long, place int"), "anchors")
+    index = common.cut(keepers.select("doc_id", "th", "text").mapInArrow(common.tidy(anchors), "doc_id long, th long, anchor long, place int"), "anchors")
     often = index.groupBy("anchor").count().where("count > 1").select("anchor")
     hits = index.join(often, "anchor").groupBy(F.col("doc_id").alias("h_id"), F.col("th").alias("h_th")).agg(F.collect_list("place").alias("places"))
 
@@ -149,7 +149,8 @@ def dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ths, pa.int64()), _signed(np.concatenate(found)), pa.array(np.concatenate(starts), pa.int32())], ["doc_id", "th", "hash", "start"])
 
     held = F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("th") == F.col("h_th"))
-    windows = common.cut(keepers.join(hits, held).select("doc_id", "th", "text", "places").mapInArrow(candidates, "doc_id long, th long, hash long, start int"), "windows")
+    windows = common.cut(keepers.join(hits, held).select("doc_id", "th", "text", "places").mapInArrow(common.tidy(candidates), "doc_id long, th long, hash long, start int"), "windows")
+    common.drop_cut(index)
     repeated = windows.groupBy("hash").count().where("count > 1").select("hash")
     covered = windows.join(repeated, "hash").groupBy(F.col("doc_id").alias("c_id"), F.col("th").alias("c_th")).agg(F.collect_list("start").alias("starts"))
 
@@ -174,7 +175,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
 
     own = F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("th") == F.col("c_th"))
     final = marked.join(covered, own, "left").select("doc_id", "text", "copied", "starts")
-    return final.mapInArrow(keep, "doc_id long, n_words long, n_removed long, kept_text string")
+    return final.mapInArrow(common.tidy(keep), "doc_id long, n_words long, n_removed long, kept_text string")
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -32,6 +32,8 @@ SCALE_BITS = 20
 SCALE = 1 << SCALE_BITS
 LANES = 2048
 BLOCK = 1 << 18
+#: Pre-tokens that a worker keeps.
+KEPT = 350_000
 LOW = np.uint64(1 << 31)
 _S, _W, _MASK = np.uint64(SCALE_BITS), np.uint64(32), np.uint64(SCALE - 1)
 
@@ -92,24 +94,49 @@ class Coder:
         return out
 
 
-@functools.lru_cache(maxsize=2)
-def _words(path: str):
-    """Ids of words as bytes, from the tokenizers library; a bounded number is kept."""
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    from tokenizers import Tokenizer
+class _Encoder:
+    """Packed ids of texts, from the tokenizers library.
+
+    The library gets each distinct pre-token once, many in one call with a special token between them, which no pre-token
+    holds; a bounded number is kept.
+    """
+
+    def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
 
-    library, vocab, of = Tokenizer.from_file(path), bpe.vocabulary(path), {}
-    kind = id_kind(path)
+        self.library, self.vocab, self.kind = Tokenizer.from_file(path), bpe.vocabulary(path), id_kind(path)
+        self.between, self.mark = next(iter(self.vocab.special.items()))
+        self.pieces: dict[str, bytes] = {}
 
-    def learn(words: set[str]) -> dict:
-        new = [w for w in words if w not in of]
-        known = {w: of[w] for w in words if w in of} if len(of) > bpe.CACHE else of
+    def learn(self, pieces: set[str]) -> dict[str, bytes]:
+        new = [p for p in pieces if p not in self.pieces]
+        if len(self.pieces) + len(new) > KEPT:
+            self.pieces.clear()
+            new = list(pieces)
+        width = array(self.kind).itemsize
         for a in range(0, len(new), 4096):
-            for w, e in zip(new[a : a + 4096], library.encode_batch_fast(new[a : a + 4096], add_special_tokens=False)):
-                known[w] = array(kind, e.ids).tobytes()
-        return known
+            some = [p for p in new[a : a + 4096] if p not in self.vocab.special]
+            ids = np.array(self.library.encode_batch_fast([self.between.join(some)], add_special_tokens=False)[0].ids, dtype=self.kind)
+            at, raw = np.flatnonzero(ids == self.mark) * width, ids.tobytes()
+            self.pieces.update(zip(some, [raw[x:y] for x, y in zip([0, *(at + width).tolist()], [*at.tolist(), len(raw)])]))
+        for p in new:
+            if p in self.vocab.special:
+                self.pieces[p] = array(self.kind, [self.vocab.special[p]]).tobytes()
+        return self.pieces
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        cut_up = [self.vocab.pieces(t) for t in texts]
+        pieces: set[str] = set()
+        for ps in cut_up:
+            pieces.update(ps)
+        of = self.learn(pieces)
+        return [b"".join(map(of.__getitem__, ps)) for ps in cut_up]
 
-    return vocab, learn
+
+@functools.lru_cache(maxsize=2)
+def _encoder(path: str) -> _Encoder:
+    return _Encoder(path)
 
 
 def id_kind(path: str) -> str:
@@ -121,20 +148,14 @@ def tokenize(docs: DataFrame, path: str, end: int = 0) -> DataFrame:
     """(doc_id, ids): ids of each text and the end id, as id_kind() packs them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, learn = _words(path)
-        tail = array(id_kind(path), [end]).tobytes()
+        encoder, tail = _encoder(path), array(id_kind(path), [end]).tobytes()
         for batch in batches:
             ids = []
             for part in bpe.slices([t or "" for t in batch.column(1).to_pylist()], 2_000_000):
-                cut_up = [vocab.pieces(t) for t in part]
-                words: set[str] = set()
-                for ps in cut_up:
-                    words.update(ps)
-                of = learn(words)
-                ids += [b"".join(map(of.__getitem__, ps)) + tail for ps in cut_up]
+                ids += [x + tail for x in encoder.encode(part)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(common.tidy(run), "doc_id long, ids binary")
 
 
 def count_ids(tokens: DataFrame, kind: str) -> DataFrame:
@@ -150,7 +171,7 @@ def count_ids(tokens: DataFrame, kind: str) -> DataFrame:
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["token", "n"])
 
-    return tokens.select("ids").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    return tokens.select("ids").mapInArrow(common.tidy(run), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
 BLOCKS = "shard int, block int, first_token long, n_tokens long, doc_ids array<long>, doc_tokens array<long>, payload binary, crc long"
@@ -198,7 +219,7 @@ def write_store(docs: DataFrame, vocab_path: str, path: str, end: int = 0, block
             yield flush()
 
     ordered = tokens.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
-    ordered.mapInArrow(run, BLOCKS).write.parquet(f"{path}/blocks")
+    ordered.mapInArrow(common.tidy(run), BLOCKS).write.parquet(f"{path}/blocks")
     common.drop_path(spark, raw)
 
 
@@ -231,7 +252,7 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
                 docs = [ids[e - n : e].tobytes() for e, n in zip(ends.tolist(), lengths.tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(r["doc_ids"], pa.int64()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(docs, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
 
-    return blocks.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return blocks.mapInArrow(common.tidy(run), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def digest(docs: DataFrame, vocab_path: str) -> DataFrame:
