@@ -338,21 +338,26 @@ def verify(docs: DataFrame, classes: DataFrame, components: DataFrame) -> DataFr
 
 
 def groups(links: DataFrame) -> DataFrame:
-    """(class, group) of linked classes: the least class reachable, by label passing with shortcuts.
+    """(class, group) of linked classes: the least class reachable, by contraction.
 
-    Each round every class takes the least label around it and then that label's own label; the rounds needed grow with
-    the logarithm of a chain's length.
+    Each round a node takes the least name around it, and the links between different names are the next round's graph, at most half as
+    many nodes. At the end the rounds' names are looked up from the last to the first.
     """
-    both = common.cut(links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = common.cut(both.groupBy(F.col("a").alias("class")).agg(F.least(F.col("a"), F.min("b")).alias("group")), "labels")
-    while True:
-        around = both.join(labels, F.col("b") == F.col("class")).groupBy("a").agg(F.min("group").alias("near"))
-        nearer = labels.join(around, F.col("class") == F.col("a")).select("class", F.col("group").alias("was"), F.least("group", "near").alias("group"))
-        heads = labels.select(F.col("class").alias("head"), F.col("group").alias("beyond"))
-        new = common.cut(nearer.join(heads, F.col("group") == F.col("head"), "left").select("class", "was", F.least("group", F.coalesce("beyond", "group")).alias("group")), "labels")
-        labels = new.select("class", "group")
-        if new.where("was != group").isEmpty():
-            return labels
+    edges = common.cut(links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct(), "links")
+    rounds = []
+    while not edges.isEmpty():
+        names = common.cut(edges.groupBy(F.col("a").alias("class")).agg(F.least(F.col("a"), F.min("b")).alias("group")), "names")
+        rounds.append(names)
+        left = names.select(F.col("class").alias("a"), F.col("group").alias("x"))
+        right = names.select(F.col("class").alias("b"), F.col("group").alias("y"))
+        edges = common.cut(edges.join(left, "a").join(right, "b").where("x != y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "links")
+    if not rounds:
+        return edges.select(F.col("a").alias("class"), F.col("b").alias("group"))
+    labels = rounds[-1]
+    for names in reversed(rounds[:-1]):
+        later = labels.select(F.col("class").alias("name"), F.col("group").alias("last"))
+        labels = common.cut(names.join(later, F.col("group") == F.col("name"), "left").select("class", F.coalesce("last", "group").alias("group")), "labels")
+    return labels
 
 
 def join(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -29,6 +29,8 @@ from skein.llm import common
 TRAIN_ROWS = 40_000
 FEATURES = 3_000
 THRESHOLD = 0.3
+#: Log-odds of a feature times the root of its toxic texts, from which it is no chance.
+EVIDENCE = 6
 PREFIXES = (3, 4, 5, 6, 7)
 #: What a sign can stand for.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "*": "aeiou", "#": "aeiou", "%": "aeiou"}
@@ -253,7 +255,7 @@ def train(docs: DataFrame, labels: DataFrame, counts: np.ndarray) -> dict:
     ones, zeros = sizes.get(1, 0), sizes.get(0, 0)
     by = sample.mapInArrow(common.tidy(count), "feature string, toxic int, n long").groupBy("feature").agg(F.sum(F.expr("if(toxic = 1, n, 0)")).alias("n1"), F.sum(F.expr("if(toxic = 0, n, 0)")).alias("n0"))
     odds = F.log((F.col("n1") + 0.5) / (ones + 1)) - F.log((F.col("n0") + 0.5) / (zeros + 1))
-    best = by.where(F.col("n1") >= max(3, ones // 400)).withColumn("odds", odds).where("odds > 1.5").orderBy(F.desc(F.col("odds") * F.sqrt("n1")), "feature").limit(FEATURES)
+    best = by.where(F.col("n1") >= max(3, ones // 400)).withColumn("odds", odds).where(f"odds > 1.5 AND odds * sqrt(n1) >= {EVIDENCE}").orderBy(F.desc(F.col("odds") * F.sqrt("n1")), "feature").limit(FEATURES)
     vocabulary = {r["feature"]: i for i, r in enumerate(best.collect())}  # FEATURES rows at most
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

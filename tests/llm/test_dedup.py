@@ -195,3 +195,21 @@ def test_fingerprints_recover_differences(spark):
     assert got[1002]["fingerprint"] == got[rows[3][0]]["fingerprint"]
     assert got[None]["n_chars"] == 280 and got[None]["near_next"] == 0.0
     assert fingerprint.fingerprints(made(spark, [])).count() == 0
+
+
+def test_components(spark):
+    r = random.Random(8)
+    edges = [(bytes([i // 256, i % 256]), bytes([j // 256, j % 256])) for i, j in [(k, k + 1) for k in range(300, 340)] + [(r.randrange(250), r.randrange(250)) for _ in range(150)]]
+    up = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((root(a), root(b)))
+        up[b] = a
+    got = {bytes(x["class"]): bytes(x["group"]) for x in ngram_join.groups(spark.createDataFrame(edges, "a binary, b binary")).collect()}
+    assert got == {x: root(x) for x in up if any(x in e and e[0] != e[1] for e in edges)}
+    assert ngram_join.groups(spark.createDataFrame([], "a binary, b binary")).count() == 0
