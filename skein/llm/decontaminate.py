@@ -1,29 +1,33 @@
-"""Benchmark decontamination by spaced seeds, DataFrame operations only.
+"""Benchmark decontamination by seeds, DataFrame operations only.
 
-Texts are lower-cased and cut into runs of letters and digits. Each fixed mask hashes the tokens at its marked
-places of a window and ignores the others, so a substituted token spoils few hashes. Benchmark items are
-hashed at every window, documents at every ``STEP``-th. Where hashes meet, the document is laid over the item on
-that diagonal, and the overlap counts if some ``REGION`` aligned places (or the whole item, if shorter)
-hold at least ``SHARE`` equal tokens.
+Texts are lower-cased and cut into runs of letters and digits. An overlap counts if, on some diagonal of document and item,
+``REGION`` aligned places (or the whole item, if shorter) hold at least ``SHARE`` equal tokens. Runs of ``GRAM`` tokens
+are hashed at every window of both. A place that differs spoils at most ``GRAM`` of them, so an overlap keeps a known number of equal runs
+on its diagonal; whichever diagonal has that many is checked place by place. Items so short that no run need be left
+use shorter runs. So the seeds lose no overlap.
 
-Null and empty texts, and items shorter than a mask, match nothing. Repeated rows get equal results; a document is told
+Null and empty texts match nothing. Repeated rows get equal results; a document is told
 apart by doc_id (nulls equal) and text. Extra columns don't matter to ``overlaps`` and are kept by ``clean``.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.common import let
 
+#: Tokens of a run, at most.
+GRAM = 3
+#: Windows, marked places of each mask and stride of the oracle's SQL alone.
 SPAN = 12
-#: Marked places of each mask.
 MASKS = ((0, 1, 2, 4, 7, 9, 10, 11), (0, 1, 3, 4, 6, 8, 10, 11), (0, 2, 3, 5, 6, 8, 9, 11))
 STEP = 2
 REGION = 15
 SHARE = 0.8
-#: Item hashes are broadcast up to this many rows (16 bytes each); beyond, the join shuffles.
+#: Item hashes are broadcast up to this many rows (some 30 bytes each); beyond, the join shuffles.
 BROADCAST_ROWS = 2_000_000
 
 
@@ -31,24 +35,45 @@ def tokens(text: str) -> str:
     return rf"array_remove(split(lower({text}), '[^\\p{{L}}\\p{{N}}]+'), '')"
 
 
-def _seeds(text: str, step: int) -> str:
-    """SQL: array of (i, seed) of a text's windows."""
-    seeds = ", ".join(f"named_struct('i', i, 'seed', xxhash64({m}, {', '.join(f'h[i + {p}]' for p in mask)}))" for m, mask in enumerate(MASKS))
-    windows = f"flatten(transform(sequence(0, size(h) - {SPAN}, {step}), i -> array({seeds})))"
+def _runs(length: int) -> tuple[int, int]:
+    """Tokens of the runs of an item of that many tokens, and how many equal runs an overlap has at least."""
+    region = min(length, REGION)
+    spoilt = region - math.ceil(SHARE * region - 1e-9)
+    return next((g, left) for g in range(GRAM, 0, -1) if (left := region - g + 1 - g * spoilt) > 0)
+
+
+def _pick(at: int) -> str:
+    """SQL: a value of _runs for an item of n tokens."""
+    return f"element_at(array({', '.join(str(_runs(n)[at]) for n in range(1, REGION + 1))}), least(n, {REGION}))"
+
+
+def _hashes(text: str) -> str:
+    return f"transform({tokens(text)}, t -> xxhash64(t))"
+
+
+def _windows(g: int) -> str:
+    """SQL: array of (i, seed) of the runs of g tokens of the hashes h."""
     none = "cast(array() as array<struct<i:int,seed:bigint>>)"
-    return let("h", f"transform({tokens(text)}, t -> xxhash64(t))", f"if(size(h) >= {SPAN}, {windows}, {none})")
+    windows = f"transform(sequence(0, size(h) - {g}), i -> named_struct('i', i, 'seed', xxhash64({g}, {', '.join(f'h[i + {p}]' for p in range(g))})))"
+    return f"if(size(h) >= {g}, {windows}, {none})"
 
 
 def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, th, item_id, same): documents that overlap an item, and the most equal tokens of an alignment."""
     docs = docs.select("doc_id", F.xxhash64("text").alias("th"), "text").where("text IS NOT NULL")
     items = items.select("item_id", "text").where("text IS NOT NULL").dropDuplicates(["item_id", "text"])
-    theirs = items.select("item_id", F.xxhash64("text").alias("ih"), F.explode(F.expr(_seeds("text", 1))).alias("s"))
-    theirs = theirs.select("item_id", "ih", F.col("s.i").alias("at"), "s.seed")
+    theirs = items.select("item_id", F.xxhash64("text").alias("ih"), F.expr(_hashes("text")).alias("h")).withColumn("n", F.size("h")).where("n > 0")
+    theirs = theirs.select("item_id", "ih", "h", F.expr(_pick(0)).alias("g"), F.expr(_pick(1)).alias("least"))
+    sizes = sorted(r.g for r in theirs.select("g").distinct().collect())  # GRAM rows at most
+    seeds = " ".join(f"WHEN {g} THEN {_windows(g)}" for g in range(1, GRAM + 1))
+    theirs = theirs.select("item_id", "ih", "least", F.explode(F.expr(f"CASE g {seeds} END")).alias("s")).select("item_id", "ih", "least", F.col("s.i").alias("at"), "s.seed")
     if theirs.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         theirs = F.broadcast(theirs)
-    ours = docs.select("doc_id", "th", F.explode(F.expr(_seeds("text", STEP))).alias("s")).select("doc_id", "th", "s.i", "s.seed")
-    hits = ours.join(theirs, "seed").groupBy("doc_id", "th", "item_id", "ih").agg(F.collect_set(F.expr("i - at")).alias("shifts"))
+    windows = [_windows(g) for g in sizes or [GRAM]]  # documents are hashed in the sizes that some item has
+    seeds = let("h", _hashes("text"), f"concat({', '.join(windows)})" if len(windows) > 1 else windows[0])
+    ours = docs.select("doc_id", "th", F.explode(F.expr(seeds)).alias("s")).select("doc_id", "th", "s.i", "s.seed")
+    hits = ours.join(theirs, "seed").groupBy("doc_id", "th", "item_id", "ih", "least", F.expr("i - at").alias("shift")).agg(F.count(F.lit(1)).alias("runs"))
+    hits = hits.where("runs >= least").groupBy("doc_id", "th", "item_id", "ih").agg(F.collect_set("shift").alias("shifts"))
     # The benchmark's own tokens; a document's tokens are cut anew for the few documents with hits.
     held = items.select("item_id", F.xxhash64("text").alias("ih"), F.expr(tokens("text")).alias("want"))
     met = hits.join(held, ["item_id", "ih"])
