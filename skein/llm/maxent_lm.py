@@ -7,7 +7,7 @@ other words of the ``KNOWN`` most frequent ones fall into classes by frequency,
 word) into a last class; within these, probability goes by (count + 1). So the untrained model is the smoothed unigram.
 
 Counts cover all training texts and are exact. Training is distributed: each task makes gradient
-updates (AdaGrad) over its own training texts, at every ``STRIDE``-th block of positions of each, and the tasks' changes are averaged where they
+updates (AdaGrad) over every position of its own training texts, and the tasks' changes are averaged where they
 touched a weight. Scoring runs in sparse numpy batches. Counts of words beyond ``KNOWN`` come by a join.
 
 Null and empty texts are one end token. Repeated rows are scored alike, and each counts in training. A null doc_id
@@ -35,8 +35,8 @@ KNOWN = 100_000
 KINDS = 8
 ROWS = 1 << 14
 PAIRS = 1 << 20
-STRIDE = 16
-BLOCK = 32
+#: Positions of a gradient update.
+BATCH = 4096
 RATE = 0.25
 END = b""
 _M1, _M2 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77)
@@ -215,8 +215,9 @@ class Model:
             p = np.exp(z - z.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
             p[np.arange(len(head)), self.place[ids[head]]] -= 1
-            used, back = np.unique(slots, return_inverse=True)
-            grad = np.bincount(back.ravel(), weights=p.ravel(), minlength=len(used)).astype(np.float32)
+            sums = np.bincount(slots.ravel(), weights=p.ravel(), minlength=PAIRS)
+            used = np.flatnonzero(sums)
+            grad = sums[used].astype(np.float32)
             pair_sum[used] += grad**2
             self.pair[used] -= RATE * grad / np.sqrt(pair_sum[used] + 1)
 
@@ -230,24 +231,24 @@ def train(docs: DataFrame, model: Model) -> None:
         own: Model = shared.value
         own.row, own.pair = np.zeros_like(own.row), np.zeros_like(own.pair)
         row_sum, pair_sum = np.zeros_like(own.row), np.zeros_like(own.pair)
-        ids, fs, size, seen = [], [], 0, 0
+        ids, fs, size = [], [], 0
+
+        def learn() -> None:
+            i, f = np.concatenate(ids), np.concatenate(fs)
+            for a in range(0, len(i), BATCH):
+                own.learn(i[a : a + BATCH], f[a : a + BATCH], row_sum, pair_sum)
+
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                words = tokens(text)
-                blocks = 1 + (len(words) - 1) // BLOCK
-                for k in range(-seen % STRIDE, blocks, STRIDE):  # only these blocks' words are looked up
-                    at = k * BLOCK
-                    i, h = own.look(words[max(0, at - 2) : at + BLOCK])
-                    lead = min(at, 2)
-                    ids.append(i[lead:])
-                    fs.append(own.features(np.concatenate([_START[lead:], h])))
-                    size += len(i) - lead
-                seen += blocks
-                if size >= 4096:
-                    own.learn(np.concatenate(ids), np.concatenate(fs), row_sum, pair_sum)
+                i, f = own.read(tokens(text))
+                ids.append(i)
+                fs.append(f)
+                size += len(i)
+                if size >= BATCH:
+                    learn()
                     ids, fs, size = [], [], 0
         if size:
-            own.learn(np.concatenate(ids), np.concatenate(fs), row_sum, pair_sum)
+            learn()
         task = TaskContext.get().partitionId()
         for name, x in (("row", own.row), ("pair", own.pair)):
             flat = x.ravel().astype(np.float16)

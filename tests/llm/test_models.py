@@ -133,3 +133,15 @@ def test_pipeline(spark, testdata):
         step = stage(spark, step, testdata)
         assert step.columns == docs.columns
     assert corpus_pipeline.run(spark, testdata).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def test_language_model_learns_from_every_position(spark):
+    import numpy as np
+
+    texts = [" ".join(f"{n}x{i}" for i in range(n)) for n in (8, 400, 12, 4)]
+    counts = Counter(w for t in texts for w in maxent_lm.tokens(t))
+    model = maxent_lm.Model([(w, n, 0) for w, n in counts.most_common()], sum(counts.values()), len(counts))
+    maxent_lm.train(spark.createDataFrame([(t,) for t in texts], "text string"), model)
+    for t in texts:
+        rows, _ = model.class_logits(model.read(maxent_lm.tokens(t))[1])
+        assert np.abs(model.row[rows]).max(axis=2).min() > 0
