@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from skein.llm import common
 
-HEAD = 2048
-CLASS = 32
+HEAD = 4096
+CLASS = 64
 KNOWN = 100_000
 KINDS = 8
 ROWS = 1 << 14
@@ -174,8 +174,8 @@ class Model:
         return rows, self.bias + self.row[rows[:, 0]] + self.row[rows[:, 1]] + self.row[rows[:, 2]]
 
     def word_logits(self, f: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        slots = ((f[:, :1] ^ self.member_hash[classes]) * _M2) >> np.uint32(32 - 20)
-        return slots, self.word_bias[classes] + self.pair[slots]
+        slots = ((f[:, :, None] ^ self.member_hash[classes][:, None, :]) * _M2) >> np.uint32(32 - 20)
+        return slots, self.word_bias[classes] + self.pair[slots].sum(axis=1)
 
     def log_probs(self, ids: np.ndarray, f: np.ndarray) -> np.ndarray:
         """Natural log P of each position; for rare words that of the class alone."""
@@ -215,7 +215,7 @@ class Model:
             p = np.exp(z - z.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
             p[np.arange(len(head)), self.place[ids[head]]] -= 1
-            sums = np.bincount(slots.ravel(), weights=p.ravel(), minlength=PAIRS)
+            sums = np.bincount(slots.ravel(), weights=np.broadcast_to(p[:, None, :], slots.shape).ravel(), minlength=PAIRS)
             used = np.flatnonzero(sums)
             grad = sums[used].astype(np.float32)
             pair_sum[used] += grad**2

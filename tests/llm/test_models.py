@@ -145,3 +145,13 @@ def test_language_model_learns_from_every_position(spark):
     for t in texts:
         rows, _ = model.class_logits(model.read(maxent_lm.tokens(t))[1])
         assert np.abs(model.row[rows]).max(axis=2).min() > 0
+
+
+def test_language_model_word_factor_sees_both_words_before(spark):
+    import numpy as np
+
+    model = maxent_lm.Model([(b"", 9, 0), (b"a", 5, 0), (b"b", 2, 0), (b"c", 2, 0)], 18, 4)
+    model.pair = np.random.default_rng(1).normal(size=maxent_lm.PAIRS).astype(np.float32)
+    x, y = (model.read([w, b"c", b"b"])[1][2:3] for w in (b"a", b"b"))
+    classes = model.class_of[[2]]
+    assert not np.allclose(model.word_logits(x, classes)[1], model.word_logits(y, classes)[1])
