@@ -64,6 +64,7 @@ sql("empty_in", "SELECT COUNT(*) AS n FROM nation WHERE n_nationkey IN ()", "SEL
 sql("not_empty_in", "SELECT COUNT(*) AS n FROM nation WHERE n_nationkey NOT IN ()", "SELECT COUNT(*) AS n FROM nation")
 sql("between", "SELECT o_orderkey FROM orders WHERE o_totalprice BETWEEN 1000.0 AND 20000.0 AND o_orderkey NOT BETWEEN 10 AND 5000")
 sql("is_null", "SELECT event_id FROM events WHERE props IS NOT NULL AND value IS NOT NULL AND event_id < 500")
+sql("is_null_whole", "SELECT event_id FROM events WHERE props IS NOT NULL AND value IS NOT NULL")
 sql("three_valued", "SELECT COUNT(*) AS n FROM nation WHERE (n_nationkey > 3 AND UNKNOWN) OR NOT (n_regionkey = 1 OR n_nationkey = 0)", "SELECT COUNT(*) AS n FROM nation WHERE (n_nationkey > 3 AND NULL) OR NOT (n_regionkey = 1 OR n_nationkey = 0)")
 sql("row_compare", "SELECT n_nationkey FROM nation WHERE (n_regionkey, n_nationkey) = (1, 1) OR (n_regionkey, n_nationkey) > (3, 10)")
 sql("like_escape", "SELECT p_partkey FROM part WHERE p_name LIKE '%a_e%' AND p_name NOT LIKE '%!%%' ESCAPE '!'")
@@ -95,6 +96,7 @@ sql("natural_left_join", "SELECT * FROM (SELECT r_regionkey AS k, r_name FROM re
 sql("using_join", "SELECT k, n_name, s_name FROM (SELECT n_nationkey AS k, n_name FROM nation) AS a JOIN (SELECT s_nationkey AS k, s_name FROM supplier) AS b USING (k)")
 sql("theta_join", "SELECT a.n_nationkey AS x, b.n_nationkey AS y FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
 sql("self_join", "SELECT a.p_partkey AS x, b.p_partkey AS y FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey WHERE a.p_partkey < 200")
+sql("self_join_whole", "SELECT a.p_partkey AS x, b.p_partkey AS y FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey")
 sql("nested_from", "SELECT r.r_name AS r_name, COUNT(*) AS n FROM region r JOIN (SELECT n_regionkey AS k FROM nation JOIN supplier ON s_nationkey = n_nationkey) AS x ON x.k = r.r_regionkey GROUP BY r.r_name")
 sql("transitive", "SELECT COUNT(*) AS n FROM orders o, customer c WHERE o.o_custkey = c.c_custkey AND c.c_custkey = 7")
 sql("semi_join", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000.0)")
@@ -141,6 +143,12 @@ def _recursive_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recursion.closure(edges, "s", "t")
 
 
+@frame("recursive_union_whole", "WITH RECURSIVE e AS (SELECT DISTINCT CAST(c_nationkey AS BIGINT) AS s, c_custkey AS t FROM customer), r(s, t) AS (SELECT s, t FROM e UNION SELECT r.s, e.t FROM r JOIN e ON e.s = r.t) SELECT s, t FROM r")
+def _recursive_union_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = parquet(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("s"), F.col("c_custkey").alias("t"))
+    return recursion.closure(edges, "s", "t")
+
+
 # scalar functions
 sql("text_functions", "SELECT p_partkey, UPPER(p_name) AS u, LOWER(p_brand) AS l, LENGTH(p_name) AS n, CHAR_LENGTH(p_name) AS c, REPLACE(p_name, 'a', 'xy') AS r FROM part", "SELECT p_partkey, upper(p_name) AS u, lower(p_brand) AS l, CAST(length(p_name) AS INTEGER) AS n, CAST(length(p_name) AS INTEGER) AS c, replace(p_name, 'a', 'xy') AS r FROM part")
 sql("substr_rules", "SELECT p_partkey, SUBSTR(p_name, 0, 2) AS a, SUBSTR(p_name, -1, 1) AS b, SUBSTR(p_name, -1, 10) AS c, SUBSTR(p_name, 3) AS d FROM part", "SELECT p_partkey, substr(p_name, 1, 1) AS a, '' AS b, substr(p_name, 1, 8) AS c, substr(p_name, 3) AS d FROM part")
@@ -198,6 +206,9 @@ frame("json_path", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM
 frame("merger", "SELECT o_orderkey FROM orders WHERE o_orderkey % 3 < 3 ORDER BY o_orderkey LIMIT 50")(
     lambda s, d: space.merge([parquet(s, d, "orders").where(F.col("o_orderkey") % 3 == i).select("o_orderkey") for i in range(3)], ["o_orderkey"]).limit(50)
 )
+frame("merger_whole", "SELECT o_orderkey FROM orders ORDER BY o_orderkey")(
+    lambda s, d: space.merge([parquet(s, d, "orders").where(F.pmod("o_orderkey", F.lit(3)) == i).select("o_orderkey") for i in range(3)], ["o_orderkey"])
+)
 
 
 # changes
