@@ -5,9 +5,9 @@ from __future__ import annotations
 import ctypes
 import gc
 import tempfile
-import time
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 
@@ -34,15 +34,26 @@ def shared_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/skein-{what}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A session setting for a while."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def cut(df: DataFrame, what: str) -> DataFrame:
-    """Write to the shared folder and read again: lineage ends in files that survive lost executors."""
+    """Write to the shared folder and read again: lineage ends in files that survive lost executors. The job's shuffle files go with it."""
     spark = df.sparkSession
     path = shared_path(spark, what)
-    df.write.parquet(path)
-    # Finished stages' shuffle files go when nothing refers to them; the listeners do for a moment longer.
-    time.sleep(0.4)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.skein_path = path
     return out

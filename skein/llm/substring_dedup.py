@@ -1,14 +1,19 @@
 """Substring dedup by relative Lempel-Ziv parsing.
 
-The corpus is its own reference. Every text is a reference block, indexed at anchors: the ``SEED`` consecutive
-words with the least hash of each window of ``WINDOW`` words, a choice that depends on the window's words alone,
-so that equal windows have equal anchors. A text is parsed from left to right into factors, the longest runs of
-words whose windows' anchors occur elsewhere in the index; everything between is literal. Factors
-of ``WINDOW`` words or more are candidates. A factor can be sewn together from pieces of several blocks, so its
-windows are checked: the hash of all words of a window must start at another place too.
+The corpus is its own reference: every text is a block, indexed at anchors, the ``SEED`` consecutive words with the
+least hash of each window of ``WINDOW`` words. The choice depends on the window's words alone, so that equal windows have
+equal anchors. An index entry holds the anchor, its place, and a hash of its context: all the words of the
+windows that chose it. A text is parsed from left to right into factors (start, length, block, offset); a factor
+goes on as long as the block at the other place does:
 
-Only distinct texts are parsed. Texts that several rows hold are covered as a whole if they have ``WINDOW`` words,
-and still serve as reference. The counts of anchors and windows are summed before they are shuffled.
+* inside a factor, a context that the index holds at another place matches as a whole;
+* at its boundaries, where the anchor is known but the context isn't, the windows around the anchor are checked one
+  by one against the windows of the other contexts of that anchor. One place stands for all places with the same
+  context, so a passage in very many texts is checked as often as it has different surroundings.
+
+Factors have ``WINDOW`` words or more; everything between is literal. Contexts and windows are compared under
+their anchor, so two 64-bit hashes have to agree. Counts are summed before they are shuffled; joins on anchors and
+contexts take both sides from files, so that Spark may split large keys.
 
 A null text has no words. Rows are told apart by doc_id (nulls equal) and text; repeated rows count as
 documents of their own, and so do different texts under one doc_id. Extra columns are ignored.
@@ -57,30 +62,44 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
-def rolling(h: np.ndarray, k: int) -> np.ndarray:
-    """A 64-bit hash of each run of k word hashes."""
+def hashes(words: list[str]) -> np.ndarray:
+    return np.fromiter(map(_hashes().__getitem__, words), dtype=np.uint64, count=len(words))
+
+
+def spans(h: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run of word hashes h[lo:hi]."""
     up, down = _powers(1 << max(15, int(len(h)).bit_length()))
     total = np.zeros(len(h) + 1, dtype=np.uint64)
     np.cumsum(h * up[: len(h)], out=total[1:])
-    x = (total[k:] - total[:-k]) * down[: len(h) - k + 1]
+    x = (total[hi] - total[lo]) * down[lo] + (hi - lo).astype(np.uint64)
     x ^= x >> np.uint64(29)
     x *= np.uint64(0xBF58476D1CE4E5B9)
     return x ^ (x >> np.uint64(32))
 
 
-def parse(words: list[str], window: int = WINDOW, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of each seed, place of each window's anchor, hash of each window."""
-    of = _hashes()
-    h = np.fromiter(map(of.__getitem__, words), dtype=np.uint64, count=len(words))
-    seeds = rolling(h, seed)
+def anchors(h: np.ndarray, window: int = WINDOW, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each anchor in order: its hash, its context's hash, and the first and last window that chose it."""
+    at = np.arange(len(h) - seed + 1)
+    seeds = spans(h, at, at + seed)
     view = np.lib.stride_tricks.sliding_window_view(seeds, window - seed + 1)
-    return seeds, view.argmin(axis=1) + np.arange(len(view)), rolling(h, window)
-
-
-def factors(hit: np.ndarray, window: int = WINDOW) -> list[tuple[int, int]]:
-    """Greedy factors (first word, end): the longest runs of windows whose anchors are in the index."""
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
-    return [(int(a), int(b) + window - 1) for a, b in zip(edge[::2], edge[1::2])]
+    chosen = view.argmin(axis=1) + np.arange(len(view))  # the first of equal ones, so never before an earlier window's
+    lo = np.flatnonzero(np.diff(chosen, prepend=-1))
+    hi = np.append(lo[1:], len(chosen)) - 1
+    return seeds[chosen[lo]], spans(h, lo, hi + window), lo, hi
+
+
+def factors(matched: list[tuple[int, int, int | None, int]]) -> list[list]:
+    """Greedy factors [start, length, block, offset] of matched runs (start, end, block, offset): overlapping runs on one diagonal of one block are one."""
+    out: list[list] = []
+    ends: dict[tuple, list] = {}
+    for start, end, block, offset in sorted(matched, key=lambda m: (m[0], -m[1])):
+        open_ = ends.get((block, offset - start))
+        if open_ is not None and start <= open_[0] + open_[1]:
+            open_[1] = max(open_[1], end - open_[0])
+        else:
+            ends[block, offset - start] = new = [start, end - start, block, offset]
+            out.append(new)
+    return out
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -92,90 +111,115 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
 
 
-def dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_text) of every row.
+def _of(rows: DataFrame, lists: DataFrame, how: str) -> DataFrame:
+    """rows with what lists holds for their (doc_id, th)."""
+    lists = lists.withColumnsRenamed({"doc_id": "l_id", "th": "l_th"})
+    return rows.join(lists, F.col("doc_id").eqNullSafe(F.col("l_id")) & (F.col("th") == F.col("l_th")), how).drop("l_id", "l_th")
 
-    Shuffles: the texts once, by doc_id, for both later scans (the exchange is reused); anchors and candidate windows as hashes.
-    """
-    common.small_batches(docs.sparkSession)
-    rows = _texts(docs)
-    # Who holds each text: one row of 40 bytes a document.
-    holders = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.xxhash64(F.lit(1), "text").alias("th2"))
-    groups = holders.groupBy("th", "th2").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id")).alias("first"))
-    many = groups.where("copies > 1").select("th", "copies", F.col("first.doc_id").alias("keeper"))
-    marks = holders.join(many, "th").select("doc_id", "th", "keeper").distinct()
-    marks = marks.select(F.col("doc_id").alias("m_id"), F.col("th").alias("m_th"), F.col("doc_id").eqNullSafe(F.col("keeper")).alias("keeps"))
-    marked = rows.join(marks, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("th") == F.col("m_th")), "left")
-    marked = marked.select("doc_id", "th", "text", F.col("keeps").isNotNull().alias("copied"), F.coalesce("keeps", F.lit(True)).alias("keeps"))
-
-    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def index(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
+    """(doc_id, th, anchor, context, lo, hi) of every anchor of every text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, ths, found, places = [], [], [], []
+            ids, ths, parts = [], [], []
             for doc_id, th, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 words = _WORD.findall(text or "")
-                if len(words) < window:
-                    continue
-                seeds, at, _ = parse(words, window, seed)
-                at = np.unique(at)
-                found.append(seeds[at])
-                places.append(at)
-                ids += [doc_id] * len(at)
-                ths += [th] * len(at)
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ths, pa.int64()), _signed(np.concatenate(found)), pa.array(np.concatenate(places), pa.int32())], ["doc_id", "th", "anchor", "place"])
-
-    keepers = marked.where("keeps").select("doc_id", "th", "text", "copied")
-    index = common.cut(keepers.select("doc_id", "th", "text").mapInArrow(common.tidy(anchors), "doc_id long, th long, anchor long, place int"), "anchors")
-    often = index.groupBy("anchor").count().where("count > 1").select("anchor")
-    hits = index.join(often, "anchor").groupBy(F.col("doc_id").alias("h_id"), F.col("th").alias("h_th")).agg(F.collect_list("place").alias("places"))
-
-    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                if len(words) >= window:
+                    parts.append(anchors(hashes(words), window, seed))
+                    ids += [doc_id] * len(parts[-1][0])
+                    ths += [th] * len(parts[-1][0])
+            if parts:
+                anchor, context, lo, hi = (np.concatenate(x) for x in zip(*parts))
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ths, pa.int64()), _signed(anchor), _signed(context), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())], ["doc_id", "th", "anchor", "context", "lo", "hi"])
+
+    return _texts(docs).mapInArrow(common.tidy(run), "doc_id long, th long, anchor long, context long, lo int, hi int")
+
+
+def boundary_windows(docs: DataFrame, places: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(anchor, hash, doc_id, th, start, alone) of each window of the given contexts."""
+    wanted = places.groupBy("doc_id", "th").agg(F.collect_list(F.struct("lo", "hi", "anchor", "alone")).alias("wanted"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, ths, found, starts = [], [], [], []
-            for doc_id, th, text, places in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                words = _WORD.findall(text or "")
-                if len(words) < window:
-                    continue
-                seeds, at, hashes = parse(words, window, seed)
-                known = np.zeros(len(seeds), dtype=bool)
-                known[places] = True
-                for a, b in factors(known[at], window):
-                    span = np.arange(a, b - window + 1)
-                    found.append(hashes[span])
-                    starts.append(span)
-                    ids += [doc_id] * len(span)
-                    ths += [th] * len(span)
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ths, pa.int64()), _signed(np.concatenate(found)), pa.array(np.concatenate(starts), pa.int32())], ["doc_id", "th", "hash", "start"])
-
-    held = F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("th") == F.col("h_th"))
-    windows = common.cut(keepers.join(hits, held).select("doc_id", "th", "text", "places").mapInArrow(common.tidy(candidates), "doc_id long, th long, hash long, start int"), "windows")
-    common.drop_cut(index)
-    repeated = windows.groupBy("hash").count().where("count > 1").select("hash")
-    covered = windows.join(repeated, "hash").groupBy(F.col("doc_id").alias("c_id"), F.col("th").alias("c_th")).agg(F.collect_list("start").alias("starts"))
+            ids, ths, parts = [], [], []
+            for doc_id, th, text, own in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                h = hashes(_WORD.findall(text))
+                lo, hi = np.array([w["lo"] for w in own]), np.array([w["hi"] for w in own])
+                size = hi - lo + 1
+                start = np.repeat(lo, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                anchor, alone = np.repeat(np.array([w["anchor"] for w in own], dtype=np.int64), size), np.repeat(np.array([w["alone"] for w in own], dtype=bool), size)
+                parts.append((anchor, spans(h, start, start + window).view(np.int64), start, alone))
+                ids += [doc_id] * len(start)
+                ths += [th] * len(start)
+            if parts:
+                anchor, found, start, alone = (np.concatenate(x) for x in zip(*parts))
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(found), pa.array(ids, pa.int64()), pa.array(ths, pa.int64()), pa.array(start, pa.int32()), pa.array(alone)], ["anchor", "hash", "doc_id", "th", "start", "alone"])
+
+    held = _of(_texts(docs), wanted, "inner").select("doc_id", "th", "text", "wanted")
+    return held.mapInArrow(common.tidy(run), "anchor long, hash long, doc_id long, th long, start int, alone boolean")
+
+
+def _elsewhere(start: str, end: str) -> list:
+    """A matched run and another place that holds it: the first one, or the last one for the first itself."""
+    own = F.expr(f"struct(doc_id, th, {start} AS at) = first")
+    return ["doc_id", "th", F.col(start).alias("start"), F.expr(end).cast("int").alias("end"), F.when(own, F.col("last.doc_id")).otherwise(F.col("first.doc_id")).alias("block"), F.when(own, F.col("last.at")).otherwise(F.col("first.at")).alias("offset")]
+
+
+def matches(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
+    """(doc_id, th, start, end, block, offset): runs of words that another place holds; each repeated window lies in one of them."""
+    entries = common.cut(index(docs, window, seed), "index")
+    often = entries.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), (F.min("context") != F.max("context")).alias("various"))
+    often = common.cut(often.where("n > 1").select("anchor", "various"), "often")
+    shared = common.cut(entries.join(often, "anchor"), "shared")
+    common.drop_cut(entries)
+    common.drop_cut(often)
+
+    place = F.struct("doc_id", "th", F.col("lo").alias("at"))
+    contexts = shared.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"), F.max(place).alias("last"), F.max("various").alias("various"), F.max(F.expr("hi - lo")).alias("width"))
+    contexts = common.cut(contexts, "contexts")
+    whole = shared.join(contexts.where("n > 1").select("anchor", "context", "first", "last"), ["anchor", "context"])
+    whole = whole.select(*_elsewhere("lo", f"hi + {window}"))
+
+    ends = contexts.where("various").select("first.doc_id", "first.th", F.col("first.at").alias("lo"), F.expr("first.at + width").alias("hi"), "anchor", F.expr("n = 1").alias("alone"))
+    windows = common.cut(boundary_windows(docs, ends, window), "windows")
+    place = F.struct("doc_id", "th", F.col("start").alias("at"))
+    twice = windows.groupBy("anchor", "hash").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"), F.max(place).alias("last"))
+    twice = common.cut(twice.where("n > 1").drop("n"), "twice")
+    single = windows.where("alone").join(twice, ["anchor", "hash"]).select(*_elsewhere("start", f"start + {window}"))
+    found = common.cut(whole.union(single), "matches")
+    for done in (shared, contexts, windows, twice):
+        common.drop_cut(done)
+    return found
+
+
+def dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_text, factors) of every row."""
+    common.small_batches(docs.sparkSession)
+    # A set: repeated rows of one place have the same runs.
+    runs = matches(docs, window, seed).groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "end", "block", "offset")).alias("runs"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, gone, kept = [], [], []
-            for text, copied, starts in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
+            n, gone, kept, parsed = [], [], [], []
+            for text, own in zip(*(batch.column(i).to_pylist() for i in (1, 2))):
                 words = _WORD.findall(text or "")
                 n.append(len(words))
-                if copied and len(words) >= window:
-                    words = []
-                elif starts:
-                    edge = np.zeros(len(words) + window + 1, dtype=np.int64)
-                    at = np.array(starts)
-                    np.add.at(edge, at, 1)
-                    np.add.at(edge, at + window, -1)
-                    stay = np.cumsum(edge)[: len(words)] == 0
-                    words = [w for w, s in zip(words, stay.tolist()) if s]
+                parsed.append(factors([(r["start"], r["end"], r["block"], r["offset"]) for r in own or []]))
+                if parsed[-1]:
+                    edge = np.zeros(len(words) + 1, dtype=np.int64)
+                    start, length = (np.array([f[i] for f in parsed[-1]]) for i in (0, 1))
+                    np.add.at(edge, start, 1)
+                    np.add.at(edge, start + length, -1)
+                    words = [words[i] for i in np.flatnonzero(np.cumsum(edge)[:-1] == 0).tolist()]
                 gone.append(n[-1] - len(words))
                 kept.append(" ".join(words))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"])
+            shape = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("block", pa.int64()), ("offset", pa.int32())]))
+            listed = pa.array([[dict(zip(("start", "length", "block", "offset"), f)) for f in fs] for fs in parsed], shape)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), listed], ["doc_id", "n_words", "n_removed", "kept_text", "factors"])
 
-    own = F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("th") == F.col("c_th"))
-    final = marked.join(covered, own, "left").select("doc_id", "text", "copied", "starts")
-    return final.mapInArrow(common.tidy(keep), "doc_id long, n_words long, n_removed long, kept_text string")
+    final = _of(_texts(docs), runs, "left").select("doc_id", "text", "runs")
+    return final.mapInArrow(common.tidy(keep), "doc_id long, n_words long, n_removed long, kept_text string, factors array<struct<start:int,length:int,block:long,offset:int>>")
 
 
 def digest(docs: DataFrame) -> DataFrame:
