@@ -94,44 +94,37 @@ class Coder:
         return out
 
 
-class _Encoder:
-    """Packed ids of texts, from the tokenizers library.
-
-    The library gets each distinct pre-token once, many in one call with a special token between them, which no pre-token
-    holds; a bounded number is kept.
-    """
+class _Pieces(dict):
+    """Packed ids of pre-tokens. The tokenizers library's model gets each one once; a bounded number is kept."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.library, self.vocab, self.kind = Tokenizer.from_file(path), bpe.vocabulary(path), id_kind(path)
-        self.between, self.mark = next(iter(self.vocab.special.items()))
-        self.pieces: dict[str, bytes] = {}
+        self.library = Tokenizer.from_file(path)
+        self.tokens_of, self.special, self.kind = self.library.model.tokenize, bpe.vocabulary(path).special, id_kind(path)
+        self.stand_in = dict(enumerate(bpe.byte_alphabet()))
 
-    def learn(self, pieces: set[str]) -> dict[str, bytes]:
-        new = [p for p in pieces if p not in self.pieces]
-        if len(self.pieces) + len(new) > KEPT:
-            self.pieces.clear()
-            new = list(pieces)
-        width = array(self.kind).itemsize
-        for a in range(0, len(new), 4096):
-            some = [p for p in new[a : a + 4096] if p not in self.vocab.special]
-            ids = np.array(self.library.encode_batch_fast([self.between.join(some)], add_special_tokens=False)[0].ids, dtype=self.kind)
-            at, raw = np.flatnonzero(ids == self.mark) * width, ids.tobytes()
-            self.pieces.update(zip(some, [raw[x:y] for x, y in zip([0, *(at + width).tolist()], [*at.tolist(), len(raw)])]))
-        for p in new:
-            if p in self.vocab.special:
-                self.pieces[p] = array(self.kind, [self.vocab.special[p]]).tobytes()
-        return self.pieces
+    def __missing__(self, piece: str) -> bytes:
+        if piece in self.special:
+            ids = [self.special[piece]]
+        else:
+            ids = [t.id for t in self.tokens_of(piece.encode().decode("latin-1").translate(self.stand_in))]
+        self[piece] = packed = array(self.kind, ids).tobytes()
+        return packed
+
+
+class _Encoder:
+    """Packed ids of texts: the pieces of a text are independent of each other in a byte-level BPE."""
+
+    def __init__(self, path: str):
+        self.vocab, self.pieces = bpe.vocabulary(path), _Pieces(path)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut_up = [self.vocab.pieces(t) for t in texts]
-        pieces: set[str] = set()
-        for ps in cut_up:
-            pieces.update(ps)
-        of = self.learn(pieces)
-        return [b"".join(map(of.__getitem__, ps)) for ps in cut_up]
+        if len(self.pieces) > KEPT:
+            self.pieces.clear()
+        of = self.pieces.__getitem__
+        return [b"".join(map(of, self.vocab.pieces(t))) for t in texts]
 
 
 @functools.lru_cache(maxsize=2)
@@ -151,7 +144,7 @@ def tokenize(docs: DataFrame, path: str, end: int = 0) -> DataFrame:
         encoder, tail = _encoder(path), array(id_kind(path), [end]).tobytes()
         for batch in batches:
             ids = []
-            for part in bpe.slices([t or "" for t in batch.column(1).to_pylist()], 2_000_000):
+            for part in bpe.slices([t or "" for t in batch.column(1).to_pylist()], 1_000_000):
                 ids += [x + tail for x in encoder.encode(part)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
