@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions import scalar, timeops
-from skein.operators import changes, recursion, space
+from skein.operators import aggregates, changes, recursion, space
 from skein.plans.engine import Engine
 from skein.sources.files import parquet
 from skein.streaming import changelog
@@ -63,8 +63,7 @@ sql("in_loop", "SELECT c_custkey, c_name FROM customer WHERE c_mktsegment IN ('B
 sql("empty_in", "SELECT COUNT(*) AS n FROM nation WHERE n_nationkey IN ()", "SELECT COUNT(*) AS n FROM nation WHERE false")
 sql("not_empty_in", "SELECT COUNT(*) AS n FROM nation WHERE n_nationkey NOT IN ()", "SELECT COUNT(*) AS n FROM nation")
 sql("between", "SELECT o_orderkey FROM orders WHERE o_totalprice BETWEEN 1000.0 AND 20000.0 AND o_orderkey NOT BETWEEN 10 AND 5000")
-sql("is_null", "SELECT event_id FROM events WHERE props IS NOT NULL AND value IS NOT NULL AND event_id < 500")
-sql("is_null_whole", "SELECT event_id FROM events WHERE props IS NOT NULL AND value IS NOT NULL")
+sql("is_null", "SELECT event_id FROM events WHERE props IS NOT NULL AND value IS NOT NULL")
 sql("three_valued", "SELECT COUNT(*) AS n FROM nation WHERE (n_nationkey > 3 AND UNKNOWN) OR NOT (n_regionkey = 1 OR n_nationkey = 0)", "SELECT COUNT(*) AS n FROM nation WHERE (n_nationkey > 3 AND NULL) OR NOT (n_regionkey = 1 OR n_nationkey = 0)")
 sql("row_compare", "SELECT n_nationkey FROM nation WHERE (n_regionkey, n_nationkey) = (1, 1) OR (n_regionkey, n_nationkey) > (3, 10)")
 sql("like_escape", "SELECT p_partkey FROM part WHERE p_name LIKE '%a_e%' AND p_name NOT LIKE '%!%%' ESCAPE '!'")
@@ -95,8 +94,7 @@ sql("natural_join", "SELECT * FROM (SELECT n_regionkey AS k, n_name FROM nation)
 sql("natural_left_join", "SELECT * FROM (SELECT r_regionkey AS k, r_name FROM region) AS a NATURAL LEFT JOIN (SELECT n_regionkey AS k, n_name FROM nation WHERE n_nationkey < 4) AS b")
 sql("using_join", "SELECT k, n_name, s_name FROM (SELECT n_nationkey AS k, n_name FROM nation) AS a JOIN (SELECT s_nationkey AS k, s_name FROM supplier) AS b USING (k)")
 sql("theta_join", "SELECT a.n_nationkey AS x, b.n_nationkey AS y FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
-sql("self_join", "SELECT a.p_partkey AS x, b.p_partkey AS y FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey WHERE a.p_partkey < 200")
-sql("self_join_whole", "SELECT a.p_partkey AS x, b.p_partkey AS y FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey")
+sql("self_join", "SELECT a.p_partkey AS x, b.p_partkey AS y FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey")
 sql("nested_from", "SELECT r.r_name AS r_name, COUNT(*) AS n FROM region r JOIN (SELECT n_regionkey AS k FROM nation JOIN supplier ON s_nationkey = n_nationkey) AS x ON x.k = r.r_regionkey GROUP BY r.r_name")
 sql("transitive", "SELECT COUNT(*) AS n FROM orders o, customer c WHERE o.o_custkey = c.c_custkey AND c.c_custkey = 7")
 sql("semi_join", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000.0)")
@@ -137,14 +135,8 @@ sql("cte", "WITH big AS (SELECT o_custkey AS k, COUNT(*) AS n FROM orders GROUP
 sql("recursive_cte", "WITH RECURSIVE s(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM s WHERE n < 50) SELECT n, n * n AS sq FROM s", "WITH RECURSIVE s(n) AS (SELECT CAST(1 AS BIGINT) UNION ALL SELECT n + 1 FROM s WHERE n < 50) SELECT n, n * n AS sq FROM s")
 
 
-@frame("recursive_union", "WITH RECURSIVE e AS (SELECT DISTINCT c_nationkey % 7 AS s, c_custkey % 11 AS t FROM customer), r(s, t) AS (SELECT s, t FROM e UNION SELECT r.s, e.t FROM r JOIN e ON e.s = r.t) SELECT s, t FROM r")
+@frame("recursive_union", "WITH RECURSIVE e AS (SELECT DISTINCT CAST(c_nationkey AS BIGINT) AS s, c_custkey AS t FROM customer), r(s, t) AS (SELECT s, t FROM e UNION SELECT r.s, e.t FROM r JOIN e ON e.s = r.t) SELECT s, t FROM r")
 def _recursive_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = parquet(spark, sf_dir, "customer").select((F.col("c_nationkey") % 7).cast("long").alias("s"), (F.col("c_custkey") % 11).alias("t"))
-    return recursion.closure(edges, "s", "t")
-
-
-@frame("recursive_union_whole", "WITH RECURSIVE e AS (SELECT DISTINCT CAST(c_nationkey AS BIGINT) AS s, c_custkey AS t FROM customer), r(s, t) AS (SELECT s, t FROM e UNION SELECT r.s, e.t FROM r JOIN e ON e.s = r.t) SELECT s, t FROM r")
-def _recursive_union_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = parquet(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("s"), F.col("c_custkey").alias("t"))
     return recursion.closure(edges, "s", "t")
 
@@ -203,10 +195,7 @@ frame("knn", "SELECT vec_id FROM (SELECT vec_id, list_sum(list_transform(embeddi
 )
 frame("multikey", "SELECT key, count(*) AS n FROM (SELECT unnest(list_distinct(string_split(p_name, ' '))) AS key FROM part) p GROUP BY key")(lambda s, d: space.multikey(parquet(s, d, "part").withColumn("w", F.split("p_name", " ")), "w").groupBy("key").agg(F.count(F.lit(1)).alias("n")))
 frame("json_path", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")(lambda s, d: parquet(s, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k")))
-frame("merger", "SELECT o_orderkey FROM orders WHERE o_orderkey % 3 < 3 ORDER BY o_orderkey LIMIT 50")(
-    lambda s, d: space.merge([parquet(s, d, "orders").where(F.col("o_orderkey") % 3 == i).select("o_orderkey") for i in range(3)], ["o_orderkey"]).limit(50)
-)
-frame("merger_whole", "SELECT o_orderkey FROM orders ORDER BY o_orderkey")(
+frame("merger", "SELECT o_orderkey FROM orders ORDER BY o_orderkey")(
     lambda s, d: space.merge([parquet(s, d, "orders").where(F.pmod("o_orderkey", F.lit(3)) == i).select("o_orderkey") for i in range(3)], ["o_orderkey"])
 )
 
@@ -277,9 +266,49 @@ def _with_function(e: Engine) -> Engine:
 
 @frame("user_aggregate", "SELECT p_brand, CAST(sum(p_size * p_size) AS BIGINT) AS v FROM part GROUP BY p_brand")
 def _user_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Step and final functions over each group, as the fold that aggregate() is."""
-    grouped = parquet(spark, sf_dir, "part").groupBy("p_brand").agg(F.collect_list(F.col("p_size").cast("long")).alias("xs"))
-    return grouped.select("p_brand", F.aggregate("xs", F.lit(0).cast("long"), lambda state, x: state + x * x, lambda state: state).alias("v"))
+    squares = aggregates.Aggregate("bigint", zero="0L", step="state + x * x", merge="state + other")
+    return aggregates.fold(parquet(spark, sf_dir, "part"), ["p_brand"], "cast(p_size as bigint)", squares, "v")
+
+
+@frame("user_aggregate_ordered", "SELECT o_custkey, string_agg(o_orderpriority, '/' ORDER BY o_orderkey) AS v FROM orders GROUP BY o_custkey")
+def _user_aggregate_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A state that keeps its inputs' order: pieces carry their keys, and the final function puts them in line."""
+    pieces = "array<struct<k: bigint, s: string>>"
+    line = aggregates.Aggregate(pieces, zero=f"cast(array() as {pieces})", step="concat(state, array(x))", merge="concat(state, other)", final="array_join(transform(array_sort(state), p -> p.s), '/')")
+    return aggregates.fold(parquet(spark, sf_dir, "orders"), ["o_custkey"], "named_struct('k', o_orderkey, 's', o_orderpriority)", line, "v")
+
+
+frame("view_after_insert", "SELECT count(*) AS n FROM (SELECT r_regionkey FROM region WHERE r_regionkey > 2 UNION ALL SELECT 10)")(_changed("CREATE VIEW late AS SELECT r_regionkey FROM region WHERE r_regionkey > 2", "INSERT INTO region VALUES (10, 'NEW')", then="SELECT COUNT(*) AS n FROM late"))
+frame("autoincrement", "SELECT CAST(row_number() OVER (ORDER BY n_nationkey) AS BIGINT) AS id, n_name AS s FROM nation")(_changed("CREATE TABLE made (id INT PRIMARY KEY AUTOINCREMENT, s TEXT)", "INSERT INTO made (s) SELECT n_name FROM nation ORDER BY n_nationkey", then="SELECT id, s FROM made"))
+frame("update_row_expressions", "SELECT n_nationkey, CASE WHEN n_regionkey = 1 THEN coalesce(NULL, 7) ELSE n_regionkey END AS n_regionkey, CASE WHEN n_regionkey = 1 THEN replace(n_name, 'A', ',') ELSE n_name END AS n_name FROM nation")(_changed("UPDATE nation SET (n_regionkey, n_name) = (COALESCE(NULL, 7), REPLACE(n_name, 'A', ',')) WHERE n_regionkey = 1", then="SELECT n_nationkey, n_regionkey, n_name FROM nation"))
+frame("literal_with_keyword", "SELECT n_nationkey, CASE WHEN n_regionkey = 2 THEN 'a WHERE b; SET (c)' ELSE n_name END AS n_name FROM nation WHERE n_name <> 'x WHERE y'")(_changed("UPDATE nation SET n_name = 'a WHERE b; SET (c)' WHERE n_regionkey = 2", "DELETE FROM nation WHERE n_name = 'x WHERE y'", then="SELECT n_nationkey, n_name FROM nation"))
+frame("insert_ignore_unique", "SELECT r_regionkey, r_name FROM region UNION ALL SELECT 21, 'FRESH'")(_changed("CREATE UNIQUE INDEX by_name ON region (r_name)", "INSERT OR IGNORE INTO region VALUES (20, 'ASIA'), (21, 'FRESH'), (22, 'FRESH')", then="SELECT r_regionkey, r_name FROM region"))
+frame("on_conflict_replace", "SELECT CAST(max(n_nationkey) AS BIGINT) AS k, CAST(n_regionkey AS BIGINT) AS r FROM nation GROUP BY n_regionkey")(_changed("CREATE TABLE last (k INT PRIMARY KEY, r INT UNIQUE ON CONFLICT REPLACE)", "INSERT INTO last SELECT n_nationkey, n_regionkey FROM nation ORDER BY n_nationkey", then="SELECT k, r FROM last"))
+frame("trigger_update", "SELECT CAST(r_regionkey AS BIGINT) AS k, CAST(count(n_nationkey) AS BIGINT) AS n FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY r_regionkey")(
+    _changed(
+        "CREATE TABLE tally (k INT PRIMARY KEY, n INT)",
+        "INSERT INTO tally SELECT r_regionkey, 0 FROM region",
+        "CREATE TABLE copy (k INT PRIMARY KEY, r INT)",
+        "CREATE TRIGGER count_them AFTER INSERT ON copy FOR EACH ROW BEGIN UPDATE tally SET n = n + 1 WHERE k = NEW.r; END",
+        "INSERT INTO copy SELECT n_nationkey, n_regionkey FROM nation",
+        then="SELECT k, n FROM tally",
+    )
+)
+sql("like_function", "SELECT p_partkey FROM part WHERE LIKE('%a%', p_name)", "SELECT p_partkey FROM part WHERE p_name LIKE '%a%'")
+frame("row_count_function", "SELECT count(*) AS n FROM nation WHERE n_regionkey = 1")(_changed("DELETE FROM nation WHERE n_regionkey = 1", then="SELECT ROW_COUNT() AS n"))
+
+
+def _with_table_function(e: Engine) -> Engine:
+    e.table_function("of_region", "SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = r", ["r:int"], ["n_nationkey:int", "n_name:string"])
+    return e
+
+
+frame("table_function", "SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 3")(lambda s, d: _with_table_function(engine(s, d)).sql("SELECT n_nationkey, n_name FROM of_region(3)"))
+frame("in_function", "SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)")(lambda s, d: _with_table_function(engine(s, d)).sql("SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM of_region(1))"))
+frame("page_after_null", "SELECT DISTINCT nullif(c_nationkey, 3) AS k FROM customer WHERE nullif(c_nationkey, 3) IS NOT NULL ORDER BY k LIMIT 7")(lambda s, d: space.Space(parquet(s, d, "customer").selectExpr("nullif(c_nationkey, 3) AS k").distinct(), ["k"]).select(after=[None], limit=7).select("k"))
+frame("ordered_recursion", "SELECT * FROM (VALUES (1, 0), (2, 1), (4, 2), (5, 2), (3, 1)) t(n, level)")(
+    lambda s, d: recursion.iterate(s.createDataFrame([(1, 0)], "n int, level int"), lambda f: f.selectExpr("explode(array(n * 2, n * 2 + 1)) AS n", "level + 1 AS level").where("level < 3"), distinct=False, order_by=["level DESC", "n"], limit=5)
+)
 
 
 frame("trigger", "SELECT CAST(n_nationkey + 99 AS BIGINT) AS k, n_name AS n FROM nation WHERE n_nationkey + 99 > 100")(

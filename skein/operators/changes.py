@@ -8,28 +8,94 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.operators import recursion
+
 
 class ConstraintError(ValueError):
     """Rows that break a table's constraint."""
 
 
-def insert(old: DataFrame, new: DataFrame, key: list[str], mode: str = "ABORT") -> tuple[DataFrame, int]:
-    """old with new's rows, and how many rows changed. mode: ABORT, FAIL and ROLLBACK raise on a taken key; IGNORE keeps the old row; REPLACE the new one.
+def cut(df: DataFrame) -> DataFrame:
+    """A written version: plans stay small, and files in the shared folder survive lost executors."""
+    return recursion.cut(df)
+
+
+def insert(old: DataFrame, new: DataFrame, unique: list[tuple[list[str], str]]) -> tuple[DataFrame, DataFrame | None, int]:
+    """The rows of new that go in, what is left of old if rows of it go (else None), and how many rows changed.
 
-    A replaced row counts twice, as a deletion and an insertion. Rows of new with one key keep the first (IGNORE) or the last (REPLACE).
+    unique: column lists with their modes. ABORT, FAIL and ROLLBACK raise on a taken value; IGNORE keeps the row that was
+    there; REPLACE the new one, and a row that goes counts as a change of its own. Nulls are never taken. Rows of new are
+    taken in order, that of their column __n if there is one; the result has it too. new is read several times.
     """
-    if not key:
-        return old.unionByName(new), new.count()
-    numbered = new.withColumn("__n", F.monotonically_increasing_id())
-    order = F.col("__n").desc() if mode == "REPLACE" else F.col("__n")
-    single = numbered.withColumn("__r", F.row_number().over(Window.partitionBy(*key).orderBy(order))).where("__r = 1").drop("__r", "__n")
-    if mode == "REPLACE":
-        return old.join(single.select(*key), key, "left_anti").select(*old.columns).unionByName(single), single.count() + old.join(single.select(*key), key, "left_semi").count()
-    fresh = single.join(old.select(*key), key, "left_anti").select(*old.columns)
-    n = fresh.count()
-    if mode != "IGNORE" and n != new.count():
-        raise ConstraintError(f"duplicate key exists in unique index ({', '.join(key)})")
-    return old.unionByName(fresh), n
+    if not unique:
+        return new, None, new.count()
+    rows = new if "__n" in new.columns else new.withColumn("__n", F.monotonically_increasing_id())
+    left, lost = old, None
+    for columns, mode in unique:
+        held = " AND ".join(f"`{c}` IS NOT NULL" for c in columns)
+        if mode == "REPLACE":
+            taken = rows.where(held).select(*columns).distinct()
+            left, lost = left.join(taken, columns, "left_anti").select(*old.columns), True
+            continue
+        rest = old.join(rows.where(held).select(*columns).distinct(), columns, "left_semi").select(*columns).distinct()
+        if mode == "IGNORE":
+            rows = rows.join(rest, columns, "left_anti").select(*rows.columns)
+        elif not rest.isEmpty():
+            raise ConstraintError(f"duplicate key exists in unique index ({', '.join(columns)})")
+    rows = cut(rows)
+    n_replaced = 0
+    by = lambda columns, down: Window.partitionBy(*columns).orderBy(F.col("__n").desc() if down else F.col("__n"))
+    for columns, mode in unique:
+        held = " AND ".join(f"`{c}` IS NOT NULL" for c in columns)
+        if mode == "REPLACE":
+            rows = rows.withColumn("__r", F.when(F.expr(held), F.row_number().over(by(columns, True))).otherwise(1)).where("__r = 1").drop("__r")
+        elif mode != "IGNORE" and not rows.where(held).groupBy(*columns).count().where("count > 1").isEmpty():
+            raise ConstraintError(f"duplicate key exists in unique index ({', '.join(columns)})")
+    ignoring = [c for c, mode in unique if mode == "IGNORE"]
+    if len(ignoring) == 1:
+        held = " AND ".join(f"`{c}` IS NOT NULL" for c in ignoring[0])
+        rows = rows.withColumn("__r", F.when(F.expr(held), F.row_number().over(by(ignoring[0], False))).otherwise(1)).where("__r = 1").drop("__r")
+    elif ignoring:
+        rows = _first_of_each(rows, ignoring)
+    out = cut(rows.select(*old.columns, "__n"))
+    n = out.count()
+    if lost:
+        left = cut(left)
+        n_replaced = old.count() - left.count() + (new.count() - n if not ignoring else 0)
+    return out, left if lost else None, n + n_replaced
+
+
+def _first_of_each(rows: DataFrame, unique: list[list[str]]) -> DataFrame:
+    """Rows in order of __n that conflict with no row kept before them. A round keeps what is first under all keys and drops what conflicts with it."""
+    kept, open_ = rows.limit(0), rows
+    while not open_.isEmpty():
+        ranked = open_
+        for i, columns in enumerate(unique):
+            held = " AND ".join(f"`{c}` IS NOT NULL" for c in columns)
+            ranked = ranked.withColumn(f"__r{i}", F.when(F.expr(held), F.row_number().over(Window.partitionBy(*columns).orderBy("__n"))).otherwise(1))
+        first = cut(ranked.where(" AND ".join(f"__r{i} = 1" for i in range(len(unique)))).select(*rows.columns))
+        kept = kept.unionByName(first)
+        open_ = open_.join(first.select("__n"), "__n", "left_anti")
+        for columns in unique:
+            open_ = open_.join(first.select(*columns), columns, "left_anti")
+        open_ = cut(open_.select(*rows.columns))
+    return kept
+
+
+def number_nulls(old: DataFrame, new: DataFrame, column: str) -> DataFrame:
+    """new with the column's nulls numbered in order, after the greatest value of old and new."""
+    last = max(old.agg(F.max(column)).first()[0] or 0, new.agg(F.max(column)).first()[0] or 0)
+    blank = new.where(F.col(column).isNull())
+    order = ["__n"] if "__n" in new.columns else None
+    return new.where(F.col(column).isNotNull()).unionByName(sequence(blank.drop(column), column, int(last) + 1, order_by=order).select(*new.columns))
+
+
+def drop_nulls(new: DataFrame, meta: dict, mode: str | None) -> DataFrame:
+    """new without the rows that a NOT NULL column ignores."""
+    for c in meta.get("not_null", []):
+        if (mode or meta.get("conflict", {}).get((c,), "ABORT")) == "IGNORE":
+            new = new.where(F.col(c).isNotNull())
+    return new
 
 
 def validate(df: DataFrame, meta: dict, tables: dict[str, DataFrame]) -> None:
@@ -38,7 +104,7 @@ def validate(df: DataFrame, meta: dict, tables: dict[str, DataFrame]) -> None:
         held = df.where(" AND ".join(f"`{c}` IS NOT NULL" for c in columns))
         if not held.groupBy(*columns).count().where("count > 1").isEmpty():
             raise ConstraintError(f"duplicate key exists in unique index ({', '.join(columns)})")
-    for c in [*meta.get("not_null", []), *(meta.get("key") or [])]:
+    for c in [*meta.get("not_null", []), *(meta.get("key") or []), *meta.get("key_not_null", [])]:
         if not df.where(F.col(c).isNull()).isEmpty():
             raise ConstraintError(f"{c} is null")
     for name, condition in meta.get("checks", {}).items():
@@ -134,9 +200,9 @@ def sequence(df: DataFrame, column: str, start: int = 1, step: int = 1, low: int
     """Number rows densely. Counts per partition come first, so no task sees all rows."""
     ranged = df.repartitionByRange(*order_by) if order_by else df
     tagged = ranged.withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id())
-    sizes = tagged.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"), F.min("__i").alias("__first"))
+    sizes = tagged.groupBy("__p").agg(F.count(F.lit(1)).alias("__size"), F.min("__i").alias("__first"))
     # a row per partition
-    offsets = sizes.withColumn("__before", F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).select("__p", "__before")
+    offsets = sizes.withColumn("__before", F.sum("__size").over(Window.orderBy("__p")) - F.col("__size")).select("__p", "__before")
     within = F.row_number().over(Window.partitionBy("__p").orderBy(*(order_by or []), "__i")) - 1
     n = F.col("__before") + F.col("__k")
     value = F.lit(start) + n * step

@@ -21,16 +21,19 @@ class Unsupported(ValueError):
 
 def _lexicographic(columns: list[str], values: list, strict: bool, greater: bool) -> Column:
     """Compare a key's leading columns with values as tuples, in a form that filters push down."""
-    whole, equal = F.lit(False), F.lit(True)
+    whole, equal, bound = F.lit(False), F.lit(True), F.lit(True)
     for i, (c, v) in enumerate(zip(columns, values)):
         x = F.col(c)
-        step = x > F.lit(v) if greater else x < F.lit(v)
-        if not greater and v is not None:
-            step = step | x.isNull()
+        if v is None:  # null is the least key
+            step = x.isNotNull() if greater else F.lit(False)
+            edge = F.lit(True) if greater else x.isNull()
+        else:
+            step = x > F.lit(v) if greater else (x < F.lit(v)) | x.isNull()
+            edge = x >= F.lit(v) if greater else (x <= F.lit(v)) | x.isNull()
         whole = whole | (equal & step)
-        equal = equal & (x == F.lit(v))
+        equal = equal & x.eqNullSafe(F.lit(v))
         if i == 0:
-            bound = x >= F.lit(v) if greater else (x <= F.lit(v)) | x.isNull()
+            bound = edge
     return bound & (whole if strict else whole | equal)
 
 

@@ -771,6 +771,14 @@ class Parser:
             x = self.aggregate(up, args, "DISTINCT " if distinct else "")
             x.aggregate = True
             return x
+        if up == "ROW_COUNT":
+            _args(up, args, 0, 0)
+            return Expr(f"cast({self.settings.get('row_count', 0)} as bigint)", "int")
+        if up == "LIKE":  # LIKE(pattern, text[, escape])
+            _args(up, args, 2, 3)
+            _want(up, args[1], "str")
+            pattern = args[0].sql if len(args) == 3 else args[0].sql.replace("\\\\", "\\\\\\\\")
+            return Expr(f"({args[1].sql} LIKE {pattern}{f' ESCAPE {args[2].sql}' if len(args) == 3 else ''})", "bool", aggregate=any(a.aggregate for a in args))
         if up in FUNCTIONS:
             x = FUNCTIONS[up](up, args)
             x = Expr(x.sql, x.kind, aggregate=any(a.aggregate for a in args))

@@ -5,12 +5,16 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skein.operators import changes, recursion
 from skein.plans.dialect import DialectError, Parser, scan
+from skein.plans.program import IGNORED, RAISED, Program, Trigger
+
+#: Changes on a table's plan before it is cut to a written version, and appended parts before they are put together.
+DEEP, PARTS = 8, 8
 
 
 def kind_of(data_type: T.DataType) -> str:
@@ -39,12 +43,14 @@ class Engine:
         self.prepared: dict[int, tuple[str, int]] = {}
         self.version = 0
         self.changed = 0
-        self.triggers: dict[str, dict] = {}
-        self.saved: list[tuple[str | None, dict, dict]] = []
+        self.triggers: dict[str, Trigger] = {}
+        self.views: dict[str, tuple[str, list[str]]] = {}
+        self.fresh = 0
+        self.saved: list[tuple[str | None, dict, dict, dict]] = []
 
     # catalog
     def register(self, name: str, df: DataFrame, key: list[str] | None = None, **meta: object) -> DataFrame:
-        """Put a table under a name. meta: unique (list of column lists), not_null, checks, foreign, defaults."""
+        """Put a table under a name. meta: unique (list of column lists), not_null, checks, foreign, defaults, conflict, sequence."""
         self.tables[name.lower()] = df
         self.meta[name.lower()] = {"key": key or [], **meta}
         df.createOrReplaceTempView(name)
@@ -52,17 +58,36 @@ class Engine:
         return df
 
     def drop(self, name: str) -> None:
-        if self.tables.pop(name.lower(), None) is None:
+        low = name.lower()
+        if low not in self.tables:
             raise DialectError(f"no such table: {name}")
-        self.meta.pop(name.lower())
+        for other, meta in self.meta.items():
+            if other != low and any(parent == low for _, parent, _ in meta.get("foreign", [])):
+                raise changes.ConstraintError(f"{other} refers to {name}")
+        del self.tables[low], self.meta[low]
+        self.views.pop(low, None)
+        for trigger in [t for t, x in self.triggers.items() if x.table == low]:
+            del self.triggers[trigger]
         self.spark.catalog.dropTempView(name)
         self.version += 1
 
     def rename(self, name: str, to: str) -> None:
         df, meta = self.tables[name.lower()], self.meta[name.lower()]
-        self.drop(name)
+        del self.tables[name.lower()], self.meta[name.lower()]
+        self.spark.catalog.dropTempView(name)
+        for other in self.meta.values():
+            other["foreign"] = [(c, to.lower() if t == name.lower() else t, r) for c, t, r in other.get("foreign", [])]
+        for trigger in self.triggers.values():
+            trigger.table = to.lower() if trigger.table == name.lower() else trigger.table
         self.register(to, df, **meta)
 
+    def upgrade(self, name: str, migrate: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """Migrate a table's rows by a function of its DataFrame; its constraints hold for the new rows too."""
+        meta = self.meta[name.lower()]
+        df = changes.cut(migrate(self.tables[name.lower()]))
+        changes.validate(df, meta, self.tables)
+        return self.register(name, df, **meta)
+
     def add_column(self, name: str, column: str, data_type: str, default: object = None) -> DataFrame:
         df = self.tables[name.lower()].withColumn(column, F.lit(default).cast(data_type))
         return self.register(name, df, **self.meta[name.lower()])
@@ -81,8 +106,35 @@ class Engine:
         df = self.tables.get(name.lower())
         return None if df is None else {f.name.lower(): kind_of(f.dataType) for f in df.schema.fields}
 
+    def table_function(self, name: str, body: str, params: list[str] | None = None, returns: list[str] | None = None) -> None:
+        """A function that gives a table, for FROM name(...) and IN name(...): a query of the dialect over its parameters (like 'a:bigint')."""
+        args = ", ".join(p.replace(":", " ") for p in params or [])
+        columns = ", ".join(c.replace(":", " ") for c in returns or [])
+        kinds = {p.split(":")[0].lower(): {"bigint": "int", "int": "int", "double": "double", "string": "str"}.get(p.split(":")[1], "unknown") for p in params or []}
+        parser = self.parser(body)
+        parser.scope.kinds |= kinds
+        self.spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({args}) RETURNS TABLE{f'({columns})' if columns else ''} RETURN {parser.statement()}")
+
+    def parser(self, text: str, rowwise: bool = False) -> Program:
+        self._views()
+        return Program(text, self._kinds, self.functions, {**self.settings, "row_count": self.changed}, rowwise)
+
     def translate(self, text: str) -> str:
-        return Parser(text, self._kinds, self.functions, self.settings).statement()
+        return self.parser(text).statement()
+
+    def _views(self) -> None:
+        """Views are queries: what they hold follows the tables. One whose tables are gone is gone until they are back."""
+        if self.fresh == self.version or not self.views:
+            return
+        for name, (text, columns) in self.views.items():
+            self.tables.pop(name, None)
+            try:
+                df = self.spark.sql(Program(text, self._kinds, self.functions, self.settings).statement())
+            except DialectError:
+                self.spark.catalog.dropTempView(name)
+                continue
+            self.register(name, df.toDF(*columns) if columns else df, view=text)
+        self.fresh = self.version
 
     # statements
     def sql(self, text: str, args: dict | list | None = None) -> DataFrame:
@@ -90,8 +142,9 @@ class Engine:
         words = [t.upper() for k, t in scan(text)[:4] if k in ("id", "op")]
         head = words[0] if words else ""
         if head in ("SELECT", "VALUES", "WITH", "("):
+            sql = self._limits(self.translate(text))
             self.changed = 0
-            return self.spark.sql(self._limits(self.translate(text)), args=args or {}) if args else self.spark.sql(self._limits(self.translate(text)))
+            return self.spark.sql(sql, args=args) if args else self.spark.sql(sql)
         if head == "EXPLAIN":
             plan = self.spark.sql(self.translate(re.sub(r"^\s*EXPLAIN(\s+QUERY\s+PLAN)?", "", text, flags=re.I)))
             lines = plan._jdf.queryExecution().simpleString().split("\n")
@@ -114,9 +167,13 @@ class Engine:
         if head == "DELETE":
             return self._delete(text)
         if head == "TRUNCATE":
-            name = scan(text)[2][1].strip('"')
-            df = self.tables[name.lower()]
-            self.register(name, df.limit(0), **self.meta[name.lower()])
+            parser = self.parser(text)
+            parser.expect("TRUNCATE", "TABLE")
+            name = parser.name().lower()
+            parser.end()
+            empty = self._writable(name).limit(0)
+            self._referenced(name, empty)
+            self.register(name, empty, **self.meta[name])
             return self._count(0)
         if head in ("START", "BEGIN", "COMMIT", "ROLLBACK", "SAVEPOINT", "RELEASE"):
             return self._transaction(words)
@@ -150,17 +207,20 @@ class Engine:
     def recursive(self, seed: str, step: Callable[[DataFrame], DataFrame], distinct: bool = True, order_by: list[str] | None = None, limit: int | None = None) -> DataFrame:
         return recursion.iterate(self.sql(seed), step, distinct=distinct, order_by=order_by, limit=limit)
 
+    def _state(self) -> tuple[dict, dict, dict]:
+        return dict(self.tables), {k: dict(v) for k, v in self.meta.items()}, dict(self.views)
+
     # transactions: a savepoint is the tables as they are, which is only names for immutable plans
     def _transaction(self, words: list[str]) -> DataFrame:
         head, name = words[0], words[-1] if len(words) > 1 and words[-1] not in ("TRANSACTION", "START") else None
         if head in ("START", "BEGIN"):
             if any(n is None for n, *_ in self.saved):
                 raise DialectError("a transaction is open")
-            self.saved.append((None, dict(self.tables), {k: dict(v) for k, v in self.meta.items()}))
+            self.saved.append((None, *self._state()))
         elif not self.saved:
             raise DialectError("no transaction is open")
         elif head == "SAVEPOINT":
-            self.saved.append((name, dict(self.tables), {k: dict(v) for k, v in self.meta.items()}))
+            self.saved.append((name, *self._state()))
         elif head == "COMMIT":
             self.saved.clear()
         else:
@@ -170,134 +230,296 @@ class Engine:
             if head == "RELEASE":
                 del self.saved[at:]
             else:
-                _, tables, meta = self.saved[at]
+                _, tables, meta, self.views = self.saved[at]
                 for gone in set(self.tables) - set(tables):
-                    self.drop(gone)
+                    self.spark.catalog.dropTempView(gone)
+                self.tables, self.meta = {}, {}
                 for table, df in tables.items():
                     self.register(table, df, **meta[table])
                 del self.saved[at + (name is not None) :]
         return self._count(0)
 
-    # triggers run once per statement, over all of its rows
+    # triggers: each step runs once per statement, over all of its rows
     def _trigger(self, text: str) -> DataFrame:
-        if m := re.match(r"\s*DROP\s+TRIGGER\s+(?:IF\s+EXISTS\s+)?\"?(\w+)\"?", text, re.I):
-            self.triggers.pop(m[1], None)
+        parser = self.parser(text)
+        if parser.accept("DROP", "TRIGGER"):
+            quiet = parser.accept("IF", "EXISTS")
+            if self.triggers.pop(parser.name(), None) is None and not quiet:
+                raise DialectError("no such trigger")
             return self._count(1)
-        m = re.match(r"\s*CREATE\s+TRIGGER\s+\"?(\w+)\"?\s+(BEFORE|AFTER|INSTEAD\s+OF)\s+(INSERT|UPDATE|DELETE)(?:\s+OF\s+([\w\s,]+?))?\s+ON\s+\"?(\w+)\"?\s+FOR\s+EACH\s+ROW\s*(?:WHEN\s+(.+?)\s+)?BEGIN\s+(.*?);?\s*END\s*;?\s*$", text, re.I | re.S)
-        if not m:
-            raise DialectError("syntax error in CREATE TRIGGER")
-        steps = []
-        for step in filter(None, (x.strip() for x in m[7].split(";"))):
-            i = re.fullmatch(r"INSERT\s+INTO\s+\"?(\w+)\"?(?:\s*\(([^)]*)\))?\s+VALUES\s*\((.*)\)", step, re.I | re.S)
-            if not i:
-                raise DialectError("a trigger's steps are INSERT INTO ... VALUES")
-            steps.append((i[1], i[2], i[3]))
-        of = [c.strip() for c in m[4].split(",")] if m[4] else []
-        self.triggers[m[1]] = {"when": m[2].upper().split()[0], "event": m[3].upper(), "of": of, "table": m[5].lower(), "if": m[6], "steps": steps}
+        made = parser.trigger()
+        made.table, made.of = made.table.lower(), [c.lower() for c in made.of]
+        if made.table not in self.tables:
+            raise DialectError(f"no such table: {made.table}")
+        self.triggers[made.name] = made
         return self._count(1)
 
-    def _fire(self, when: str, event: str, table: str, new: DataFrame | None, old: DataFrame | None, changed: set[str] = frozenset()) -> bool:
+    def _fire(self, when: str, event: str, table: str, rows: DataFrame, changed: set[str] = frozenset()) -> tuple[bool, DataFrame]:
+        """Run the triggers over rows {NEW, OLD, row}; whether one ran, and the rows that none of them told to ignore."""
         fired = False
         for t in list(self.triggers.values()):
-            if (t["when"], t["event"], t["table"]) != (when, event, table) or (t["of"] and not changed & set(t["of"])):
+            if (t.when, t.event, t.table) != (when, event, table) or (t.of and not {c.lower() for c in changed} & set(t.of)):
                 continue
             fired = True
-            rows = new if new is not None else old
-            sides = {f"NEW_{c}": new[c] for c in new.columns} if new is not None else {}
-            if new is not None and old is not None:  # an UPDATE: rows carry both sides
-                sides = {f"NEW_{c}": rows[c] for c in rows.columns if not c.startswith("OLD_")} | {c: rows[c] for c in rows.columns if c.startswith("OLD_")}
-            elif old is not None:
-                sides = {f"OLD_{c}": old[c] for c in old.columns}
-            self.register("trigger_rows", rows.select(*[c.alias(n) for n, c in sides.items()]))
-            flat = lambda e: re.sub(r"\b(NEW|OLD)\s*\.\s*\"?(\w+)\"?", lambda m: f"{m[1].upper()}_{m[2]}", e, flags=re.I)
-            for target, columns, values in t["steps"]:
-                self._insert(f"INSERT INTO {target} {f'({columns}) ' if columns else ''}SELECT {flat(values)} FROM trigger_rows{' WHERE ' + flat(t['if']) if t['if'] else ''}")
-            self.drop("trigger_rows")
-        return fired
+            sides = {f"{side}.{c}".lower(): k for side in ("NEW", "OLD") if side in rows.columns for c, k in (self._kinds(table) or {}).items()}
+            own = rows
+            if t.condition:
+                parser = self.parser(t.condition, rowwise=True)
+                parser.scope.kinds |= {k.split(".")[1]: v for k, v in sides.items()}
+                own = rows.where(parser.expr().sql)
+            for step in t.steps:
+                ignored = self._step(step, own, table)
+                if ignored is not None:
+                    rows, own = (x.join(ignored, "row", "left_anti") for x in (rows, own))
+        return fired, rows
+
+    def _step(self, text: str, rows: DataFrame, table: str) -> DataFrame | None:
+        """One step over the trigger's rows; the numbers of the rows that it ignores, if it may."""
+        parser = self.parser(text, rowwise=True)
+        parser.scope.kinds |= self._kinds(table) or {}
+        head = parser.word()
+        if head in ("INSERT", "REPLACE"):
+            step = parser.insert()
+            columns = step.columns or self.tables[step.table.lower()].columns
+            new = self._lateral(rows, step.sql).toDF("row", *columns).orderBy("row").drop("row") if step.sql else rows.select()
+            self._add(step.table.lower(), new, columns if step.sql else [], step.mode)
+            return None
+        if head == "DELETE":
+            step = parser.delete()
+            name = step.table.lower()
+            held = self._writable(name)
+            gone = held.join(rows, F.expr(step.where or "true"), "left_semi")
+            self._remove(name, gone, held.join(rows, F.expr(f"({step.where or 'true'})"), "left_anti"))
+            return None
+        if head == "UPDATE":
+            step = parser.update()
+            name = step.table.lower()
+            held = changes.cut(self._writable(name).withColumn("__target", F.monotonically_increasing_id()))
+            hits = changes.cut(held.select("*").join(rows, F.expr(step.where or "true")).select("__target", "row", *[c for c in ("NEW", "OLD") if c in rows.columns]))
+            turns = hits.groupBy("__target").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+            if turns > 1 and set(re.findall(r"`([^`]+)`", step.where or "")) & set(step.values):
+                raise DialectError("several rows of one statement update the same row, whose condition they change")
+            order = hits.withColumn("turn", F.row_number().over(Window.partitionBy("__target").orderBy("row")))
+            for turn in range(1, turns + 1):  # as often as one row is hit
+                now = order.where(F.col("turn") == turn).drop("turn", "row")
+                both = held.join(now.withColumn("__hit", F.lit(True)), "__target", "left")
+                held = changes.cut(both.select("__target", *[F.when(F.col("__hit"), F.expr(step.values[c])).otherwise(F.col(c)).cast(held.schema[c].dataType).alias(c) if c in step.values else F.col(c) for c in held.columns if c != "__target"]))
+            result = held.drop("__target")
+            changes.validate(result, self.meta[name], self.tables)
+            self._referenced(name, result)
+            self.register(name, result, **self.meta[name])
+            return None
+        sql = parser.statement()
+        try:
+            seen = changes.cut(self._lateral(rows, sql))  # evaluates what it raises
+        except Exception as e:
+            found = re.search(re.escape(RAISED) + r"(\w+): ([^\n]*)", str(e))
+            if not found:
+                raise
+            if found[1] == "ROLLBACK" and self.saved:
+                self._transaction(["ROLLBACK"])
+            raise changes.ConstraintError(found[2]) from None
+        if IGNORED not in sql:
+            return None
+        told = " OR ".join(f"cast(`{c}` as string) = '{IGNORED}'" for c in seen.columns if c != "row")
+        return seen.where(told).select("row").distinct()
+
+    def _lateral(self, rows: DataFrame, sql: str) -> DataFrame:
+        """The rows' numbers beside the rows of a query that may refer to NEW and OLD."""
+        rows.createOrReplaceTempView("__trigger_rows")
+        out = self.spark.sql(f"SELECT t.row, q.* FROM __trigger_rows t, LATERAL ({sql}) q")
+        self.spark.catalog.dropTempView("__trigger_rows")
+        return out
+
+    @staticmethod
+    def _sides(new: DataFrame | None = None, old: list[str] | None = None) -> DataFrame:
+        """Rows {NEW, OLD, row} for triggers; of a change that has both, OLD's columns are those with a prefix."""
+        columns = []
+        if new is not None:
+            plain = [c for c in new.columns if not c.startswith("__old_") and c != "__n"]
+            columns.append(F.struct(*plain).alias("NEW"))
+        if old is not None:
+            columns.append(F.struct(*[F.col(f"__old_{c}").alias(c) for c in old]).alias("OLD"))
+        return new.select(*columns, (F.col("__n") if "__n" in new.columns else F.monotonically_increasing_id()).alias("row"))
 
     # data changes
+    def _writable(self, name: str) -> DataFrame:
+        if name not in self.tables:
+            raise DialectError(f"no such table: {name}")
+        if name in self.views:
+            raise DialectError(f"{name} is a view")
+        return self.tables[name]
+
+    def _referenced(self, name: str, result: DataFrame, columns: set[str] | None = None) -> None:
+        """Raise if rows of other tables, or of this one, lose the row they refer to."""
+        for other, meta in self.meta.items():
+            for own, parent, theirs in meta.get("foreign", []):
+                if parent == name and (columns is None or columns & set(theirs)):
+                    child = result if other == name else self.tables[other]
+                    if not changes.dangling(child, own, result, theirs).isEmpty():
+                        raise changes.ConstraintError(f"{other} refers to rows of {name}")
+
+    def _put(self, name: str, result: DataFrame, part: DataFrame | None = None) -> None:
+        """The table's next version. Appended parts are put together now and then, and a plan of many changes is written, so plans stay small."""
+        meta = self.meta[name]
+        base, parts = meta.get("parts", (None, []))
+        if part is not None:
+            base, parts = (self.tables[name], [part]) if base is None else (base, [*parts, part])
+            if len(parts) > PARTS:
+                merged = parts[0]
+                for x in parts[1:]:
+                    merged = merged.unionByName(x)
+                parts = [changes.cut(merged)]
+            result = base
+            for x in parts:
+                result = result.unionByName(x)
+            meta["parts"] = (base, parts)
+        else:
+            meta.pop("parts", None)
+            meta["depth"] = meta.get("depth", 0) + 1
+            if meta["depth"] >= DEEP:
+                result, meta["depth"] = changes.cut(result), 0
+        self.register(name, result, **meta)
+
     def _insert(self, text: str) -> DataFrame:
-        m = re.fullmatch(r"\s*(INSERT|REPLACE)(?:\s+OR\s+(\w+))?\s+INTO\s+\"?(\w+)\"?\s*(?:\(([^()]*)\)\s*(?=VALUES|SELECT|WITH))?(DEFAULT\s+VALUES|.+?);?\s*", text, re.I | re.S)
-        if not m:
-            raise DialectError("syntax error in INSERT")
-        name, mode = m[3].lower(), "REPLACE" if m[1].upper() == "REPLACE" else (m[2] or "ABORT").upper()
+        step = self.parser(text).insert()
+        name = step.table.lower()
+        if name not in self.tables:
+            raise DialectError(f"no such table: {step.table}")
+        columns = step.columns or self.tables[name].columns
+        new = self.spark.sql(self._limits(step.sql)).toDF(*columns) if step.sql else self.spark.createDataFrame([()], T.StructType([]))
+        return self._count(self._add(name, new, columns if step.sql else [], step.mode))
+
+    def _add(self, name: str, new: DataFrame, columns: list[str], mode: str | None) -> int:
         old, meta = self.tables[name], self.meta[name]
-        columns = [c.strip().strip('"') for c in m[4].split(",")] if m[4] else old.columns
-        if re.match(r"DEFAULT", m[5], re.I):
-            new, columns = self.spark.range(1).select(), []
-            new = self.spark.createDataFrame([()], T.StructType([]))
-        else:
-            new = self.sql(m[5]).toDF(*columns)
+        given = {c.lower(): c for c in columns}
+        kinds = {f.name: f.dataType for f in old.schema.fields}
         defaults = meta.get("defaults", {})
-        new = new.select(*[(F.coalesce(F.col(c), F.expr(defaults[c])) if c in defaults else F.col(c)).cast(old.schema[c].dataType).alias(c) if c in columns else F.expr(defaults.get(c, "NULL")).cast(old.schema[c].dataType).alias(c) for c in old.columns])
-        if self._fire("INSTEAD", "INSERT", name, new, None):
-            return self._count(new.count())
-        self._fire("BEFORE", "INSERT", name, new, None)
-        result, n = changes.insert(old, new, meta["key"], mode)
-        changes.validate(result, meta, self.tables)
-        self.register(name, result, **meta)
-        self._fire("AFTER", "INSERT", name, new, None)
-        return self._count(n)
+        # a default stands for a column that isn't named, not for a null that is
+        new = new.select(*[(F.col(given[c.lower()]) if c.lower() in given else F.expr(defaults.get(c, "NULL"))).cast(kinds[c]).alias(c) for c in old.columns])
+        new = changes.cut(new.withColumn("__n", F.monotonically_increasing_id()))  # files have no order
+        if meta.get("sequence"):
+            new = changes.cut(changes.number_nulls(old, new, meta["sequence"]))
+        fired, rows = self._fire("INSTEAD", "INSERT", name, self._sides(new))
+        if fired:
+            return new.count()
+        self._writable(name)
+        fired, rows = self._fire("BEFORE", "INSERT", name, self._sides(new))
+        old = self.tables[name]
+        if fired:
+            new = changes.cut(rows.select("NEW.*", F.col("row").alias("__n")))
+        unique = [u for u in [meta["key"], *meta.get("unique", [])] if u]
+        modes = [mode or meta.get("conflict", {}).get(tuple(u), "ABORT") for u in unique]
+        new = changes.drop_nulls(new, meta, mode)
+        kept, gone, n = changes.insert(old, new, list(zip(unique, modes)))
+        rows, new = self._sides(kept), kept.drop("__n")
+        changes.validate(new, {**meta, "unique": [], "key_not_null": meta["key"], "key": []}, {**self.tables, name: old.unionByName(new)})
+        if gone is None:
+            self._put(name, old, new)
+        else:
+            result = gone.unionByName(new)
+            self._referenced(name, result)
+            self._put(name, result)
+        self._fire("AFTER", "INSERT", name, rows)
+        return n
 
     def _update(self, text: str) -> DataFrame:
-        m = re.fullmatch(r"\s*UPDATE\s+\"?(\w+)\"?\s+SET\s+(.+?)(?:\s+WHERE\s+(.+?))?;?\s*", text, re.I | re.S)
-        if not m:
-            raise DialectError("syntax error in UPDATE")
-        name = m[1].lower()
+        step = self.parser(text).update()
+        name, where = step.table.lower(), step.where or "true"
         df, meta = self.tables[name], self.meta[name]
-        parser = Parser(m[2], self._kinds, self.functions)
-        parser.scope.kinds |= self._kinds(name) or {}
-        values = {}
-        while True:
-            if parser.word() == "(":
-                names = parser._names()
-                parser.expect("=")
-                row = parser.expr().sql[1:-1]
-                values |= dict(zip(names, [x.strip() for x in row.split(",")]))
-            else:
-                column = parser.name()
-                parser.expect("=")
-                values[column] = parser.expr().sql
-            if not parser.accept(","):
-                break
-        where = self._condition(name, m[3])
-        n = df.where(where).count()
-        out = df.select(*[F.expr(f"CASE WHEN {where} THEN {values[c]} ELSE `{c}` END").cast(df.schema[c].dataType).alias(c) if c in values else F.col(c) for c in df.columns])
-        both = df.where(where).select(*[(F.expr(values[c]).cast(df.schema[c].dataType) if c in values else F.col(c)).alias(c) for c in df.columns], *[F.col(c).alias(f"OLD_{c}") for c in df.columns])
-        self._fire("BEFORE", "UPDATE", name, both, df, set(values))
-        changes.validate(out, meta, self.tables)
-        self.register(name, out, **meta)
-        self._fire("AFTER", "UPDATE", name, both, df, set(values))
+        names = {c.lower(): c for c in df.columns}
+        if unknown := [c for c in step.values if c.lower() not in names]:
+            raise DialectError(f"no such column: {unknown[0]}")
+        values = {names[c.lower()]: v for c, v in step.values.items()}
+        new = {c: F.expr(values[c]).cast(df.schema[c].dataType).alias(c) if c in values else F.col(c) for c in df.columns}
+        both = df.where(where).select(*new.values(), *[F.col(c).alias(f"__old_{c}") for c in df.columns])
+        watched = any(t.event == "UPDATE" and t.table == name for t in self.triggers.values())
+        if watched:
+            both = changes.cut(both)
+            sides = self._sides(both, df.columns)
+            fired, _ = self._fire("INSTEAD", "UPDATE", name, sides, set(values))
+            if fired:
+                return self._count(both.count())
+            fired, sides = self._fire("BEFORE", "UPDATE", name, sides, set(values))
+            if fired:
+                both = changes.cut(sides.select("NEW.*", *[F.col(f"OLD.{c}").alias(f"__old_{c}") for c in df.columns]))
+        df = self._writable(name)
+        n = both.count() if watched else df.where(where).count()
+        rest = df.where(f"NOT coalesce({where}, false)")
+        if watched and meta["key"]:  # rows that a trigger told to ignore stay as they are
+            spared = df.where(where).join(both.select(*[F.col(f"__old_{c}").alias(c) for c in meta["key"]]), meta["key"], "left_anti").select(*df.columns)
+            rest = rest.unionByName(spared)
+        changed = both.select(*df.columns)
+        if step.mode in ("IGNORE", "REPLACE"):
+            unique = [(u, step.mode) for u in [meta["key"], *meta.get("unique", [])] if u and set(u) & set(values)]
+            kept, left, _ = changes.insert(rest, changes.cut(changed), unique)
+            kept = kept.select(*df.columns)
+            out = (rest if left is None else left).unionByName(kept)
+            if step.mode == "IGNORE" and meta["key"]:
+                lost = both.join(kept.select(*meta["key"]), meta["key"], "left_anti")
+                out = out.unionByName(lost.select(*[F.col(f"__old_{c}").alias(c) for c in df.columns]))
+        elif "SELECT" in where or watched:
+            out = rest.unionByName(changed)
+        else:
+            out = df.select(*[F.when(F.expr(where), new[c]).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in df.columns])
+        touched = set(values)
+        held = {**meta, "unique": [u for u in meta.get("unique", []) if set(u) & touched], "key": meta["key"] if set(meta["key"]) & touched else []}
+        changes.validate(out, held, {**self.tables, name: out})
+        self._referenced(name, out, touched)
+        self._put(name, out)
+        if watched:
+            self._fire("AFTER", "UPDATE", name, self._sides(both, df.columns), set(values))
         return self._count(n)
 
-    def _condition(self, name: str, text: str | None) -> str:
-        if not text:
-            return "true"
-        parser = Parser(text, self._kinds, self.functions)
-        parser.scope.kinds |= self._kinds(name) or {}
+    def _condition(self, name: str, text: str) -> str:
+        parser = self.parser(text)
+        parser.on_table(name)
         return parser.expr().sql
 
     def _delete(self, text: str) -> DataFrame:
-        m = re.fullmatch(r"\s*DELETE\s+FROM\s+\"?(\w+)\"?(?:\s+WHERE\s+(.+?))?;?\s*", text, re.I | re.S)
-        if not m:
-            raise DialectError("syntax error in DELETE")
-        name = m[1].lower()
-        df, where = self.tables[name], self._condition(name, m[2])
-        n = df.where(where).count()
-        gone = df.where(where)
-        self._fire("BEFORE", "DELETE", name, None, gone)
-        self.register(name, df.where(f"NOT coalesce({where}, false)"), **self.meta[name])
-        self._fire("AFTER", "DELETE", name, None, gone)
-        return self._count(n)
+        step = self.parser(text).delete()
+        name, where = step.table.lower(), step.where or "true"
+        df = self.tables[name]
+        gone = changes.cut(df.where(where))
+        sides = self._sides(gone.select(*[F.col(c).alias(f"__old_{c}") for c in df.columns]), df.columns).drop("NEW")
+        if self._fire("INSTEAD", "DELETE", name, sides)[0]:
+            return self._count(gone.count())
+        fired, rows = self._fire("BEFORE", "DELETE", name, sides)
+        rest = self._writable(name).where(f"NOT coalesce({where}, false)")
+        if fired:
+            left = changes.cut(rows.select("OLD.*"))
+            rest = rest.unionByName(gone.exceptAll(left))
+            gone = left
+        self._remove(name, gone, rest)
+        sides = self._sides(gone.select(*[F.col(c).alias(f"__old_{c}") for c in df.columns]), df.columns).drop("NEW")
+        self._fire("AFTER", "DELETE", name, sides)
+        return self._count(gone.count())
+
+    def _remove(self, name: str, gone: DataFrame, rest: DataFrame) -> None:
+        self._referenced(name, rest)
+        self._put(name, rest)
 
     # definitions
     def _define(self, text: str) -> DataFrame:
         t = text.strip().rstrip(";")
-        if m := re.fullmatch(r"CREATE\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?\"?(\w+)\"?\s*\((.*)\)", t, re.I | re.S):
-            self._create(m[1], m[2])
-        elif m := re.fullmatch(r"CREATE\s+VIEW\s+\"?(\w+)\"?(?:\s*\(([^)]*)\))?\s+AS\s+(.*)", t, re.I | re.S):
-            df = self.sql(m[3])
-            self.register(m[1], df.toDF(*[c.strip() for c in m[2].split(",")]) if m[2] else df, view=m[3])
+        words = [w.upper() for _, w in scan(t)[:2]]
+        if words == ["CREATE", "TABLE"]:
+            self._create(t)
+        elif words == ["CREATE", "VIEW"]:
+            parser = self.parser(t)
+            parser.expect("CREATE", "VIEW")
+            quiet, name = parser.accept("IF", "NOT", "EXISTS"), parser.name().lower()
+            columns = parser._names() if parser.word() == "(" else []
+            parser.expect("AS")
+            body = parser.text(parser.at, len(parser.toks))
+            if name in self.tables:
+                if not quiet:
+                    raise DialectError(f"{name} exists")
+            else:
+                self.translate(body)
+                self.views[name] = (body, columns)
+                self.version += 1
+                self._views()
         elif m := re.fullmatch(r"CREATE\s+(UNIQUE\s+)?INDEX\s+\"?(\w+)\"?\s+ON\s+\"?(\w+)\"?\s*\(([^)]*)\)", t, re.I | re.S):
             meta, columns = self.meta[m[3].lower()], [c.split()[0].strip('"') for c in m[4].split(",")]
             meta.setdefault("indexes", {})[m[2]] = (bool(m[1]), columns)
@@ -308,9 +530,11 @@ class Engine:
             unique, columns = self.meta[m[2].lower()]["indexes"].pop(m[1])
             if unique:
                 self.meta[m[2].lower()]["unique"].remove(columns)
-        elif m := re.fullmatch(r"DROP\s+(?:TABLE|VIEW)\s+(IF\s+EXISTS\s+)?\"?(\w+)\"?", t, re.I):
-            if not m[1] or m[2].lower() in self.tables:
-                self.drop(m[2])
+        elif m := re.fullmatch(r"DROP\s+(TABLE|VIEW)\s+(IF\s+EXISTS\s+)?\"?(\w+)\"?", t, re.I):
+            if m[3].lower() in self.tables and (m[3].lower() in self.views) != (m[1].upper() == "VIEW"):
+                raise DialectError(f"{m[3]} is a {'view' if m[3].lower() in self.views else 'table'}")
+            if not m[2] or m[3].lower() in self.tables:
+                self.drop(m[3])
         elif m := re.fullmatch(r"ALTER\s+TABLE\s+\"?(\w+)\"?\s+RENAME\s+TO\s+\"?(\w+)\"?", t, re.I):
             self.rename(m[1], m[2])
         elif m := re.fullmatch(r"ALTER\s+TABLE\s+\"?(\w+)\"?\s+ADD\s+COLUMN\s+\"?(\w+)\"?\s+(\w+)", t, re.I):
@@ -346,46 +570,22 @@ class Engine:
             raise DialectError(f"no such type: {name}")
         return types[name.upper()]
 
-    def _create(self, name: str, body: str) -> None:
-        parts, depth, start = [], 0, 0
-        for i, c in enumerate(body + ","):
-            depth += {"(": 1, ")": -1}.get(c, 0)
-            if c == "," and depth == 0:
-                parts.append(body[start:i].strip())
-                start = i + 1
-        fields, meta = [], {"key": [], "unique": [], "not_null": [], "checks": {}, "foreign": [], "defaults": {}}
-        kinds = {}
-        for part in parts:
-            part = re.sub(r"^CONSTRAINT\s+\"?(\w+)\"?\s+", "", part, flags=re.I)
-            if m := re.match(r"(PRIMARY\s+KEY|UNIQUE)\s*\(([^)]*)\)", part, re.I):
-                columns = [c.strip().strip('"') for c in m[2].split(",")]
-                meta["key" if m[1].upper().startswith("P") else "unique"] += columns if m[1].upper().startswith("P") else [columns]
-            elif m := re.match(r"FOREIGN\s+KEY\s*\(([^)]*)\)\s*REFERENCES\s+\"?(\w+)\"?\s*\(([^)]*)\)", part, re.I):
-                meta["foreign"].append(([c.strip() for c in m[1].split(",")], m[2].lower(), [c.strip() for c in m[3].split(",")]))
-            elif m := re.match(r"CHECK\s*\((.*)\)$", part, re.I | re.S):
-                meta["checks"][f"ck_{len(meta['checks']) + 1}"] = m[1]
-            else:
-                m = re.match(r"\"?(\w+)\"?\s+(\w+)(?:\s*\(\s*\d+\s*\))?(.*)$", part, re.S)
-                column, rest = m[1], m[3]
-                fields.append(f"`{column}` {self._type(m[2])}")
-                kinds[column.lower()] = kind_of(T._parse_datatype_string(self._type(m[2])))
-                if re.search(r"PRIMARY\s+KEY", rest, re.I):
-                    meta["key"].append(column)
-                if re.search(r"\bUNIQUE\b", rest, re.I):
-                    meta["unique"].append([column])
-                if re.search(r"NOT\s+NULL", rest, re.I):
-                    meta["not_null"].append(column)
-                if re.search(r"AUTOINCREMENT", rest, re.I):
-                    meta["sequence"] = column
-                if d := re.search(r"DEFAULT\s+(\([^)]*\)|'[^']*'|[-\w.]+)", rest, re.I):
-                    meta["defaults"][column] = d[1]
-                if c := re.search(r"CHECK\s*\((.*)\)", rest, re.I | re.S):
-                    meta["checks"][f"ck_{column}"] = c[1]
-                if r := re.search(r"REFERENCES\s+\"?(\w+)\"?\s*(?:\((\w+)\))?", rest, re.I):
-                    meta["foreign"].append(([column], r[1].lower(), [r[2] or column]))
-        self.register(name, self.spark.createDataFrame([], ", ".join(fields)), **meta)
-        meta = self.meta[name.lower()]
-        meta["checks"] = {k: self._condition(name.lower(), v) for k, v in meta["checks"].items()}
+    def _create(self, text: str) -> None:
+        t = self.parser(text).table()
+        name = t.name.lower()
+        if name in self.tables:
+            if t.exists_ok:
+                return
+            raise DialectError(f"{t.name} exists")
+        if len({c.lower() for c, _ in t.columns}) < len(t.columns):
+            raise DialectError("a column is there twice")
+        fields = ", ".join(f"`{c}` {self._type(kind)}" for c, kind in t.columns)
+        meta = {"key": t.key, "unique": t.unique, "named": t.named, "not_null": t.not_null, "checks": {}, "foreign": t.foreign, "defaults": t.defaults, "conflict": t.conflict, "sequence": t.sequence}
+        for columns, parent, theirs in t.foreign:
+            if parent != name and parent not in self.tables or len(columns) != len(theirs):
+                raise DialectError(f"a foreign key refers to no table {parent}")
+        self.register(t.name, self.spark.createDataFrame([], fields), **meta)
+        self.meta[name]["checks"] = {k: self._condition(name, v) for k, v in t.checks.items()}
 
     def _pragma(self, text: str) -> DataFrame:
         m = re.match(r"\s*PRAGMA\s+(\w+)(?:\s*\(\s*\"?(\w+)\"?(?:\.\"?(\w+)\"?)?\s*\))?", text, re.I)

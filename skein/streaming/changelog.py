@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from skein.operators.changes import compact
 
 SCHEMA = "lsn bigint, replica_id int, op string, key bigint, value double"
+TABLE = "key bigint, lsn bigint, replica_id int, op string, value double"
 
 
 def replay(log: DataFrame, since: int = 0) -> DataFrame:
@@ -38,28 +39,63 @@ def latest(changes: DataFrame) -> DataFrame:
 
 
 class Follower:
-    """Apply a stream to a table, micro-batch by micro-batch; triggers are called with each batch of applied rows."""
+    """Apply a stream to a table, micro-batch by micro-batch; triggers are called with each batch of applied rows.
 
-    def __init__(self, spark: SparkSession, table_path: str):
-        self.spark, self.path, self.number = spark, table_path, 0
+    The folder holds ``base-<batch>``, the table up to a batch, and ``delta-<batch>``, the newest rows by key of each
+    batch after it. A batch writes its own rows only; every ``merge_every`` batches they are merged into the next
+    base. What is committed is found again by another Follower over the same folder, and a batch that comes again is not applied again.
+    Of equal lsns the greatest replica_id wins.
+    """
+
+    def __init__(self, spark: SparkSession, table_path: str, merge_every: int = 16):
+        self.spark, self.path, self.merge_every = spark, table_path.rstrip("/"), merge_every
         self.before: list[Callable[[DataFrame], DataFrame]] = []
         self.after: list[Callable[[DataFrame], None]] = []
         self.watchers: dict[int, list[Callable[[int, float | None], None]]] = {}
 
+    def _files(self):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+
+    def _committed(self) -> tuple[int, list[int]]:
+        """The last base's batch (-1 without one) and the batches of the deltas after it."""
+        fs, path = self._files()
+        bases, deltas = [-1], []
+        for entry in fs.listStatus(path) if fs.exists(path) else []:
+            kind, _, number = entry.getPath().getName().partition("-")
+            if number.isdigit() and fs.exists(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(entry.getPath(), "_SUCCESS")):
+                (bases if kind == "base" else deltas).append(int(number))
+        return max(bases), sorted(n for n in deltas if n > max(bases))
+
     def table(self) -> DataFrame | None:
-        return self.spark.read.parquet(f"{self.path}/v{self.number}") if self.number else None
+        """Newest row of each key, deletions included."""
+        base, deltas = self._committed()
+        names = [f"base-{base}"] * (base >= 0) + [f"delta-{n}" for n in deltas]
+        if not names:
+            return None
+        rows = self.spark.read.schema(TABLE).parquet(*[f"{self.path}/{n}" for n in names])
+        return self._newest(rows)
+
+    @staticmethod
+    def _newest(rows: DataFrame) -> DataFrame:
+        newest = rows.groupBy("key").agg(F.max(F.struct("lsn", "replica_id", "op", "value")).alias("x"))
+        return newest.select("key", "x.lsn", "x.replica_id", "x.op", "x.value")
 
     def apply(self, batch: DataFrame, batch_id: int) -> None:
-        """Merge a batch. A batch that comes again changes nothing, as older or equal lsns never win."""
+        base, deltas = self._committed()
+        if batch_id <= base or batch_id in deltas:
+            return
         for f in self.before:
             batch = f(batch)
-        new = latest(batch.dropDuplicates(["replica_id", "lsn"])).select("key", "lsn", "op", "value")
-        old = self.table()
-        both = new if old is None else old.select("key", "lsn", "op", "value").unionByName(new)
-        order = Window.partitionBy("key").orderBy(F.desc("lsn"))
-        merged = both.withColumn("r", F.row_number().over(order)).where("r = 1").drop("r")
-        merged.write.mode("overwrite").parquet(f"{self.path}/v{self.number + 1}")
-        self.number += 1
+        self._newest(batch).write.mode("overwrite").parquet(f"{self.path}/delta-{batch_id}")
+        if len(deltas) + 1 >= self.merge_every:
+            self.table().write.mode("overwrite").parquet(f"{self.path}/base-{batch_id}")
+            fs, _ = self._files()
+            for name in [f"delta-{n}" for n in [*deltas, batch_id]] + [f"base-{base}"] * (base >= 0):
+                fs.delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}"), True)
+            new = self._newest(batch)
+        else:
+            new = self.spark.read.schema(TABLE).parquet(f"{self.path}/delta-{batch_id}")
         for f in self.after:
             f(new)
         if self.watchers:  # last values of watched keys only
@@ -67,6 +103,12 @@ class Follower:
                 for f in self.watchers[r["key"]]:
                     f(r["key"], None if r["op"] == "DELETE" else r["value"])
 
+    def watch_once(self, key: int) -> float | None:
+        """The key's value now."""
+        table = self.table()
+        row = None if table is None else table.where((F.col("key") == key) & (F.col("op") != "DELETE")).select("value").first()
+        return row and row["value"]
+
     def follow(self, changes: DataFrame, checkpoint: str) -> StreamingQuery:
         return changes.writeStream.foreachBatch(self.apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

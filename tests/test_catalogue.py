@@ -25,7 +25,7 @@ def test_entry(spark):
 
 
 def test_whole_tables(spark, duck, testdata):
-    whole = lambda name: catalogue.QUERIES[f"{name}_whole"](spark, testdata)
+    whole = lambda name: catalogue.QUERIES[name](spark, testdata)
     assert whole("merger").count() == duck.sql("select count(*) from orders").fetchall()[0][0] > 50
     assert whole("is_null").where("event_id >= 500").count() > 0
     ends = {r.t for r in whole("recursive_union").select("t").distinct().collect()}

@@ -37,3 +37,22 @@ def test_before_triggers_change_rows(spark, tmp_path):
     follower.before.append(lambda df: df.withColumn("value", F.col("value") * 10))
     follower.apply(log(spark, ROWS), 0)
     assert {(r["key"], r["value"]) for r in follower.live().collect()} == {(1, 20.0), (3, 70.0)}
+
+
+def test_a_follower_goes_on_after_a_restart(spark, tmp_path):
+    folder, table, mark = str(tmp_path / "log"), str(tmp_path / "table"), str(tmp_path / "checkpoint")
+    for i, part in enumerate((ROWS[:1], ROWS[1:3], ROWS[3:4], ROWS[4:])):
+        log(spark, part).coalesce(1).write.mode("append").parquet(folder)
+        follower = changelog.Follower(spark, table, merge_every=2)
+        follower.follow(changelog.stream(spark, folder), mark).awaitTermination()
+    follower = changelog.Follower(spark, table)
+    assert {(r["key"], r["value"]) for r in follower.live().collect()} == {(1, 2.0), (3, 7.0)}
+    follower.apply(log(spark, [(9, 1, "INSERT", 1, 99.0)]), 2)  # a batch that was applied
+    assert follower.watch_once(1) == 2.0 and follower.watch_once(2) is None
+
+
+def test_ties_between_replicas(spark, tmp_path):
+    follower = changelog.Follower(spark, str(tmp_path / "t"))
+    follower.apply(log(spark, [(5, 2, "INSERT", 1, 2.0), (5, 1, "INSERT", 1, 1.0)]), 0)
+    follower.apply(log(spark, [(5, 1, "INSERT", 1, 3.0)]), 1)
+    assert follower.watch_once(1) == 2.0
