@@ -6,7 +6,8 @@ the article. Decoding then chooses for the whole tree at once: a dropped node dr
 leaves the choice to each child, and the total of the nodes' log-odds, weighted by their own text, is the greatest.
 
 The pages table has no labels, so the trees learn from pages that this module lays out itself, in many random layouts whose
-parts are known; nothing of the corpus enters the model. Training takes a few seconds and is the same each time.
+parts are known; nothing of the corpus enters the model. Training takes about 20 seconds on the driver and gives the same trees each time;
+they are kept in the shared folder, under a name made from this module's text, for the next driver.
 
 Output: texts of kept nodes, references decoded, white space within a block made one space, blocks joined by a newline.
 ``<br>`` is white space. Null or empty html gives an empty text. Repeated pages are extracted alike; extra columns are ignored.
@@ -15,15 +16,19 @@ Output: texts of kept nodes, references decoded, white space within a block made
 from __future__ import annotations
 
 import functools
+import hashlib
 import html as html_lib
 import math
+import pickle
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm import common
@@ -39,7 +44,10 @@ RAW = frozenset("script style title textarea iframe noscript".split())
 #: What a start tag closes if it is open above it, up to a container.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 SCOPE = frozenset("ul ol dl table html body".split())
-_TOKEN = re.compile(r"<!--(?:.*?-->|.*)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Most tags: no angle brackets in quoted values, so that a failing match ends at the next bracket.
+_TAG_TEXT = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>\"']|\"[^\"<>]*\"|'[^'<>]*')*)>")
+_TAG_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_QUOTE_OR_END = re.compile(r"[\"'>]")
 _NAMED = re.compile(r"\b(class|id|role|itemprop|aria-label|style|data-part)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPLIT = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
 _STOP = re.compile(r"[.!?;:,。！？]")
@@ -88,11 +96,64 @@ class Node:
             parent.kids.append(self)
 
 
+def tags(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """(start, end, closing, name, attributes) of each tag, the name empty for comments and declarations.
+
+    Linear in the page: a tag ends at the first > outside of quotes, or at the first one after a quote that is never
+    closed. A comment that is never closed takes the rest; a < that begins no tag is text. Send a place to go on from there.
+    """
+    at, open_ended = 0, set()
+    while (start := page.find("<", at)) >= 0:
+        end, closing, name, attrs = -1, False, "", ""
+        if m := _TAG_TEXT.match(page, start):
+            end, closing, name, attrs = m.end(), m[1] == "/", m[2].lower(), m[3]
+        elif page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            end = len(page) if end < 0 else end + 3
+        elif page.startswith(("<!", "<?"), start):
+            end = page.find(">", start) + 1 or -1
+        elif m := _TAG_NAME.match(page, start):
+            closing, name, place = m[1] == "/", m[2].lower(), m.end()
+            while end < 0:
+                stop = _QUOTE_OR_END.search(page, place)
+                if stop is None:
+                    return  # no > is left
+                quote = stop[0]
+                if quote == ">":
+                    end = stop.end()
+                    continue
+                shut = -1 if quote in open_ended else page.find(quote, stop.end())
+                if shut < 0:
+                    open_ended.add(quote)
+                    end = page.find(">", stop.end()) + 1
+                    if end == 0:
+                        return
+                else:
+                    place = shut + 1
+            attrs = page[m.end() : end - 1]
+        if end < 0:
+            at = start + 1
+            continue
+        sent = yield start, end, closing, name, attrs
+        at = end
+        if sent is not None:
+            at = sent
+            yield start, end, closing, name, attrs  # what send() returns
+
+
 def parse(page: str) -> list[Node]:
     """Block elements in page order; each holds its own runs of text, numbered in page order."""
     root = Node("html", None, 0, "")
     nodes, open_, run, number = [root], root, [], 0
-    at, skip, depth, linked = 0, "", 0, False
+    at, skip, depth, linked, within = 0, "", 0, False, {}
+
+    opened: Counter = Counter()  # open elements by tag, so that no search goes up for one that isn't there
+
+    def shut_to(node: Node) -> None:
+        nonlocal open_
+        while open_ is not node:
+            opened[open_.tag] -= 1
+            open_ = open_.parent
 
     def close_run() -> None:
         nonlocal run, number
@@ -115,34 +176,38 @@ def parse(page: str) -> list[Node]:
             open_.linked += n
 
     end = len(page)
-    while at < end:
-        m = _TOKEN.search(page, at)
-        if m is None:
-            if not skip:
-                text(page[at:])
-            break
-        if not skip and m.start() > at:
-            text(page[at : m.start()])
-        at = m.end()
-        name = m[2]
-        if name is None:
+    found = tags(page)
+    for start, stop, closing, tag, attrs in found:
+        if not skip and start > at:
+            text(page[at:start])
+        at = stop
+        if not tag:
             continue
-        tag, closing = name.lower(), m[1] == "/"
         if skip:
             if tag == skip:
-                depth += -1 if closing else 0 if m[3].endswith("/") else 1
+                depth += -1 if closing else 0 if attrs.endswith("/") else 1
                 if depth == 0:
                     skip = ""
-            continue
+                continue
+            if tag not in BLOCKS or tag in VOID:
+                continue
+            if not closing and not (skip == "head" and tag != "html"):
+                within[tag] = within.get(tag, 0) + 1
+                continue
+            if closing and within.get(tag, 0):
+                within[tag] -= 1
+                continue
+            skip = ""  # its end tag is missing: the body or the end of a block around it ends it
         if tag in SKIPPED:
-            if not closing and not m[3].endswith("/"):
+            if not closing and not attrs.endswith("/"):
                 if tag in ("button", "select", "textarea"):
                     open_.controls += 1
                 if tag in RAW:
-                    stop = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-                    at = stop.end() if stop else end
+                    last = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
+                    at = last.end() if last else end
+                    found.send(at)
                 else:
-                    skip, depth = tag, 1
+                    skip, depth, within = tag, 1, {}
             continue
         if tag == "br":
             if run:
@@ -158,33 +223,39 @@ def parse(page: str) -> list[Node]:
         elif tag in BLOCKS:
             close_run()
             if closing:
-                x = open_
-                while x is not None and x.tag != tag:
-                    x = x.parent
-                if x is not None and x.parent is not None:
-                    open_ = x.parent
+                if opened[tag]:
+                    x = open_
+                    while x.tag != tag:
+                        x = x.parent
+                    shut_to(x.parent)
                 linked = linked and tag in _HEADINGS
                 continue
             if tag in ("html", "body"):
                 if tag == "body":
-                    nodes.append(Node(tag, open_, len(nodes), m[3])) if open_.tag == "html" else None
-                    open_ = nodes[-1] if nodes[-1].tag == "body" else open_
+                    nodes.append(Node(tag, open_, len(nodes), attrs)) if open_.tag == "html" else None
+                    if nodes[-1].tag == "body" and open_ is not nodes[-1]:
+                        open_ = nodes[-1]
+                        opened["body"] += 1
                 continue
             if open_.tag == "p" or (open_.tag in _HEADINGS and tag in _HEADINGS):  # neither holds blocks
-                open_ = open_.parent
+                shut_to(open_.parent)
             shut = CLOSES.get(tag)
-            if shut:
+            left = sum(opened[t] for t in shut) if shut else 0
+            if left:
                 x, last = open_, None
-                while x is not None and x.tag not in SCOPE:
+                while left and x is not None and x.tag not in SCOPE:
                     if x.tag in shut:
-                        last = x
+                        last, left = x, left - 1
                     x = x.parent
                 if last is not None:
-                    open_ = last.parent
-            node = Node(tag, open_, len(nodes), m[3])
+                    shut_to(last.parent)
+            node = Node(tag, open_, len(nodes), attrs)
             nodes.append(node)
             if tag not in VOID:
                 open_ = node
+                opened[tag] += 1
+    if not skip and at < end:
+        text(page[at:])
     close_run()
     for x in reversed(nodes):  # children come after their parents
         p = x.parent
@@ -462,6 +533,17 @@ def trained(pages: int = 500, seed: int = 8) -> Trees:
     return Trees().fit(np.concatenate(xs), np.array(ys), np.array(ws))
 
 
+def kept_trees(spark: SparkSession) -> Trees:
+    """The trained trees, from the shared folder if an earlier driver left them there."""
+    name = hashlib.sha256(Path(__file__).read_bytes()).hexdigest()[:20]
+    path = f"{common.shared_dir(spark)}/skein-trees-{name}"
+    if common.exists(spark, f"{path}/_SUCCESS"):
+        return pickle.loads(spark.read.parquet(path).first()["trees"])
+    trees = trained()
+    spark.createDataFrame([(bytearray(pickle.dumps(trees)),)], "trees binary").coalesce(1).write.mode("overwrite").parquet(path)
+    return trees
+
+
 def extract_many(pages: list[str | None], trees: Trees) -> list[str]:
     parsed = [parse(p or "") for p in pages]
     if not parsed:
@@ -477,7 +559,7 @@ def extract_many(pages: list[str | None], trees: Trees) -> list[str]:
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
     common.small_batches(pages.sparkSession, 500)
-    trees = trained()
+    trees = kept_trees(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

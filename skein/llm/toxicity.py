@@ -8,7 +8,8 @@ prefixes then score the text: a logistic regression over the features that set t
 
 Labels are learned from a bounded sample of the labelled rows, ``TRAIN_ROWS`` of those with the least hash of doc_id, and never from rows
 held out (crc32 of doc_id as text, mod 4, is 2; a null doc_id is as ''). The counts of the character model cover every text.
-Null and empty texts have no words and get the score of the bias alone. Without any labels the score is 0.0. Repeated
+Null and empty texts have no words and get the score of the bias alone. Without any labels every score is about 1e-13; labels other than 0
+and 1 are none. Repeated
 doc_ids in labels count once for each row they meet; repeated documents get equal scores. Extra columns are carried by ``score``.
 """
 
@@ -238,7 +239,7 @@ def fit(rows: list[list[int]], labels: list[int], size: int, rounds: int = 400)
 def train(docs: DataFrame, labels: DataFrame, counts: np.ndarray) -> dict:
     """The scoring model: features, weights, bias."""
     id_text = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(F.crc32(id_text) % 4 != 2).select(F.col("doc_id").alias("l_id"), F.col("toxic").cast("int").alias("toxic"))
+    known = labels.where("cast(toxic as int) IN (0, 1) AND doc_id IS NOT NULL").where(F.crc32(id_text) % 4 != 2).select(F.col("doc_id").alias("l_id"), F.col("toxic").cast("int").alias("toxic"))
     known = F.broadcast(known.orderBy(F.xxhash64("l_id"), "l_id").limit(TRAIN_ROWS))  # 12 bytes a row, TRAIN_ROWS at most
     sample = common.cut(docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("l_id")).select("text", "toxic"), "labelled")
 

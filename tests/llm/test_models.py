@@ -1,5 +1,7 @@
+import html
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from math import log10
@@ -155,3 +157,49 @@ def test_language_model_word_factor_sees_both_words_before(spark):
     x, y = (model.read([w, b"c", b"b"])[1][2:3] for w in (b"a", b"b"))
     classes = model.class_of[[2]]
     assert not np.allclose(model.word_logits(x, classes)[1], model.word_logits(y, classes)[1])
+
+
+@pytest.mark.parametrize("page", ["<p " * 40_000, '<a "' * 40_000, '<a "<a" ' * 30_000 + '">', "<a '" + '<b "' * 30_000 + ">x", "<div>" * 20_000 + "</p>" * 20_000, "<div>" * 20_000 + "<tr>" * 20_000, "<svg><div>" * 10_000, "<" * 100_000])
+def test_long_broken_pages_take_linear_time(page):
+    began = time.process_time()
+    html_extract.parse(page)
+    assert time.process_time() - began < 5
+
+
+def test_missing_end_tags():
+    whole = lambda page: html_extract.joined(nodes := html_extract.parse(page), [True] * len(nodes))
+    assert whole("<head><title>t</title><meta x><p>One<p>Two") == "One\nTwo"
+    assert whole("<html><head><link x><body><div><svg><g></div><p>Two</p>") == "Two"
+    assert whole("<div><template><div>no</div></template>yes</div>") == "yes"
+    assert whole("<p title='x > y'>1 < 2 <i d=\"e>f</p>") == "1 < 2 f"
+
+
+def test_pages_of_the_sample_tables(spark, testdata):
+    """Paragraphs and headings within article stay; menus, footers and adverts go."""
+    pages = spark.read.parquet(f"{testdata}/pages.parquet")
+    got = {r["page_id"]: set(r["text"].split("\n")) for r in html_extract.extract(pages.withColumn("text", pages.url).withColumn("trees", pages.url)).collect()}
+    plain = lambda x: " ".join(html.unescape(re.sub(r"<br ?/?>", " ", x)).split())
+    kept = dropped = left = 0
+    for r in pages.collect():
+        inner = "".join(re.findall(r"<article\b.*?</article>", r["html"], re.S))
+        clean = re.sub(r"<(div|aside|section|form|ul)\b[^>]*class=[\"'][^\"']*\b(ads?|comments?|share|related|promo)\b.*?</\1>", "", inner, flags=re.S)
+        for x in re.findall(r"<p>([^<]*)</p>", clean):
+            if plain(x):
+                kept += plain(x) in got[r["page_id"]]
+                left += plain(x) not in got[r["page_id"]]
+        for part in re.findall(r"<(?:nav|footer)\b.*?</(?:nav|footer)>", r["html"], re.S):
+            for x in re.findall(r"<(?:li|a|p)\b[^>]*>([^<]+)<", part):
+                dropped += plain(x) not in got[r["page_id"]]
+                left += bool(plain(x)) and plain(x) in got[r["page_id"]] and plain(x) not in inner
+    assert kept > 50 and dropped > 50 and left <= 0.01 * (kept + dropped)
+    assert html_extract.extract(pages.limit(0)).count() == 0
+
+
+def test_labels_of_the_sample_tables(spark):
+    """Of the held-out rows with labels: precision and recall."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    odd = labels.selectExpr("doc_id", "cast(toxic as int) AS toxic").union(labels.selectExpr("doc_id", "7").limit(3))
+    got = toxicity.score(docs.select("doc_id", "text"), odd).where("held_out").join(labels.select("doc_id", "toxic"), "doc_id").collect()
+    true = sum(r["toxic"] == 1 == r["predicted"] for r in got)
+    assert true >= 0.65 * sum(r["toxic"] for r in got) and true >= 0.6 * sum(r["predicted"] for r in got)
+    assert toxicity.score(docs.select("doc_id", "text").limit(5), labels.limit(0)).where("score > 1e-9").count() == 0
