@@ -239,6 +239,14 @@ def _fits(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.minimum(x, y) >= SIMILARITY**2 * np.maximum(x, y)
 
 
+def tiled(rows: DataFrame) -> DataFrame:
+    """rows with each path of more than SMALL classes cut into parts and dealt over paths of two parts each: all pairs meet, no task holds more than two parts."""
+    parts = rows.groupBy("path").agg(F.expr(f"cast(ceil(count(1) * 2 / {SMALL}) as int)").alias("parts"))
+    dealt = rows.join(parts, "path").withColumn("part", F.expr("cast(pmod(xxhash64(class), parts) as int)"))
+    pairs = F.explode(F.expr("transform(sequence(0, parts - 1), p -> struct(least(p, part) AS i, greatest(p, part) AS j))"))
+    return dealt.select("path", "class", "n", "signature", pairs.alias("t")).select(F.xxhash64("path", "t.i", "t.j").alias("path"), "class", "n", "signature")
+
+
 def ties(classes: DataFrame) -> DataFrame:
     """Spanning ties (a, b) over all classes that some path brought together and that might be similar."""
     found: list[DataFrame] = []
@@ -261,7 +269,7 @@ def ties(classes: DataFrame) -> DataFrame:
         if depth < MAX_DEPTH:
             rows = common.cut(split(rest, False), "paths")
         else:  # what no split parts: compared in full
-            found.append(common.cut(compare(rest), "ties"))
+            found.append(common.cut(compare(tiled(rest)), "ties"))
     out = found[0]
     for more in found[1:]:
         out = out.union(more)

@@ -1,8 +1,10 @@
+import hashlib
 import random
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from skein.llm import decontaminate, fingerprint, line_dedup, ngram_join, substring_dedup
 
@@ -36,6 +38,30 @@ def test_substrings_against_brute_force(spark, seed):
     assert sorted(got, key=KEY) == sorted(substring_dedup.brute_force(rows), key=KEY)
 
 
+def test_substrings_carry_no_extra_columns_and_tell_factors(spark):
+    words = [f"w{k}" for k in range(90)]
+    rows = [(1, " ".join(words)), (2, "a b " + " ".join(words[20:80]) + " c"), (3, " ".join(words[:34])), (None, None)]
+    docs = made(spark, rows).selectExpr("*", "1 AS th", "2 AS anchor", "3 AS lo", "text AS context", "4 AS start")
+    got = {x["doc_id"]: x for x in substring_dedup.dedup(docs).collect()}
+    assert [tuple(f) for f in got[2]["factors"]] == [(2, 60, 1, 20)] and [tuple(f) for f in got[1]["factors"]] == [(20, 60, 2, 2)]
+    assert got[2]["kept_text"] == "a b c" and got[3]["n_removed"] == 0 and got[None]["n_words"] == 0
+
+
+def test_lines_of_one_large_group_of_near_copies(spark):
+    """Matches are those of the definition, and no join returns more rows than it has postings."""
+    r = random.Random(5)
+    base = [f"w{k}" for k in range(40)]
+    lines = []
+    for i in range(900):
+        x = list(base)
+        for k in r.sample(range(40), r.randrange(7)):
+            x[k] = f"v{i}x{k}" if r.random() < 0.7 else f"u{k}"
+        lines.append(" ".join(x))
+    rows = [(i, line) for i, line in enumerate(lines)]
+    got = line_dedup.dedup_lines(made(spark, rows)).collect()
+    assert sorted([(x["doc_id"], x["text"], x["lines_removed"]) for x in got], key=KEY) == sorted(plain_lines(rows), key=KEY)
+
+
 def test_substrings_of_nothing(spark):
     assert substring_dedup.digest(made(spark, [])).count() == 0
 
@@ -84,7 +110,7 @@ def plain_lines(rows):
 
 @pytest.mark.parametrize("seed", [1, 2])
 def test_lines_against_the_definition(spark, seed, monkeypatch):
-    monkeypatch.setattr(line_dedup, "DIRECT", 3)  # so that both ways are taken
+    monkeypatch.setattr(line_dedup, "HOT", 12)  # so that both kinds of keys are used
     rows = {k: (k, t) for k, t in line_rows(seed)}
     rows = [*rows.values(), (500, None), (501, ""), (502, "\n \n"), (None, "a b c d e\nunique line here")]
     got = line_dedup.dedup_lines(made(spark, [(*r, 1) for r in rows], ", th int")).collect()
@@ -101,6 +127,16 @@ def test_lines_of_repeated_rows_and_of_nothing(spark):
 # decontamination
 
 
+def test_overlaps_of_odd_rows(spark):
+    item = " ".join(f"b{k}" for k in range(20))
+    rows = [(1, item), (1, item), (None, item), (2, "clean text of some words"), (2, item + " more"), (3, None)]
+    docs = made(spark, rows).selectExpr("*", "7 AS item_id", "8 AS same", "text AS h")
+    bench = spark.createDataFrame([(5, item), (5, item), (6, None)], "item_id long, text string").withColumn("doc_id", F.lit(9))
+    assert {x["doc_id"] for x in decontaminate.overlaps(docs, bench).collect()} == {1, None, 2}
+    kept = decontaminate.clean(docs, bench)
+    assert sorted(kept.columns) == sorted(docs.columns) and {x["doc_id"] for x in kept.collect()} <= {2, 3}
+
+
 def test_overlaps_with_substitutions(spark):
     r = random.Random(2)
     words = [f"t{i}" for i in range(500)]
@@ -167,6 +203,43 @@ def test_links_against_brute_force(spark, monkeypatch):
     assert kept.where("text != ''").count() == len(worded)
 
 
+def test_planted_links_are_found(spark):
+    """Pairs that stand alone, of similarities from 0.8 to 0.95: nothing but a shared path ties them."""
+    r = random.Random(12)
+    rows, want = [], set()
+    for i in range(240):
+        base = [f"w{i}x{k}" for k in range(120)]
+        other = base[: -r.randrange(1, 23)]  # a shorter text: its grams are a part of the longer one's
+        a, b = (set(zip(*(x[k:] for k in range(5)))) for x in (base, other))
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(other))]
+        if len(b) >= 0.8 * len(a):
+            want.add(i)
+    got = {x["doc_id"]: x["links"] for x in ngram_join.report(made(spark, rows)).collect()}
+    found = {i for i in range(240) if got[2 * i] == got[2 * i + 1] == 1}
+    assert found <= want and len(want) > 150 and len(found) >= 0.9 * len(want)
+
+
+def test_buckets_that_nothing_parts(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "SMALL", 8)
+    monkeypatch.setattr(ngram_join, "MAX_DEPTH", 1)
+    monkeypatch.setattr(ngram_join, "SAME", 99)  # no class is done by its pivot
+    r = random.Random(3)
+    base = [f"w{k}" for k in range(100)]
+    rows = [(i, " ".join(base[: 100 - i % 9] + [f"own{i}"])) for i in range(60)]
+    got = ngram_join.report(made(spark, rows)).collect()
+    assert {x["group_id"] for x in got} == {0} and all(x["links"] == 59 for x in got)
+
+
+def test_join_of_odd_rows(spark):
+    text = "one two three four five six seven"
+    rows = [(None, text), (None, text + " eight"), (None, None), (3, text), (3, text), (3, "another text altogether here it is")]
+    docs = made(spark, rows).selectExpr("*", "1 AS class", "2 AS th", "text AS signature", "3 AS links")
+    got = ngram_join.report(docs).collect()
+    assert len(got) == 6 and Counter(x["doc_id"] for x in got) == Counter(k for k, _ in rows)
+    kept = ngram_join.dedup(docs)
+    assert sorted(kept.columns) == sorted(docs.columns) and (3, text) in {(x["doc_id"], x["text"]) for x in kept.collect()}
+
+
 def test_join_of_nothing(spark):
     assert ngram_join.report(made(spark, [])).count() == 0
 
@@ -192,11 +265,41 @@ def test_fingerprints_recover_differences(spark):
         assert got[k]["n_chars"] == len(t)
         assert got[k]["near_edited"] == pytest.approx(like(cut(t), cut(edited)))
         assert got[k]["near_next"] == pytest.approx(like(cut(t), cut(after)))
+        assert got[k]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
     assert got[1002]["fingerprint"] == got[rows[3][0]]["fingerprint"]
     assert got[None]["n_chars"] == 280 and got[None]["near_next"] == 0.0
     assert fingerprint.fingerprints(made(spark, [])).count() == 0
 
 
+def test_fingerprints_are_compared_by_themselves(spark):
+    """Likeness of two strings: of any sizes, each function of its own text; the edited text has the fingerprint of a document that holds it."""
+    r = random.Random(9)
+    sets = [set(r.sample(range(-(2**60), 2**60), n)) for n in (0, 1, 5, 9, 30, 130, 700)]
+    sets += [set(list(s)[: len(s) // 2]) | {r.getrandbits(50)} for s in sets]
+    df = spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(sets)], "i int, keys array<bigint>").selectExpr("i", f"{fingerprint.sketch('keys')} AS sketch").selectExpr("i", f"{fingerprint.printed('sketch')} AS print").cache()
+    prints = dict(df.collect())
+    both = spark.createDataFrame([(i, j, prints[i], prints[j]) for i in range(len(sets)) for j in range(len(sets))], "i int, j int, x string, y string")
+    both = both.selectExpr("i", "j", f"{fingerprint.parsed('x')} AS a", f"{fingerprint.parsed('y')} AS b").selectExpr("i", "j", f"{fingerprint.aligned('a', 'b')} AS pair").selectExpr("i", "j", f"{fingerprint.likeness('pair')} AS near")
+    for i, j, near in both.collect():
+        a, b = sets[i], sets[j]
+        assert near == pytest.approx(1 - len(a ^ b) / (len(a) + len(b)) if a or b else 1.0)
+
+
+def test_fingerprints_of_odd_rows(spark):
+    least = -(2**63)
+    rows = [(least, "First. " * 30, "x"), (7, "second line\nthird", "y"), (7, "other text", "z"), (7, "other text", "z"), (None, None, None), (None, "n", "n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fingerprint string").selectExpr("*", "text AS `key`", "doc_id AS near_next", "1 AS lent")
+    got = fingerprint.fingerprints(docs).collect()
+    assert Counter(x["doc_id"] for x in got) == Counter(x[0] for x in rows)
+    at = {(x["doc_id"], x["n_chars"]): x for x in got}
+    edited = rows[0][1][:105] + "other text"  # the least leading part of the two texts under 7
+    assert at[least, 210]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+    again = fingerprint.fingerprints(made(spark, [(1, edited)])).first()
+    assert at[least, 210]["edited_fingerprint"] == again["fingerprint"]
+    # a single document is followed by itself
+    assert again["near_next"] == 1.0 and again["edited_sha256"] == hashlib.sha256((edited[:58] + edited[:57]).encode()).hexdigest()
+
+
 def test_components(spark):
     r = random.Random(8)
     edges = [(bytes([i // 256, i % 256]), bytes([j // 256, j % 256])) for i, j in [(k, k + 1) for k in range(300, 340)] + [(r.randrange(250), r.randrange(250)) for _ in range(150)]]
