@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.functions import scalar, timeops
+from skein.functions import library, scalar, timeops
 from skein.operators import aggregates, changes, recursion, space
 from skein.plans.engine import Engine
 from skein.sources.files import parquet
@@ -234,7 +234,7 @@ frame("truncate", "SELECT count(*) AS n FROM region WHERE false")(_changed("TRUN
 frame("create_insert", "SELECT * FROM (VALUES (1, 'a', 5), (2, 'b', 7)) t(id, s, n)")(_changed("CREATE TABLE made (id INT PRIMARY KEY, s TEXT NOT NULL, n INT DEFAULT 5, CHECK (n > 0))", "INSERT INTO made (id, s) VALUES (1, 'a')", "INSERT INTO made VALUES (2, 'b', 7)", then="SELECT id, s, n FROM made"))
 frame("create_view", "SELECT r_name, count(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")(_changed("CREATE VIEW per_region AS SELECT r_name, COUNT(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name", then="SELECT r_name, n FROM per_region"))
 frame("alter_table", "SELECT r_regionkey, r_name, CAST(NULL AS BIGINT) AS extra FROM region")(_changed("ALTER TABLE region ADD COLUMN extra INT", "ALTER TABLE region RENAME TO area", then="SELECT r_regionkey, r_name, extra FROM area"))
-frame("row_count")(lambda s, d: engine(s, d).sql("UPDATE nation SET n_name = 'x' WHERE n_regionkey = 1"))
+frame("row_count", "SELECT count(*) AS row_count FROM nation WHERE n_regionkey = 1")(lambda s, d: engine(s, d).sql("UPDATE nation SET n_name = 'x' WHERE n_regionkey = 1"))
 frame("delete_range", "SELECT o_orderkey FROM orders WHERE NOT (o_orderkey >= 100 AND o_orderkey < 900)")(lambda s, d: changes.delete_range(parquet(s, d, "orders"), "o_orderkey", 100, 900).select("o_orderkey"))
 frame("foreign_key_check", "SELECT n_nationkey FROM nation WHERE n_regionkey NOT IN (SELECT r_regionkey FROM region WHERE r_regionkey < 3)")(lambda s, d: changes.dangling(parquet(s, d, "nation"), ["n_regionkey"], parquet(s, d, "region").where("r_regionkey < 3"), ["r_regionkey"]).select("n_nationkey"))
 frame("sequence", "SELECT o_orderkey, 10 + 5 * (row_number() OVER (ORDER BY o_orderkey) - 1) AS id FROM orders")(lambda s, d: changes.sequence(parquet(s, d, "orders").select("o_orderkey"), "id", 10, 5, order_by=["o_orderkey"]))
@@ -251,10 +251,16 @@ frame("datetime_subtract", "SELECT event_id, CAST(trunc((epoch_us(ts) - epoch_us
     lambda s, d: parquet(s, d, "events").select("event_id", timeops.subtract(F.col("ts").cast("timestamp"), F.lit("2024-01-01").cast("timestamp"))["sec"].alias("sec"))
 )
 frame("digests", "SELECT n_nationkey, md5(n_name) AS m, sha1(n_name) AS s1, sha256(n_name) AS s2 FROM nation")(lambda s, d: parquet(s, d, "nation").select("n_nationkey", F.md5("n_name").alias("m"), F.sha1("n_name").alias("s1"), F.sha2("n_name", 256).alias("s2")))
-frame("murmur")(lambda s, d: parquet(s, d, "nation").select("n_nationkey", scalar.murmur(F.col("n_name")).alias("h")))
-frame("consistent_hash")(lambda s, d: parquet(s, d, "customer").select("c_custkey", scalar.consistent(16)(F.col("c_custkey")).alias("shard")))
+# Values worked out apart from Spark: 32-bit Murmur3 of the names with seed 13, and exact products.
+MURMURS = "(0, 3827324810), (1, 2076108547), (2, 1731083339), (3, 956148646), (4, 3479074564), (5, 3444145510), (6, 3525910711), (7, 3851820256), (8, 402994268), (9, 4184186858), (10, 2151432065), (11, 3989809450), (12, 2607145599), (13, 3880017571), (14, 3193145205), (15, 2861627681), (16, 1881117266), (17, 3799403960), (18, 863036386), (19, 2878308120), (20, 3399459601), (21, 2015132852), (22, 2099147234), (23, 3245191671), (24, 734016439)"
+PRODUCTS = "(0, '1219326311370217952261850327337448558754610577554336229223321140070'), (1, '1219326311370217952261850327337448558853376009664212772434308794391'), (2, '1219326311370217952261850327337448558952141441774089315645296448712'), (3, '1219326311370217952261850327337448559050906873883965858856284103033'), (4, '1219326311370217952261850327337448559149672305993842402067271757354'), (5, '1219326311370217952261850327337448559248437738103718945278259411675'), (6, '1219326311370217952261850327337448559347203170213595488489247065996'), (7, '1219326311370217952261850327337448559445968602323472031700234720317'), (8, '1219326311370217952261850327337448559544734034433348574911222374638'), (9, '1219326311370217952261850327337448559643499466543225118122210028959'), (10, '12193263113702179522618503273374485588533760096642127724343087943910'), (11, '12193263113702179522618503273374485588632525528752004267554075598231'), (12, '12193263113702179522618503273374485588731290960861880810765063252552'), (13, '12193263113702179522618503273374485588830056392971757353976050906873'), (14, '12193263113702179522618503273374485588928821825081633897187038561194'), (15, '12193263113702179522618503273374485589027587257191510440398026215515'), (16, '12193263113702179522618503273374485589126352689301386983609013869836'), (17, '12193263113702179522618503273374485589225118121411263526820001524157'), (18, '12193263113702179522618503273374485589323883553521140070030989178478'), (19, '12193263113702179522618503273374485589422648985631016613241976832799'), (20, '12193263113702179522618503273374485589521414417740893156452964487120'), (21, '12193263113702179522618503273374485589620179849850769699663952141441'), (22, '12193263113702179522618503273374485589718945281960646242874939795762'), (23, '12193263113702179522618503273374485589817710714070522786085927450083'), (24, '12193263113702179522618503273374485589916476146180399329296915104404')"
+frame("murmur", f"SELECT n_nationkey, CAST(h AS BIGINT) AS h FROM nation JOIN (VALUES {MURMURS}) t(k, h) ON k = n_nationkey")(lambda s, d: parquet(s, d, "nation").select("n_nationkey", scalar.murmur(F.col("n_name")).alias("h")))
+JUMP = """WITH RECURSIVE r(c_custkey, k, b, j) AS (SELECT c_custkey, c_custkey::UHUGEINT, -1::BIGINT, 0::BIGINT FROM customer
+ UNION ALL SELECT c_custkey, (k * 2862933555777941757::UHUGEINT + 1::UHUGEINT) % 18446744073709551616::UHUGEINT, j, CAST(floor((j + 1) * (2147483648.0::DOUBLE / CAST((((k * 2862933555777941757::UHUGEINT + 1::UHUGEINT) % 18446744073709551616::UHUGEINT) // 8589934592::UHUGEINT) + 1::UHUGEINT AS DOUBLE))) AS BIGINT) FROM r WHERE j < 16)
+SELECT c_custkey, CAST(max(b) AS BIGINT) AS shard FROM r GROUP BY c_custkey"""
+frame("consistent_hash", JUMP)(lambda s, d: parquet(s, d, "customer").select("c_custkey", scalar.consistent(16)(F.col("c_custkey")).alias("shard")))
 frame("justify", "SELECT n_nationkey, rpad(n_name, greatest(20, length(n_name))::INTEGER, '.') AS l, lpad(n_name, greatest(20, length(n_name))::INTEGER, '.') AS r FROM nation")(lambda s, d: parquet(s, d, "nation").select("n_nationkey", scalar.ljust(F.col("n_name"), 20, ".").alias("l"), scalar.rjust(F.col("n_name"), 20, ".").alias("r")))
-frame("big_decimal")(lambda s, d: parquet(s, d, "nation").select("n_nationkey", scalar.big_decimal("*")(F.concat(F.lit("1234567890123456789012345678901234567"), F.col("n_nationkey").cast("string")), F.lit("98765432109876543210987654321")).alias("p")))
+frame("big_decimal", f"SELECT n_nationkey, p FROM nation JOIN (VALUES {PRODUCTS}) t(k, p) ON k = n_nationkey")(lambda s, d: parquet(s, d, "nation").select("n_nationkey", scalar.big_decimal("*")(F.concat(F.lit("1234567890123456789012345678901234567"), F.col("n_nationkey").cast("string")), F.lit("98765432109876543210987654321")).alias("p")))
 frame("tumbling", "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM events GROUP BY 1")(lambda s, d: changelog.windows(parquet(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "1 hour", "10 minutes").select(timeops.strftime(F.col("start"), "%F %T").alias("start"), "n"))
 frame("user_function", "SELECT n_nationkey, n_nationkey * 3 + 1 AS v FROM nation")(lambda s, d: _with_function(engine(s, d)).sql("SELECT n_nationkey, triple(n_nationkey) AS v FROM nation"))
 
@@ -325,3 +331,34 @@ frame("table_info", "SELECT 'n_nationkey' AS name, 1 AS pk UNION ALL SELECT 'n_n
 frame("show_create_table")(lambda s, d: engine(s, d).sql("SHOW CREATE TABLE nation"))
 frame("explain")(lambda s, d: engine(s, d).sql("EXPLAIN SELECT n_name FROM nation WHERE n_nationkey = 3"))
 frame("random_functions")(lambda s, d: engine(s, d).sql("SELECT RANDOM() AS r, LENGTH(RANDOMBLOB(20)) AS b, LENGTH(UUID()) AS u, TYPEOF(NOW()) AS t"))
+
+# the function library
+frame("string_library", "SELECT p_partkey, string_split(p_name, ' ') AS parts, starts_with(p_name, 'Par') AS st, ends_with(p_name, '7') AS en, trim(p_name, 'Pa17') AS bare, lower(hex(p_name)) AS h FROM part")(
+    lambda s, d: parquet(s, d, "part").select("p_partkey", library.split(F.col("p_name"), " ").alias("parts"), library.startswith(F.col("p_name"), "Par").alias("st"), library.endswith(F.col("p_name"), "7").alias("en"), library.strip(F.col("p_name"), "Pa17").alias("bare"), library.to_hex(F.col("p_name")).alias("h"))
+)
+frame("utf8_library", "SELECT n_nationkey, substr(n_name, 2, 3) AS a, right(n_name, 4) AS b, regexp_matches(left(n_name, 1), '^[A-Z]$') AS up, regexp_matches(right(n_name, 1), '^[0-9]$') AS digit FROM nation")(
+    lambda s, d: parquet(s, d, "nation").select("n_nationkey", library.sub(F.col("n_name"), 2, 4).alias("a"), library.sub(F.col("n_name"), -4).alias("b"), library.isupper(F.left("n_name", F.lit(1))).alias("up"), library.isdigit(F.right("n_name", F.lit(1))).alias("digit"))
+)
+frame("base64_library", "SELECT c_custkey, base64(encode(c_name)) AS b, rtrim(translate(base64(encode(c_name)), '+/', '-_'), '=') AS u, c_name AS back FROM customer")(
+    lambda s, d: parquet(s, d, "customer").select("c_custkey", library.base64(F.col("c_name")).alias("b"), library.base64(F.col("c_name"), urlsafe=True).alias("u"), library.from_base64(library.base64(F.col("c_name"), urlsafe=True)).cast("string").alias("back"))
+)
+frame("uri_library", "SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, regexp_extract(url, '://([^/:?#]*)', 1) AS host, nullif(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages")(
+    lambda s, d: parquet(s, d, "pages").select("page_id", library.uri(F.col("url")).alias("u")).select("page_id", "u.scheme", "u.host", "u.path")
+)
+frame("decimal_library", "SELECT s_suppkey, round(sqrt(s_suppkey), 6) AS r, round(ln(s_suppkey), 6) AS l, round(log10(s_suppkey), 6) AS t, CAST(s_suppkey AS BIGINT) * s_suppkey * s_suppkey AS p, s_suppkey || '.50' AS e, s_suppkey || '.5' AS m FROM supplier WHERE s_suppkey > 0")(
+    lambda s, d: parquet(s, d, "supplier").where("s_suppkey > 0").select(
+        "s_suppkey",
+        *[F.round(library.decimal_math(op)(F.col("s_suppkey").cast("string")).cast("double"), 6).alias(n) for op, n in (("sqrt", "r"), ("ln", "l"), ("log10", "t"))],
+        library.decimal_math("pow")(F.col("s_suppkey").cast("string"), F.lit("3")).cast("bigint").alias("p"),
+        library.decimal_math("rescale", 2)(F.concat(F.col("s_suppkey").cast("string"), F.lit(".5"))).alias("e"),
+        library.decimal_math("trim")(F.concat(F.col("s_suppkey").cast("string"), F.lit(".5000"))).alias("m"),
+    )
+)
+frame("tuple_library", "SELECT p_partkey, [p_size, 7, 8, p_size] AS t, 1 AS f, list_filter([1, 4], lambda i: true) AS a FROM part WHERE p_size NOT IN (5, 6)")(
+    lambda s, d: parquet(s, d, "part").where("p_size NOT IN (5, 6)").select("p_partkey", F.array("p_size", F.lit(5), F.lit(6), "p_size").alias("x"), "p_size").select(
+        "p_partkey", library.transform(F.col("x"), 2, 2, F.lit(7), F.lit(8)).alias("t"), library.find(F.col("x"), F.col("p_size")).cast("int").alias("f"), library.findall(F.col("x"), F.col("p_size")).alias("a")
+    )
+)
+frame("histogram", "SELECT bound, count(q) AS n, sum(count(q)) OVER (ORDER BY coalesce(bound, 1e9)) AS up_to FROM (VALUES (10.0, 0.0), (20.0, 10.0), (40.0, 20.0), (NULL, 40.0)) b(bound, low) LEFT JOIN (SELECT l_quantity AS q FROM lineitem) l ON q > low AND q <= coalesce(bound, 1e9) GROUP BY bound")(lambda s, d: library.histogram(parquet(s, d, "lineitem"), "l_quantity", [10, 20, 40]))
+frame("latency", "SELECT count(value) AS n, min(value) AS min, max(value) AS max, avg(value) AS avg, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.99) AS p99 FROM events")(lambda s, d: library.latency(parquet(s, d, "events"), "value", [0.5, 0.99]))
+frame("space_upgrade", "SELECT n_nationkey, lower(n_name) AS n_name, n_regionkey * 10 AS n_regionkey FROM nation")(lambda s, d: engine(s, d).upgrade("nation", lambda df: df.select("n_nationkey", F.lower("n_name").alias("n_name"), (F.col("n_regionkey") * 10).alias("n_regionkey"))))

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from skein.functions import library
 from skein.operators.keydef import KeyDef, Part
 from skein.plans.dialect import DialectError
 from skein.plans.engine import Engine
@@ -74,3 +75,25 @@ def test_snapshots_and_arrow(spark, tmp_path):
     assert spark.read.parquet(f"file://{tmp_path}/snap").count() == 5
     assert values(files.from_arrow(spark, files.to_arrow(df))) == [(i,) for i in range(5)]
     files.discard(df)
+
+
+def test_library(spark):
+    df = spark.createDataFrame([("http://me:pw@host.org:33/a/b?x=1#end", "a b/ü~*", "  x  y z ", 1_700_000_000_123)], "u string, e string, w string, ms long")
+    got = df.select(
+        library.uri(F.col("u")).alias("u"),
+        library.uri(F.lit("localhost:3301")).alias("v"),
+        library.uri_escape(F.col("e")).alias("e"),
+        library.uri_unescape(library.uri_escape(F.col("e"))).alias("back"),
+        library.split(F.col("w")).alias("w"),
+        library.split(F.lit("a.b.c"), ".", 1).alias("p"),
+        library.cmp(F.lit("a"), F.lit("B")).alias("c"),
+        library.cmp(F.lit("a"), F.lit("A"), True).alias("i"),
+        library.ulid(F.col("ms"), F.unhex(F.lit("00112233445566778899"))).alias("ulid"),
+        library.sub(F.lit("äbc"), -2, 2).alias("s"),
+    ).first()
+    assert tuple(got["u"]) == ("http", "me", "pw", "host.org", "33", "/a/b", "x=1", "end") and tuple(got["v"])[3:5] == ("localhost", "3301")
+    assert got["e"] == "a%20b%2F%C3%BC~%2A" and got["back"] == "a b/ü~*"
+    assert got["w"] == ["x", "y", "z"] and got["p"] == ["a", "b.c"] and (got["c"], got["i"]) == (-1, 0) and got["s"] == "b"
+    assert len(got["ulid"]) == 26 and spark.range(1).select(library.ulid_time(F.lit(got["ulid"]))).first()[0] == 1_700_000_000_123
+    assert spark.range(1).select(library.decimal_math("ln")(F.lit("-1")), library.decimal_math("exp")(F.lit("0"))).first()[:] == (None, "1")
+    assert spark.range(1).select(library.uuid_parts(F.lit("f47ac10b-58cc-4372-a567-0e02b2c3d479"))["version"]).first()[0] == 4
