@@ -31,8 +31,30 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: What this process has written to the shared folder and not removed yet.
+_LEFT: dict[str, None] = {}
+
+
 def shared_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/skein-{what}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/skein-{what}-{uuid.uuid4().hex}"
+    _LEFT[path] = None
+    return path
+
+
+@contextmanager
+def leaving(spark: SparkSession) -> Iterator[list[DataFrame | str]]:
+    """Removes what is written to the shared folder meanwhile, but for the tables and paths that are put into the list."""
+    before, kept = set(_LEFT), []
+    yield kept
+    stay = {k if isinstance(k, str) else k.skein_path for k in kept}
+    for path in [p for p in _LEFT if p not in before and p not in stay]:
+        drop_path(spark, path)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Removes all that this process's operators left in the shared folder; no result of theirs may be read any more."""
+    for path in list(_LEFT):
+        drop_path(spark, path)
 
 
 @contextmanager
@@ -96,6 +118,7 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
+    _LEFT.pop(path, None)
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

@@ -371,15 +371,25 @@ def groups(links: DataFrame) -> DataFrame:
 def join(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(members, classes, links): (doc_id, th, class, n), (class, rep, th, n, signature), (class, links, root)."""
     common.small_batches(docs.sparkSession)
+    with common.leaving(docs.sparkSession) as kept:
+        members, classes, links = _join(docs)
+        kept += [members, classes, links]
+    return members.select("doc_id", "th", "class", "n"), classes, links
+
+
+def _join(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     members = common.cut(embed(docs), "members")
     classes = members.where("n > 0").groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th", "n", "signature")).alias("x"))
     classes = common.cut(classes.select("class", F.col("x.doc_id").alias("rep"), "x.th", "x.n", "x.signature"), "classes")
     links = common.cut(verify(docs, classes, groups(common.cut(ties(classes), "ties"))), "links")
-    return members.select("doc_id", "th", "class", "n"), classes, links
+    return members, classes, links
 
 
 def linked_groups(links: DataFrame) -> DataFrame:
-    return groups(links.where("class != root").select(F.col("class").alias("a"), F.col("root").alias("b")).distinct())
+    with common.leaving(links.sparkSession) as kept:
+        out = common.cut(groups(links.where("class != root").select(F.col("class").alias("a"), F.col("root").alias("b")).distinct()), "groups")
+        kept.append(out)
+    return out
 
 
 def report(docs: DataFrame) -> DataFrame:

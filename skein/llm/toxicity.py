@@ -266,6 +266,7 @@ def train(docs: DataFrame, labels: DataFrame, counts: np.ndarray) -> dict:
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.int32()))], ["toxic", "found"])
 
     rows = sample.mapInArrow(common.tidy(pick), "toxic int, found array<int>").collect()  # TRAIN_ROWS, times the rows of a repeated doc_id
+    common.drop_cut(sample)
     weights, bias = fit([r["found"] for r in rows], [r["toxic"] for r in rows], len(vocabulary))
     return {"vocabulary": vocabulary, "weights": weights, "bias": bias}
 

@@ -78,3 +78,10 @@ def test_coder(n):
 
 def test_shared_folder_is_the_session_s(spark):
     assert common.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_store_ignores_extra_columns(spark):
+    rows = [(3, "some words", 1), (1, None, 2), (3, "other words here", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, ids int").selectExpr("*", "1 AS start", "text AS payload", "2 AS shard")
+    got = sorted((r["doc_id"], r["start"], r["n_tokens"]) for r in token_store.digest(docs, vocab_path()).collect())
+    assert [g[0] for g in got] == [1, 3, 3] and got[0][1:] == (0, 1) and got[1][1] == 1 and got[2][1] == got[1][1] + got[1][2]
