@@ -75,7 +75,8 @@ def cut(df: DataFrame, what: str) -> DataFrame:
     """Write to the shared folder and read again: lineage ends in files that survive lost executors. The job's shuffle files go with it."""
     spark = df.sparkSession
     path = shared_path(spark, what)
-    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+    # the driver keeps the plans' descriptions, and some plans hold tables of constants
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"), setting(spark, "spark.sql.maxPlanStringLength", "20000"):
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.skein_path = path
