@@ -203,12 +203,10 @@ class Model:
         p = np.exp(z - z.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
         p[np.arange(len(ids)), c] -= 1
+        weights, columns = p.astype(np.float64).ravel(), np.arange(self.classes)
         for k in range(3):
-            used, back = np.unique(rows[:, k], return_inverse=True)
-            order = np.argsort(back, kind="stable")
-            grad = np.add.reduceat(p[order], np.searchsorted(back[order], np.arange(len(used))), axis=0)
-            row_sum[used] += grad**2
-            self.row[used] -= RATE * grad / np.sqrt(row_sum[used] + 1)
+            sums = np.bincount((rows[:, k, None] * self.classes + columns).ravel(), weights=weights, minlength=self.row.size)
+            _step(self.row, row_sum, sums)
         head = np.flatnonzero(c < self.heads)
         if len(head):
             slots, z = self.word_logits(f[head], c[head])
@@ -216,10 +214,16 @@ class Model:
             p /= p.sum(axis=1, keepdims=True)
             p[np.arange(len(head)), self.place[ids[head]]] -= 1
             sums = np.bincount(slots.ravel(), weights=np.broadcast_to(p[:, None, :], slots.shape).ravel(), minlength=PAIRS)
-            used = np.flatnonzero(sums)
-            grad = sums[used].astype(np.float32)
-            pair_sum[used] += grad**2
-            self.pair[used] -= RATE * grad / np.sqrt(pair_sum[used] + 1)
+            _step(self.pair, pair_sum, sums)
+
+
+def _step(table: np.ndarray, squares: np.ndarray, sums: np.ndarray) -> None:
+    """AdaGrad on the whole table, in place: what has no gradient doesn't move."""
+    grad = sums.astype(np.float32).reshape(table.shape)
+    squares += grad * grad
+    grad /= np.sqrt(squares + np.float32(1))
+    grad *= np.float32(RATE)
+    table -= grad
 
 
 def train(docs: DataFrame, model: Model) -> None:

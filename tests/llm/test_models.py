@@ -203,3 +203,10 @@ def test_labels_of_the_sample_tables(spark):
     true = sum(r["toxic"] == 1 == r["predicted"] for r in got)
     assert true >= 0.65 * sum(r["toxic"] for r in got) and true >= 0.6 * sum(r["predicted"] for r in got)
     assert toxicity.score(docs.select("doc_id", "text").limit(5), labels.limit(0)).where("score > 1e-9").count() == 0
+
+
+def test_language_model_beats_counts_on_the_sample_tables(spark):
+    """Held-out log10 P a token, against that of single words."""
+    got = maxent_lm.score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").collect()
+    tokens = sum(r["n_tokens"] for r in got)
+    assert sum(r["score"] - r["base_score"] for r in got) >= 0.15 * tokens > 0
