@@ -2,13 +2,15 @@
 
 log P(word | history) = log P(class | history) + log P(word | class, history). Histories are hashed features: the word
 before, the word before that (a skip), and both together. ``HEAD`` frequent words have classes of ``CLASS`` words
-that occur in texts of the same kind and in similar numbers; within a class, hashed (feature, word) weights tell the words apart. The
+that occur in texts of the same kind and in similar numbers; within a class, hashed weights tell the words apart: a (feature, class) has
+a block of ``CLASS`` weights side by side, one a word, so that numpy moves blocks and not single weights. The
 other words of the ``KNOWN`` most frequent ones fall into classes by frequency, all further words (and the one unseen
 word) into a last class; within these, probability goes by (count + 1). So the untrained model is the smoothed unigram.
 
 Counts cover all training texts and are exact. Training is distributed: each task makes gradient
-updates (AdaGrad) over every position of its own training texts, and the tasks' changes are averaged where they
-touched a weight. Scoring runs in sparse numpy batches. Counts of words beyond ``KNOWN`` come by a join.
+updates (AdaGrad) over every position of its own training texts, ``BATCH`` at most at a time and on the weights that have a gradient, and the
+tasks' changes are averaged where they touched a weight. Texts are split and their words numbered by Arrow, a part of a record batch at
+once; scoring runs in numpy on such parts. Counts of words beyond ``KNOWN`` come by a join.
 
 Null and empty texts are one end token. Repeated rows are scored alike, and each counts in training. A null doc_id
 hashes as ''. Without training texts every count is 0 and both scores are those of one unseen word each. Extra columns are ignored.
@@ -17,11 +19,11 @@ hashes as ''. Without training texts every count is 0 and both scores are those
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -34,12 +36,16 @@ CLASS = 64
 KNOWN = 100_000
 KINDS = 8
 ROWS = 1 << 14
-PAIRS = 1 << 20
+PAIRS = 1 << 21
 #: Positions of a gradient update.
 BATCH = 4096
+#: Bytes of text that are read at once (a longer text is still whole), and that are counted at once.
+PART, COUNTED = 8 << 20, 16 << 20
 RATE = 0.25
 END = b""
 _M1, _M2 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77)
+_BYTES = np.arange(1, 257, dtype=np.uint32) * _M1
+_BYTES = (_BYTES ^ (_BYTES >> np.uint32(13))) * _M2
 #: Stand for the two words before a text.
 _START = np.array([7, 5], dtype=np.uint32)
 
@@ -49,6 +55,55 @@ def tokens(text: str | None) -> list[bytes]:
     return [*(text or "").encode().lower().split(), END]
 
 
+def regroup(batches: Iterator[pa.RecordBatch], column: int, size: int = PART) -> Iterator[pa.RecordBatch]:
+    """The same rows in the same order, in batches of about size bytes of text: short ones are put together, long ones cut."""
+    held, n = [], 0
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        a = 0
+        while a < batch.num_rows:
+            before = ends[a - 1] if a else 0
+            b = max(a + 1, int(np.searchsorted(ends, before + size - n, side="right")))
+            held.append(batch.slice(a, b - a))
+            n += ends[b - 1] - before
+            a = b
+            if n >= size or a < batch.num_rows:
+                yield pa.concat_batches(held)
+                held, n = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
+def split(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """tokens() of many texts: where each text's tokens start (and the last ones end), each token's number, and the distinct words by number."""
+    # take() copies: Arrow's string functions go wrong on the offsets of a slice
+    t = texts.take(pa.array(np.arange(len(texts)))).cast(pa.large_string())
+    t = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(t, "")))
+    # an empty text splits into one empty word, the end; other texts get theirs by a space more
+    empty, space = pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string())
+    t = pc.if_else(pc.equal(t, empty), empty, pc.binary_join_element_wise(t, empty, space))
+    lists = pc.ascii_split_whitespace(t)
+    words = lists.flatten().dictionary_encode()
+    starts = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy().astype(np.int64))])
+    return starts, words.indices.to_numpy(), words.dictionary.cast(pa.large_binary())
+
+
+def hashes(words: pa.Array) -> np.ndarray:
+    """32 bits for each word: a polynomial of its bytes, each of which stands for a mixed number."""
+    _, offsets, data = words.buffers()
+    ends = np.frombuffer(offsets, dtype=np.int64, count=words.offset + len(words) + 1)[words.offset :]
+    size, some = np.diff(ends), np.flatnonzero(np.diff(ends))
+    h = np.zeros(len(words), dtype=np.uint32)
+    if len(some):
+        at = np.arange(ends[0], ends[-1]) - np.repeat(ends[:-1], size)
+        powers = np.cumprod(np.full(int(size.max()), _M2, dtype=np.uint32), dtype=np.uint32)
+        values = _BYTES[np.frombuffer(data, dtype=np.uint8)[ends[0] : ends[-1]]] * powers[at]
+        h[some] = np.add.reduceat(values, ends[:-1][some] - ends[0], dtype=np.uint32)
+    h ^= h >> np.uint32(15)
+    h *= _M1
+    return h ^ (h >> np.uint32(13))
+
+
 def held_out() -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7 == 2
 
@@ -56,22 +111,27 @@ def held_out() -> Column:
 def count_words(docs: DataFrame) -> DataFrame:
     """(word, n, kinds): counts over all rows, also by kind of text (a hash of its commonest word); summed per task first."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [Counter() for _ in range(KINDS)]
+    def count(texts: pa.Array) -> pa.RecordBatch:
+        starts, at, words = split(texts)
+        size, rank = len(words), np.empty(len(words), dtype=np.int64)
+        rank[pc.sort_indices(words).to_numpy()] = np.arange(size)
+        # a text's words with their counts; the commonest is the last of those with the most, by bytes
+        pair, n = np.unique(np.repeat(np.arange(len(texts)), np.diff(starts)) * size + rank[at], return_counts=True)
+        text, word = pair // size, pair % size
+        first = np.flatnonzero(np.diff(text, prepend=-1))
+        most = np.maximum.reduceat(n * size + word, first) % size
+        of_rank = np.argsort(rank)
+        hashed = {w: xxhash.xxh32_intdigest(words[of_rank[w]].as_py()) % KINDS for w in np.unique(most).tolist()}
+        kind = np.array([hashed[w] for w in most.tolist()], dtype=np.int64)[text]
+        sums = np.bincount(kind * size + word, weights=n, minlength=KINDS * size)
+        some = np.flatnonzero(sums)
+        return pa.RecordBatch.from_arrays(
+            [words.take(pa.array(of_rank[some % size])).cast(pa.binary()), pa.array((some // size).astype(np.int32)), pa.array(sums[some].astype(np.int64))], ["word", "kind", "n"]
+        )
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            for kind, c in enumerate(held):
-                if c:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c.keys()), pa.binary()), pa.array([kind] * len(c), pa.int32()), pa.array(list(c.values()), pa.int64())], ["word", "kind", "n"])
-                    c.clear()
-
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                c = Counter(tokens(text))
-                held[xxhash.xxh32_intdigest(max(c, key=lambda w: (c[w], w))) % KINDS].update(c)
-            if sum(map(len, held)) > 250_000:
-                yield from flush()
-        yield from flush()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in regroup(batches, 0, COUNTED):
+            yield count(batch.column(0))
 
     rows = docs.select("text").mapInArrow(common.tidy(run), "word binary, kind int, n long")
     kinds = [F.sum(F.expr(f"if(kind = {k}, n, 0)")).alias(f"k{k}") for k in range(KINDS)]
@@ -81,19 +141,6 @@ def count_words(docs: DataFrame) -> DataFrame:
 _KINDS_OF = [pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
 
 
-class _Numbered(dict):
-    """Numbers words in the order in which they come; new ones are listed."""
-
-    def __init__(self):
-        super().__init__()
-        self.new: list[bytes] = []
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        self.new.append(word)
-        return n
-
-
 def _change(what: str, at: int, salt: int, delta: np.ndarray, touched: np.ndarray) -> pa.RecordBatch:
     cols = [[what], [at], [salt], [delta.tobytes()], [touched.astype(np.uint16).tobytes()]]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, _KINDS_OF)], ["what", "piece", "salt", "delta", "touched"])
@@ -109,7 +156,7 @@ class Model:
         by_kind: dict[int, list[int]] = {}
         for i, (_, _, kind) in enumerate(head):
             by_kind.setdefault(kind, []).append(i)
-        self.id = {w: i for i, (w, _, _) in enumerate(rows)}
+        self.words = pa.array([x[0] for x in rows], pa.large_binary())
         n = np.array([x[1] for x in rows], dtype=np.float64)
         self.count = n
         self.class_of = np.zeros(len(rows) + 1, dtype=np.int32)
@@ -137,45 +184,44 @@ class Model:
         self.word_bias = np.full((max(1, self.heads), CLASS), -1e9, dtype=np.float32)
         for c, part in enumerate(members):
             self.word_bias[c, : len(part)] = np.log((n[part] + 1) / mass[c])
-        self.member_hash = (self.members + 1).astype(np.uint32) * _M1
-        self.seen = _Numbered()
+        self.class_hash = np.arange(1, self.classes + 1, dtype=np.uint32) * _M1
         self.row = np.zeros((ROWS, self.classes), dtype=np.float32)
         self.pair = np.zeros(PAIRS, dtype=np.float32)
 
-    def look(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of words (len(count) for those beyond) and their hashes. What is looked up is kept, up to a bound."""
-        if len(self.seen) > 250_000 or not self.seen:
-            self.seen, self.seen_ids, self.seen_hashes = _Numbered(), np.zeros(1 << 18, dtype=np.int64), np.zeros(1 << 18, dtype=np.uint32)
-        start = len(self.seen)
-        at = np.fromiter(map(self.seen.__getitem__, words), dtype=np.int64, count=len(words))
-        if new := self.seen.new:
-            stop, beyond = start + len(new), len(self.count)
-            if stop > len(self.seen_ids):
-                self.seen_ids, self.seen_hashes = (np.concatenate([x, np.zeros(stop, dtype=x.dtype)]) for x in (self.seen_ids, self.seen_hashes))
-            self.seen_ids[start:stop] = [self.id.get(w, beyond) for w in new]
-            self.seen_hashes[start:stop] = [xxhash.xxh32_intdigest(w) for w in new]
-            new.clear()
-        return self.seen_ids[at], self.seen_hashes[at]
-
     @staticmethod
-    def features(h: np.ndarray) -> np.ndarray:
-        """Hashes of the word before, the one before that, and both, for h[2:]."""
-        one, two = h[1:-1], h[:-2]
-        f = np.stack([one * _M1, two * _M2, (one * _M1) ^ (two * _M2 + _M1)], axis=1)
-        return f ^ (f >> np.uint32(15))
+    def features(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Hashes of the word before, the one before that, and both, for the hashes of whole texts' words."""
+        one, two = np.empty_like(h), np.empty_like(h)
+        one[1:], two[2:] = h[:-1], h[:-2]
+        begin = starts[:-1]
+        one[begin], two[begin] = _START[1], _START[0]
+        more = begin[np.diff(starts) > 1] + 1
+        two[more] = _START[1]
+        f = np.empty((len(h), 3), dtype=np.uint32)
+        f[:, 0], f[:, 1] = one * _M1, two * _M2
+        f[:, 2] = f[:, 0] ^ (f[:, 1] + _M1)
+        f ^= f >> np.uint32(15)
+        return f
+
+    def ids(self, words: pa.Array) -> np.ndarray:
+        """Words' ids, len(count) for those beyond."""
+        return pc.fill_null(pc.index_in(words, self.words), len(self.count)).to_numpy().astype(np.int64)
+
+    def read_all(self, starts: np.ndarray, at: np.ndarray, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and features of what split() made of whole texts."""
+        return self.ids(words)[at], self.features(hashes(words)[at], starts)
 
     def read(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids and features of a whole text's words."""
-        ids, h = self.look(words)
-        return ids, self.features(np.concatenate([_START, h]))
+        return self.read_all(np.array([0, len(words)]), np.arange(len(words)), pa.array(words, pa.large_binary()))
 
     def class_logits(self, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        rows = ((f * _M2) >> np.uint32(32 - 14)).astype(np.int64)
-        return rows, self.bias + self.row[rows[:, 0]] + self.row[rows[:, 1]] + self.row[rows[:, 2]]
+        rows = (f * _M2) >> np.uint32(32 - 14)
+        return rows, _gather(self.row, rows, self.bias)
 
     def word_logits(self, f: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        slots = ((f[:, :, None] ^ self.member_hash[classes][:, None, :]) * _M2) >> np.uint32(32 - 20)
-        return slots, self.word_bias[classes] + self.pair[slots].sum(axis=1)
+        blocks = ((f ^ self.class_hash[classes][:, None]) * _M2) >> np.uint32(32 - 15)
+        return blocks, _gather(self.pair.reshape(-1, CLASS), blocks, self.word_bias[classes])
 
     def log_probs(self, ids: np.ndarray, f: np.ndarray) -> np.ndarray:
         """Natural log P of each position; for rare words that of the class alone."""
@@ -183,14 +229,10 @@ class Model:
         for a in range(0, len(ids), 2048):
             i, g = ids[a : a + 2048], f[a : a + 2048]
             c = self.class_of[i]
-            _, z = self.class_logits(g)
-            z -= z.max(axis=1, keepdims=True)
-            got = (z[np.arange(len(i)), c] - np.log(np.exp(z).sum(axis=1))).astype(np.float64)
+            got = _log_softmax_at(self.class_logits(g)[1], c)
             head = np.flatnonzero(c < self.heads)
             if len(head):
-                _, z = self.word_logits(g[head], c[head])
-                z -= z.max(axis=1, keepdims=True)
-                got[head] += z[np.arange(len(head)), self.place[i[head]]] - np.log(np.exp(z).sum(axis=1))
+                got[head] += _log_softmax_at(self.word_logits(g[head], c[head])[1], self.place[i[head]])
             mid = (c >= self.heads) & (c < self.rare)
             got[mid] += np.log((self.count[i[mid]] + 1) / self.mass[c[mid]])
             out[a : a + 2048] = got
@@ -200,59 +242,110 @@ class Model:
         """One AdaGrad step on a batch of positions."""
         c = self.class_of[ids]
         rows, z = self.class_logits(f)
-        p = np.exp(z - z.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
+        p = _softmax(z)
         p[np.arange(len(ids)), c] -= 1
-        weights, columns = p.astype(np.float64).ravel(), np.arange(self.classes)
         for k in range(3):
-            sums = np.bincount((rows[:, k, None] * self.classes + columns).ravel(), weights=weights, minlength=self.row.size)
-            _step(self.row, row_sum, sums)
+            _step(self.row, row_sum, rows[:, k], p)
         head = np.flatnonzero(c < self.heads)
         if len(head):
-            slots, z = self.word_logits(f[head], c[head])
-            p = np.exp(z - z.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
+            blocks, z = self.word_logits(f[head], c[head])
+            p = _softmax(z)
             p[np.arange(len(head)), self.place[ids[head]]] -= 1
-            sums = np.bincount(slots.ravel(), weights=np.broadcast_to(p[:, None, :], slots.shape).ravel(), minlength=PAIRS)
-            _step(self.pair, pair_sum, sums)
-
-
-def _step(table: np.ndarray, squares: np.ndarray, sums: np.ndarray) -> None:
-    """AdaGrad on the whole table, in place: what has no gradient doesn't move."""
-    grad = sums.astype(np.float32).reshape(table.shape)
-    squares += grad * grad
-    grad /= np.sqrt(squares + np.float32(1))
-    grad *= np.float32(RATE)
-    table -= grad
+            _step(self.pair.reshape(-1, CLASS), pair_sum.reshape(-1, CLASS), blocks.T.ravel(), p)
+
+
+def _gather(table: np.ndarray, at: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """bias and the table's rows for each position's three features, added up."""
+    z = table.take(at[:, 0], axis=0)
+    z += table.take(at[:, 1], axis=0)
+    z += table.take(at[:, 2], axis=0)
+    z += bias
+    return z
+
+
+def _exp(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp(z) and its rows' sums; where that leaves the range, z loses its rows' largest numbers first."""
+    with np.errstate(over="ignore"):
+        e = np.exp(z)
+        sums = np.einsum("ij->i", e)
+    if not (sums.min() > 1e-30 and sums.max() < 1e30):
+        z -= z.max(axis=1, keepdims=True)
+        e = np.exp(z)
+        sums = np.einsum("ij->i", e)
+    return e, sums
+
+
+def _softmax(z: np.ndarray) -> np.ndarray:
+    e, sums = _exp(z)
+    e /= sums[:, None]
+    return e
+
+
+def _log_softmax_at(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Each row's log softmax at one column."""
+    _, sums = _exp(z)
+    return z[np.arange(len(z)), at].astype(np.float64) - np.log(sums)
+
+
+def _sums(at: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct numbers in at, and the sum of p's rows for each; at may run over p's rows several times."""
+    order = np.argsort(at.astype(np.uint16), kind="stable")  # radix sort; ROWS and PAIRS // CLASS numbers fit
+    ordered = at[order]
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    n = np.diff(np.append(first, len(at)))
+    if len(at) > len(p):
+        order %= len(p)
+    sums = p.take(order[first], axis=0)
+    # the second of each run, the third and so on; what long runs have beyond is summed one by one
+    left = np.flatnonzero(n > 1)
+    for k in range(1, 9):
+        if not len(left):
+            break
+        sums[left] += p.take(order[first[left] + k], axis=0)
+        left = left[n[left] > k + 1]
+    for i in left.tolist():
+        sums[i] += p.take(order[first[i] + 9 : first[i] + n[i]], axis=0).sum(axis=0)
+    return ordered[first].astype(np.intp), sums
+
+
+def _step(table: np.ndarray, squares: np.ndarray, at: np.ndarray, p: np.ndarray) -> None:
+    """AdaGrad on the table's rows that have a gradient: the sum of p's rows by number in at."""
+    rows, grad = _sums(at, p)
+    for a in range(0, len(rows), 512):  # what fits the processor's cache
+        r, g = rows[a : a + 512], grad[a : a + 512]
+        s = g * g
+        s += squares.take(r, axis=0)
+        squares[r] = s
+        s += np.float32(1)
+        np.sqrt(s, out=s)
+        np.divide(g, s, out=s)
+        s *= np.float32(RATE)
+        table[r] -= s
 
 
 def train(docs: DataFrame, model: Model) -> None:
     """Distributed gradient updates; model gets the averaged weights."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # HEAD, KNOWN, ROWS and PAIRS bound it: about 12 MB
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # HEAD, KNOWN, ROWS and PAIRS bound it: about 18 MB
     piece = 1 << 16
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Model = shared.value
         own.row, own.pair = np.zeros_like(own.row), np.zeros_like(own.pair)
         row_sum, pair_sum = np.zeros_like(own.row), np.zeros_like(own.pair)
-        ids, fs, size = [], [], 0
-
-        def learn() -> None:
-            i, f = np.concatenate(ids), np.concatenate(fs)
-            for a in range(0, len(i), BATCH):
-                own.learn(i[a : a + BATCH], f[a : a + BATCH], row_sum, pair_sum)
-
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                i, f = own.read(tokens(text))
-                ids.append(i)
-                fs.append(f)
-                size += len(i)
-                if size >= BATCH:
-                    learn()
-                    ids, fs, size = [], [], 0
-        if size:
-            learn()
+        ids, f = np.empty(0, dtype=np.int64), np.empty((0, 3), dtype=np.uint32)
+        for batch in regroup(batches, 0):
+            starts, at, words = split(batch.column(0))
+            i, g = own.read_all(starts, at, words)
+            ends = len(ids) + starts[1:]
+            ids, f = np.concatenate([ids, i]), np.concatenate([f, g])
+            begin = 0
+            while (k := int(np.searchsorted(ends, begin + BATCH))) < len(ends):
+                for a in range(begin, ends[k], BATCH):
+                    own.learn(ids[a : min(a + BATCH, ends[k])], f[a : min(a + BATCH, ends[k])], row_sum, pair_sum)
+                begin = int(ends[k])
+            ids, f = ids[begin:], f[begin:]
+        if len(ids):
+            own.learn(ids, f, row_sum, pair_sum)
         task = TaskContext.get().partitionId()
         for name, x in (("row", own.row), ("pair", own.pair)):
             flat = x.ravel().astype(np.float16)
@@ -322,23 +415,16 @@ def score(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Model = shared.value
         known = np.log10(np.concatenate([own.count + 1, [1.0]]))
-        for batch in batches:
-            n, seen, base, scores, beyond = [], [], [], [], []
-            texts = [tokens(t) for t in batch.column(2).to_pylist()]
-            read = [(w, *own.read(w)) for w in texts]
-            logs = own.log_probs(np.concatenate([r[1] for r in read]), np.concatenate([r[2] for r in read])) / math.log(10) if read else []
-            at = 0
-            for words, ids, _ in read:
-                far = np.flatnonzero(ids == len(own.count)).tolist()
-                n.append(len(words))
-                seen.append(len(words) - len(far))
-                base.append(float(known[ids].sum()))
-                # a rare word's share of its class needs its count, which comes by the join
-                scores.append(float(logs[at : at + len(words)].sum()) - len(far) * math.log10(own.mass[own.rare]))
-                beyond.append([words[i] for i in far])
-                at += len(words)
+        for batch in regroup(batches, 2):
+            starts, at, words = split(batch.column(2))
+            ids, f = own.read_all(starts, at, words)
+            far = ids == len(own.count)
+            n, n_far = np.diff(starts), np.add.reduceat(far.astype(np.int64), starts[:-1])
+            # a rare word's share of its class needs its count, which comes by the join
+            scores = np.add.reduceat(own.log_probs(ids, f), starts[:-1]) / math.log(10) - n_far * math.log10(own.mass[own.rare])
+            beyond = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_far)]).astype(np.int32)), words.take(pa.array(at[far])).cast(pa.binary()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(seen, pa.int64()), pa.array(base, pa.float64()), pa.array(scores, pa.float64()), pa.array(beyond, pa.list_(pa.binary()))],
+                [batch.column(0), batch.column(1), pa.array(n), pa.array(n - n_far), pa.array(np.add.reduceat(known[ids], starts[:-1])), pa.array(scores), beyond],
                 [x.split()[0] for x in SCORED.split(", ")],
             )
 

@@ -210,3 +210,61 @@ def test_language_model_beats_counts_on_the_sample_tables(spark):
     got = maxent_lm.score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").collect()
     tokens = sum(r["n_tokens"] for r in got)
     assert sum(r["score"] - r["base_score"] for r in got) >= 0.15 * tokens > 0
+
+
+def _small_model():
+    import numpy as np
+
+    words = [b"", *(b"w%d" % i for i in range(200))]
+    return maxent_lm.Model([(w, 300 - i, i % 3) for i, w in enumerate(words)], 50_000, 300), words, np.random.default_rng(5)
+
+
+def test_language_model_steps_move_only_what_has_a_gradient():
+    """Against AdaGrad on whole tables; a small batch must not cost whole tables."""
+    import tracemalloc
+
+    import numpy as np
+
+    model, words, rng = _small_model()
+    ids, f = model.read([words[i] for i in rng.zipf(1.3, 600) % len(words)])
+    shape, blocks = model.row.shape, model.pair.size // maxent_lm.CLASS
+    row, row_sum, pair, pair_sum = np.zeros(shape), np.zeros(shape), np.zeros((blocks, maxent_lm.CLASS)), np.zeros((blocks, maxent_lm.CLASS))
+    got = np.zeros_like(model.row), np.zeros_like(model.pair)
+    for a in (0, 300):
+        i, g = ids[a : a + 300], f[a : a + 300]
+        c = model.class_of[i]
+        for table, squares, (at, z), right in (
+            (row, row_sum, model.class_logits(g), c),
+            (pair, pair_sum, *[[x[c < model.heads] for x in model.word_logits(g[c < model.heads], c[c < model.heads])]], model.place[i[c < model.heads]]),
+        ):
+            p = np.exp(z.astype(np.float64))
+            p /= p.sum(axis=1, keepdims=True)
+            p[np.arange(len(p)), right] -= 1
+            for columns in ([0], [1], [2]) if table is row else ([0, 1, 2],):
+                sums = np.zeros_like(table)
+                for k in columns:
+                    np.add.at(sums, at[:, k], p)
+                squares += sums * sums
+                table -= maxent_lm.RATE * sums / np.sqrt(squares + 1)
+        model.learn(i, g, *got)
+        assert np.allclose(model.row, row, atol=1e-4) and np.allclose(model.pair, pair.ravel(), atol=1e-4)
+    tracemalloc.start()
+    model.learn(ids[:64], f[:64], *got)
+    assert tracemalloc.get_traced_memory()[1] < model.pair.nbytes
+    tracemalloc.stop()
+
+
+def test_language_model_splits_columns_as_texts():
+    import pyarrow as pa
+
+    texts = ["", None, " ", "A b\x1fC \x85 É é x y", "\x0b\x0c lead", "trail \t\r\n", "İI", "a\x00b c", "one", "x " * 5000] * 3
+    column = pa.array(["skipped é", *texts])
+    for part in (column.slice(1), pa.array(texts, pa.large_string())):
+        starts, at, words = maxent_lm.split(part)
+        got = [[words[int(i)].as_py() for i in at[a:b]] for a, b in zip(starts, starts[1:])]
+        assert got == [maxent_lm.tokens(t) for t in texts]
+    for size in (1, 50, 9000, 1 << 20):
+        parts = list(maxent_lm.regroup(iter([pa.record_batch([column], ["t"])] * 3), 0, size))
+        assert [t for p in parts for t in p.column(0).to_pylist()] == column.to_pylist() * 3
+    one, two = (maxent_lm.hashes(pa.array(x, pa.large_binary())) for x in ([b"", b"ab", b"ba", b"x" * 300], [b"q", b"", b"ab"]))
+    assert one[:2].tolist() == two[1:].tolist() and len(set(one.tolist())) == 4
