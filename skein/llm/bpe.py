@@ -28,7 +28,13 @@ from skein.llm import common
 
 # Characters whose classes (letter, number, space, other) are the same in Python's re as in the tokenizers library.
 _PLAIN = re.compile("[\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-՗ -⁯₠-₿ぁ-ヿ一-鿿가-힣\U0001f300-\U0001f64f]*")
-_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+# The letters among them: the regular expression engine looks ranges up in a bitmap, character categories one by one.
+_LETTERS = (
+    "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u02c1\u02c6-\u02d1\u02e0-\u02e4\u02ec\u02ee\u0370-\u0374\u0376\u0377\u037a-\u037d\u037f\u0386\u0388-\u038a\u038c\u038e-\u03a1\u03a3-\u03f5\u03f7-\u0481\u048a-\u052f"
+    "\u0531-\u0556\u3041-\u3096\u309d-\u309f\u30a1-\u30fa\u30fc-\u30ff\u4e00-\u9fff\uac00-\ud7a3"
+)
+# Pre-tokens of texts of such characters alone. Words come first, as no contraction begins like one.
+_PIECE = re.compile(rf" ?[{_LETTERS}]+|'(?:[stmd]|re|ve|ll)| ?[0-9]+| ?[^\s0-9{_LETTERS}]+|\s+(?!\S)|\s+")
 #: Words kept per Python worker.
 CACHE = 150_000
 
