@@ -118,6 +118,21 @@ def test_lines_against_the_definition(spark, seed, monkeypatch):
     assert {r["th"] for r in got} == {1}
 
 
+@pytest.mark.parametrize("sample", [1, 9])
+def test_lines_by_an_order_from_few_documents(spark, sample, monkeypatch):
+    """The result is that of the definition, whatever the order of rarity has been counted on; few documents are."""
+    monkeypatch.setattr(line_dedup, "HOT", 12)
+    monkeypatch.setattr(line_dedup, "SAMPLE", sample)
+    rows = list({k: (k, t) for k, t in line_rows(6)}.values())
+    docs = made(spark, rows)
+    got = line_dedup.dedup_lines(docs).collect()
+    assert sorted([(r["doc_id"], r["text"], r["lines_removed"]) for r in got], key=KEY) == sorted(plain_lines(rows), key=KEY)
+    many = docs.withColumn("th", F.xxhash64("text"))
+    tables = [line_dedup.rarity(many, n).split("'")[1].split(",") for n in (len(rows), 1)]
+    few, whole = (sum(c != "0" for c in t) for t in tables)
+    assert few < whole
+
+
 def test_lines_of_repeated_rows_and_of_nothing(spark):
     got = line_dedup.dedup_lines(made(spark, [(1, "a b c\nd e f"), (1, "a b c\nd e f"), (2, "a b c")])).collect()
     assert Counter((r["doc_id"], r["text"]) for r in got) == {(1, "a b c\nd e f"): 2, (2, ""): 1}
