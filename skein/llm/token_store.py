@@ -32,8 +32,8 @@ SCALE_BITS = 20
 SCALE = 1 << SCALE_BITS
 LANES = 2048
 BLOCK = 1 << 18
-#: Pre-tokens that a worker keeps.
-KEPT = 350_000
+#: Pre-tokens that a worker keeps: some 150 bytes each. Fewer of them, and the rare ones go to the library again and again.
+KEPT = 700_000
 LOW = np.uint64(1 << 31)
 _S, _W, _MASK = np.uint64(SCALE_BITS), np.uint64(32), np.uint64(SCALE - 1)
 
@@ -137,34 +137,48 @@ def id_kind(path: str) -> str:
     return "H" if bpe.vocabulary(path).size <= 1 << 16 else "I"
 
 
+TOKENS = "doc_id long, ids binary, counts binary"
+
+
 def tokenize(docs: DataFrame, path: str, end: int = 0) -> DataFrame:
-    """(doc_id, ids): ids of each text and the end id, as id_kind() packs them."""
+    """(doc_id, ids, counts): ids of each text and the end id, as id_kind() packs them; for each task one row more, with only the 64-bit counts of its ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, tail = _encoder(path), array(id_kind(path), [end]).tobytes()
+        kind = id_kind(path)
+        encoder, tail, total = _encoder(path), array(kind, [end]).tobytes(), np.zeros(1, dtype=np.int64)
         for batch in batches:
             ids = []
             for part in bpe.slices([t or "" for t in batch.column(1).to_pylist()], 1_000_000):
                 ids += [x + tail for x in encoder.encode(part)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+                total = _add(total, np.bincount(np.frombuffer(b"".join(ids[-len(part) :]), dtype=kind)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())], ["doc_id", "ids", "counts"])
+        if total.any():
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.tobytes()], pa.binary())], ["doc_id", "ids", "counts"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(common.tidy(run), TOKENS)
+
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(common.tidy(run), "doc_id long, ids binary")
+def _add(total: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """The sum of counts by id, as long as the longer of both."""
+    if len(more) > len(total):
+        total = np.pad(total, (0, len(more) - len(total)))
+    total[: len(more)] += more
+    return total
 
 
-def count_ids(tokens: DataFrame, kind: str) -> DataFrame:
-    """(token, n) over all documents: summed per task before the shuffle."""
+def count_ids(tokens: DataFrame) -> DataFrame:
+    """(token, n) over all documents: tokenize() has counted them by task, here they are summed per task before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1, dtype=np.int64)
         for batch in batches:
-            got = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=kind))
-            if len(got) > len(total):
-                total = np.pad(total, (0, len(got) - len(total)))
-            total[: len(got)] += got
+            for counts in batch.column(0):
+                total = _add(total, np.frombuffer(counts.as_py(), dtype=np.int64))
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["token", "n"])
 
-    return tokens.select("ids").mapInArrow(common.tidy(run), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    counted = tokens.select("counts").where("counts IS NOT NULL")
+    return counted.mapInArrow(common.tidy(run), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
 BLOCKS = "shard int, block int, first_token long, n_tokens long, doc_ids array<long>, doc_tokens array<long>, payload binary, crc long"
@@ -175,9 +189,9 @@ def write_store(docs: DataFrame, vocab_path: str, path: str, end: int = 0, block
     spark = docs.sparkSession
     raw = f"{path}/raw"
     tokenize(docs, vocab_path, end).write.parquet(raw)  # else the range sampling would tokenize twice
-    tokens = spark.read.schema("doc_id long, ids binary").parquet(raw)
+    tokens = spark.read.schema(TOKENS).parquet(raw)
     kind = id_kind(vocab_path)
-    rows = count_ids(tokens, kind).collect()  # a row per vocabulary entry at most
+    rows = count_ids(tokens).collect()  # a row per vocabulary entry at most
     size = max([r["token"] for r in rows], default=0) + 1
     counts = np.zeros(size, dtype=np.int64)
     for r in rows:
@@ -211,7 +225,7 @@ def write_store(docs: DataFrame, vocab_path: str, path: str, end: int = 0, block
         if doc_ids:
             yield flush()
 
-    ordered = tokens.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
+    ordered = tokens.where("counts IS NULL").select("doc_id", "ids").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
     ordered.mapInArrow(common.tidy(run), BLOCKS).write.parquet(f"{path}/blocks")
     common.drop_path(spark, raw)
 

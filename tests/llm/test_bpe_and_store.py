@@ -1,3 +1,4 @@
+import collections
 import hashlib
 import random
 import re
@@ -66,6 +67,28 @@ def test_store_of_nothing(spark, tmp_path):
     assert token_store.read_store(spark, path).count() == 0
 
 
+def test_tokenize_counts_ids_itself(spark, library):
+    """Each text is one row, null doc_ids too; what tokenize() counts on the way is what the rows hold."""
+    rows = [(i, t) for i, t in enumerate(ODD * 3)] + [(None, None), (None, "x")]
+    tokens = token_store.tokenize(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), vocab_path(), 7).cache()
+    packed = [bytes(r["ids"]) for r in tokens.where("counts IS NULL").collect()]
+    want = np.bincount(np.frombuffer(b"".join(packed), dtype=token_store.id_kind(vocab_path())))
+    counted = {r["token"]: r["n"] for r in token_store.count_ids(tokens).collect()}
+    tokens.unpersist()
+    assert len(packed) == len(rows) and counted == {i: n for i, n in enumerate(want.tolist()) if n}
+    assert counted == dict(collections.Counter(i for _, t in rows for i in [*library.encode(t or "", add_special_tokens=False).ids, 7]))
+
+
+def test_store_keeps_rare_pieces():
+    """A worker doesn't clear its pieces at 400,000 of them, so that none goes to the library twice."""
+    encoder, calls = token_store._Encoder(vocab_path()), []
+    encoder.pieces.update((f"#{i}", b"") for i in range(400_000))
+    tokens_of = encoder.pieces.tokens_of
+    encoder.pieces.tokens_of = lambda piece: calls.append(piece) or tokens_of(piece)
+    assert encoder.encode(["rarely"]) == encoder.encode(["rarely"])
+    assert len(encoder.pieces) > 400_000 and len(calls) == 1
+
+
 @pytest.mark.parametrize("n", [0, 1, 5, 2048, 2049, 9000])
 def test_coder(n):
     r = np.random.default_rng(n)
