@@ -133,6 +133,29 @@ def test_lines_by_an_order_from_few_documents(spark, sample, monkeypatch):
     assert few < whole
 
 
+def test_postings_are_compared_without_null_checks(spark, monkeypatch, tmp_path):
+    """Token ids and written postings can't be null by type; hot tokens come with each later one of the prefix; both sides of the join read one shuffle."""
+    lines = ["b a  a c hot", "hot", " ", "x hot b hot", "hot hotter"]
+    classes = "array_repeat(cast(0 as tinyint), 262144)"
+    monkeypatch.setattr(line_dedup, "HOT", 2)
+    ids = made(spark, list(enumerate(lines))).selectExpr("doc_id", "text", f"{line_dedup.token_ids('text', classes)} AS ids")
+    assert not ids.schema["ids"].dataType.containsNull
+    assert {r["doc_id"]: len(r["ids"]) for r in ids.collect()} == {i: len(set(t.split())) for i, t in enumerate(lines)}
+    assert all(r["ids"] == sorted(r["ids"]) for r in ids.collect())
+    hot = line_dedup._class(2) << 56
+    rows = [(1, 3, 0, 0, [5, hot + 1, hot + 2, hot + 3]), (2, 1, 0, 0, [hot + 1]), (None, 9, 0, 0, [5, 6, 7])]
+    sets = spark.createDataFrame(rows, "h long, n int, b0 long, b1 long, prefix array<long>")
+    got = line_dedup.postings(sets)
+    assert not any(f.nullable for f in got.schema)
+    pair = lambda *k: sets.selectExpr(f"xxhash64({k[0]}L, {k[1]}L)").first()[0]
+    want = [(1, 0, 5), (1, 1, pair(hot + 1, hot + 2)), (1, 1, pair(hot + 1, hot + 3)), (1, 2, pair(hot + 2, hot + 3)), (2, 0, hot + 1), (0, 0, 5), (0, 1, 6)]
+    assert sorted((r["h"], r["i"], r["key"]) for r in got.collect()) == sorted(want)
+    monkeypatch.setattr(line_dedup, "HOT", 12)
+    sets.write.mode("overwrite").parquet(f"{tmp_path}/sets")
+    maybe = line_dedup.candidates(spark.read.parquet(f"{tmp_path}/sets"))
+    assert maybe.collect() == [] and "ReusedExchange" in maybe._jdf.queryExecution().executedPlan().toString()
+
+
 def test_lines_of_repeated_rows_and_of_nothing(spark):
     got = line_dedup.dedup_lines(made(spark, [(1, "a b c\nd e f"), (1, "a b c\nd e f"), (2, "a b c")])).collect()
     assert Counter((r["doc_id"], r["text"]) for r in got) == {(1, "a b c\nd e f"): 2, (2, ""): 1}
