@@ -215,79 +215,104 @@ class Model:
         """Ids and features of a whole text's words."""
         return self.read_all(np.array([0, len(words)]), np.arange(len(words)), pa.array(words, pa.large_binary()))
 
-    def class_logits(self, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def class_logits(self, f: np.ndarray, room: Room | None = None) -> tuple[np.ndarray, np.ndarray]:
         rows = (f * _M2) >> np.uint32(32 - 14)
-        return rows, _gather(self.row, rows, self.bias)
+        return rows, _gather(self.row, rows, self.bias, room or Room())
 
-    def word_logits(self, f: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def word_logits(self, f: np.ndarray, classes: np.ndarray, room: Room | None = None) -> tuple[np.ndarray, np.ndarray]:
+        room = room or Room()
         blocks = ((f ^ self.class_hash[classes][:, None]) * _M2) >> np.uint32(32 - 15)
-        return blocks, _gather(self.pair.reshape(-1, CLASS), blocks, self.word_bias[classes])
+        return blocks, _gather(self.pair.reshape(-1, CLASS), blocks, room.take("bias", self.word_bias, classes), room)
 
     def log_probs(self, ids: np.ndarray, f: np.ndarray) -> np.ndarray:
         """Natural log P of each position; for rare words that of the class alone."""
-        out = np.empty(len(ids))
+        out, room = np.empty(len(ids)), Room()
         for a in range(0, len(ids), 2048):
             i, g = ids[a : a + 2048], f[a : a + 2048]
             c = self.class_of[i]
-            got = _log_softmax_at(self.class_logits(g)[1], c)
+            got = _log_softmax_at(self.class_logits(g, room)[1], c, room)
             head = np.flatnonzero(c < self.heads)
             if len(head):
-                got[head] += _log_softmax_at(self.word_logits(g[head], c[head])[1], self.place[i[head]])
+                got[head] += _log_softmax_at(self.word_logits(g[head], c[head], room)[1], self.place[i[head]], room)
             mid = (c >= self.heads) & (c < self.rare)
             got[mid] += np.log((self.count[i[mid]] + 1) / self.mass[c[mid]])
             out[a : a + 2048] = got
         return out
 
-    def learn(self, ids: np.ndarray, f: np.ndarray, row_sum: np.ndarray, pair_sum: np.ndarray) -> None:
+    def learn(self, ids: np.ndarray, f: np.ndarray, row_sum: np.ndarray, pair_sum: np.ndarray, room: Room | None = None) -> None:
         """One AdaGrad step on a batch of positions."""
+        room = room or Room()
         c = self.class_of[ids]
-        rows, z = self.class_logits(f)
-        p = _softmax(z)
+        rows, z = self.class_logits(f, room)
+        p = _softmax(z, room)
         p[np.arange(len(ids)), c] -= 1
         for k in range(3):
-            _step(self.row, row_sum, rows[:, k], p)
+            _step(self.row, row_sum, rows[:, k], p, room)
         head = np.flatnonzero(c < self.heads)
         if len(head):
-            blocks, z = self.word_logits(f[head], c[head])
-            p = _softmax(z)
+            blocks, z = self.word_logits(f[head], c[head], room)
+            p = _softmax(z, room)
             p[np.arange(len(head)), self.place[ids[head]]] -= 1
-            _step(self.pair.reshape(-1, CLASS), pair_sum.reshape(-1, CLASS), blocks.T.ravel(), p)
+            _step(self.pair.reshape(-1, CLASS), pair_sum.reshape(-1, CLASS), blocks.T.ravel(), p, room)
 
 
-def _gather(table: np.ndarray, at: np.ndarray, bias: np.ndarray) -> np.ndarray:
+class Room:
+    """Arrays that are used again, by name: what is as large as a batch's logits goes back to the system when it is freed, and new pages cost more than the numbers in them.
+
+    An array holds until the next one of its name is asked for.
+    """
+
+    def __init__(self) -> None:
+        self.held: dict[str, np.ndarray] = {}
+
+    def empty(self, name: str, shape: tuple[int, int], dtype: np.dtype) -> np.ndarray:
+        size = shape[0] * shape[1]
+        flat = self.held.get(name)
+        if flat is None or len(flat) < size or flat.dtype != dtype:
+            flat = self.held[name] = np.empty(size, dtype=dtype)
+        return flat[:size].reshape(shape)
+
+    def take(self, name: str, table: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The table's rows at numbers within it."""
+        # numpy would take into an array of its own first, if it had to look out for other numbers
+        return table.take(at, axis=0, out=self.empty(name, (len(at), table.shape[1]), table.dtype), mode="clip")
+
+
+def _gather(table: np.ndarray, at: np.ndarray, bias: np.ndarray, room: Room) -> np.ndarray:
     """bias and the table's rows for each position's three features, added up."""
-    z = table.take(at[:, 0], axis=0)
-    z += table.take(at[:, 1], axis=0)
-    z += table.take(at[:, 2], axis=0)
+    z = room.take("z", table, at[:, 0])
+    z += room.take("more", table, at[:, 1])
+    z += room.take("more", table, at[:, 2])
     z += bias
     return z
 
 
-def _exp(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _exp(z: np.ndarray, room: Room) -> tuple[np.ndarray, np.ndarray]:
     """exp(z) and its rows' sums; where that leaves the range, z loses its rows' largest numbers first."""
+    e = room.empty("exp", z.shape, z.dtype)
     with np.errstate(over="ignore"):
-        e = np.exp(z)
+        np.exp(z, out=e)
         sums = np.einsum("ij->i", e)
     if not (sums.min() > 1e-30 and sums.max() < 1e30):
         z -= z.max(axis=1, keepdims=True)
-        e = np.exp(z)
+        np.exp(z, out=e)
         sums = np.einsum("ij->i", e)
     return e, sums
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    e, sums = _exp(z)
+def _softmax(z: np.ndarray, room: Room) -> np.ndarray:
+    e, sums = _exp(z, room)
     e /= sums[:, None]
     return e
 
 
-def _log_softmax_at(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+def _log_softmax_at(z: np.ndarray, at: np.ndarray, room: Room) -> np.ndarray:
     """Each row's log softmax at one column."""
-    _, sums = _exp(z)
+    _, sums = _exp(z, room)
     return z[np.arange(len(z)), at].astype(np.float64) - np.log(sums)
 
 
-def _sums(at: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _sums(at: np.ndarray, p: np.ndarray, room: Room) -> tuple[np.ndarray, np.ndarray]:
     """Distinct numbers in at, and the sum of p's rows for each; at may run over p's rows several times."""
     order = np.argsort(at.astype(np.uint16), kind="stable")  # radix sort; ROWS and PAIRS // CLASS numbers fit
     ordered = at[order]
@@ -295,32 +320,36 @@ def _sums(at: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = np.diff(np.append(first, len(at)))
     if len(at) > len(p):
         order %= len(p)
-    sums = p.take(order[first], axis=0)
+    sums = room.take("sums", p, order[first])
     # the second of each run, the third and so on; what long runs have beyond is summed one by one
     left = np.flatnonzero(n > 1)
     for k in range(1, 9):
         if not len(left):
             break
-        sums[left] += p.take(order[first[left] + k], axis=0)
+        some = room.take("some", sums, left)
+        some += room.take("more", p, order[first[left] + k])
+        sums[left] = some
         left = left[n[left] > k + 1]
     for i in left.tolist():
         sums[i] += p.take(order[first[i] + 9 : first[i] + n[i]], axis=0).sum(axis=0)
     return ordered[first].astype(np.intp), sums
 
 
-def _step(table: np.ndarray, squares: np.ndarray, at: np.ndarray, p: np.ndarray) -> None:
+def _step(table: np.ndarray, squares: np.ndarray, at: np.ndarray, p: np.ndarray, room: Room) -> None:
     """AdaGrad on the table's rows that have a gradient: the sum of p's rows by number in at."""
-    rows, grad = _sums(at, p)
+    rows, grad = _sums(at, p, room)
     for a in range(0, len(rows), 512):  # what fits the processor's cache
         r, g = rows[a : a + 512], grad[a : a + 512]
-        s = g * g
-        s += squares.take(r, axis=0)
+        s = np.multiply(g, g, out=room.empty("step", g.shape, g.dtype))
+        s += room.take("more", squares, r)
         squares[r] = s
         s += np.float32(1)
         np.sqrt(s, out=s)
         np.divide(g, s, out=s)
         s *= np.float32(RATE)
-        table[r] -= s
+        t = room.take("more", table, r)
+        t -= s
+        table[r] = t
 
 
 def train(docs: DataFrame, model: Model) -> None:
@@ -331,7 +360,7 @@ def train(docs: DataFrame, model: Model) -> None:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Model = shared.value
         own.row, own.pair = np.zeros_like(own.row), np.zeros_like(own.pair)
-        row_sum, pair_sum = np.zeros_like(own.row), np.zeros_like(own.pair)
+        row_sum, pair_sum, room = np.zeros_like(own.row), np.zeros_like(own.pair), Room()
         ids, f = np.empty(0, dtype=np.int64), np.empty((0, 3), dtype=np.uint32)
         for batch in regroup(batches, 0):
             starts, at, words = split(batch.column(0))
@@ -341,11 +370,11 @@ def train(docs: DataFrame, model: Model) -> None:
             begin = 0
             while (k := int(np.searchsorted(ends, begin + BATCH))) < len(ends):
                 for a in range(begin, ends[k], BATCH):
-                    own.learn(ids[a : min(a + BATCH, ends[k])], f[a : min(a + BATCH, ends[k])], row_sum, pair_sum)
+                    own.learn(ids[a : min(a + BATCH, ends[k])], f[a : min(a + BATCH, ends[k])], row_sum, pair_sum, room)
                 begin = int(ends[k])
             ids, f = ids[begin:], f[begin:]
         if len(ids):
-            own.learn(ids, f, row_sum, pair_sum)
+            own.learn(ids, f, row_sum, pair_sum, room)
         task = TaskContext.get().partitionId()
         for name, x in (("row", own.row), ("pair", own.pair)):
             flat = x.ravel().astype(np.float16)

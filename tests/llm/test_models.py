@@ -254,6 +254,29 @@ def test_language_model_steps_move_only_what_has_a_gradient():
     tracemalloc.stop()
 
 
+def test_language_model_steps_use_their_arrays_again():
+    """Steps and scores with one room are those with a room each, to the bit, and a warm step allocates little more than its numbers' order."""
+    import tracemalloc
+
+    import numpy as np
+
+    ids, f = np.random.default_rng(3).integers(0, 202, 20_000), np.random.default_rng(4).integers(0, 5000, (20_000, 3)).astype(np.uint32)
+    sizes, weights = [4096, 100, 1, 4096, 2500, 4096], []
+    for room in (maxent_lm.Room(), None):
+        model = _small_model()[0]
+        sums, at = (np.zeros_like(model.row), np.zeros_like(model.pair)), 0
+        for n in sizes:
+            tracemalloc.start()
+            model.learn(ids[at : at + n], f[at : at + n], *sums, room)
+            most = tracemalloc.get_traced_memory()[1]
+            tracemalloc.stop()
+            at += n
+        weights.append((model.row, model.pair, *sums, model.log_probs(ids, f), model.log_probs(ids[:3], f[:3])))
+        if room:
+            assert most < 1_500_000 < 2 * sum(x.nbytes for x in room.held.values())
+    assert all((a == b).all() for a, b in zip(*weights)) and (weights[0][0] != 0).any()
+
+
 def test_language_model_splits_columns_as_texts():
     import pyarrow as pa
 
