@@ -156,6 +156,28 @@ def test_postings_are_compared_without_null_checks(spark, monkeypatch, tmp_path)
     assert maybe.collect() == [] and "ReusedExchange" in maybe._jdf.queryExecution().executedPlan().toString()
 
 
+def test_tokens_are_hashed_once_and_verified_by_four_bitmaps(spark):
+    """A lambda hashes each token once; the quarters part all hashes; the bound by four bitmaps turns no match down, and spares most others."""
+    assert line_dedup.token_ids("text", "c").count("xxhash64(t)") == 1 and "t -> xxhash64(t)" in line_dedup.token_ids("text", "c")
+    edges = [-(2**63), -(2**62) - 1, -(2**62), -1, 0, 2**62 - 1, 2**62, 2**63 - 1]
+    hashes = spark.createDataFrame([(x,) for x in edges], "x long")
+    assert all(sum(r) == 1 for r in hashes.selectExpr(*[f"int({q})" for q in line_dedup.QUARTERS]).collect())
+    r = random.Random(11)
+    base, texts = [f"w{k}" for k in range(60)], []
+    for i in range(40):
+        n = r.randrange(1, 60)
+        texts += [" ".join(base[:n]), " ".join(base[: n - n // 10] + [f"v{i}x{k}" for k in range(r.randrange(1 + n // 10))])]
+    docs = made(spark, list(enumerate(texts))).withColumn("th", F.xxhash64("text"))
+    wanted = line_dedup.lines_of(docs).select("h").distinct()
+    whole = line_dedup.whole_sets(docs, wanted)
+    assert len(whole._jdf.queryExecution().optimizedPlan().toString()) < 2 * line_dedup.BUCKETS  # it holds no rarity table
+    sets = whole.select("h", "hashes", F.size("hashes").alias("n"), *line_dedup.bitmaps("hashes", range(2)), "b2", "b3").cache()
+    pairs = sets.alias("a").join(sets.alias("b"), F.expr("a.h < b.h"))
+    got = pairs.selectExpr("9 * size(array_intersect(a.hashes, b.hashes)) >= 4 * (a.n + b.n) AS match", f"{line_dedup.STILL_MAY} AS may").groupBy("match", "may").count().collect()
+    count = {(x["match"], x["may"]): x["count"] for x in got}
+    assert count[True, True] > 40 and (True, False) not in count and count[False, False] > 2 * count[False, True]
+
+
 def test_lines_of_repeated_rows_and_of_nothing(spark):
     got = line_dedup.dedup_lines(made(spark, [(1, "a b c\nd e f"), (1, "a b c\nd e f"), (2, "a b c")])).collect()
     assert Counter((r["doc_id"], r["text"]) for r in got) == {(1, "a b c\nd e f"): 2, (2, ""): 1}
