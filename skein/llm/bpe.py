@@ -37,6 +37,64 @@ _LETTERS = (
 _PIECE = re.compile(rf" ?[{_LETTERS}]+|'(?:[stmd]|re|ve|ll)| ?[0-9]+| ?[^\s0-9{_LETTERS}]+|\s+(?!\S)|\s+")
 #: Words kept per Python worker.
 CACHE = 150_000
+# Kinds of characters for piece_starts(); the last are characters that _PLAIN lacks and white space beyond ASCII.
+_SPACE, _LETTER, _DIGIT, _SIGN, _ODD = range(5)
+
+
+@functools.lru_cache(maxsize=1)
+def _kinds() -> np.ndarray:
+    """The kind of every code point below 0x20000 by the patterns above; all further ones are odd."""
+    every = "".join(map(chr, range(0x20000)))
+    kinds = np.full(len(every), _ODD, dtype=np.uint8)
+    for kind, pattern in ((_SIGN, _PLAIN), (_ODD, re.compile(r"\s+")), (_LETTER, re.compile(f"[{_LETTERS}]+")), (_DIGIT, re.compile("[0-9]+")), (_SPACE, re.compile(r"[\t-\r ]+"))):
+        for m in pattern.finditer(every):
+            kinds[m.start() : m.end()] = kind
+    return kinds
+
+
+def piece_starts(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pre-tokens of texts that lie side by side as UTF-8: the bytes that they begin at, and the bytes of odd characters.
+
+    starts: the first byte of each text. A text with an odd character is left to pieces(); all others are cut as _PIECE does.
+    """
+    if not len(data):
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+    of = _kinds()
+    kinds = of[:256].take(data)
+    for least, size in ((0xC0, 2), (0xE0, 3), (0xF0, 4)):
+        # lead bytes; a longer character is read again as what it is
+        lead = np.flatnonzero(data >= least) if size == 2 else lead[data[lead] >= least]
+        if not len(lead):
+            break
+        code = data[lead].astype(np.int32) & (0x7F >> size)
+        for k in range(1, size):
+            code = code << 6 | (data[lead + k] & 0x3F)
+        kind = of.take(code, mode="clip")
+        for k in range(size):
+            kinds[lead + k] = kind
+    n, starts = len(data), starts[starts < len(data)]
+    # the end is a start too, and two more places are out of a contraction's way
+    begins, first = np.zeros(n + 3, dtype=bool), np.zeros(n + 3, dtype=bool)
+    first[starts] = first[n:] = True
+    np.not_equal(kinds[1:], kinds[:-1], out=begins[1:n])
+    begins |= first
+    # the last of a run of white space leaves it, if more of the text follows; a plain space then goes with what follows
+    blank = kinds == _SPACE
+    last = blank[:-1] > blank[1:]
+    last &= ~first[1:n]
+    begins[: n - 1] |= last
+    last &= data[:-1] == 32
+    begins[1:n] &= ~last
+    # contractions: a single sign without a space before it
+    at = np.flatnonzero(data == 39)
+    at = at[begins[at] & ~first[at + 1]]
+    one, two = data[np.minimum(at + 1, n - 1)], data[np.minimum(at + 2, n - 1)]
+    long = ((one == 114) | (one == 118)) & (two == 101) | (one == 108) & (two == 108)  # re, ve, ll
+    long &= ~first[at + 2]
+    short = (one == 115) | (one == 116) | (one == 109) | (one == 100)  # s, t, m, d
+    begins[at[long | short] + 1] = False
+    begins[at[short] + 2] = begins[at[long] + 3] = True
+    return np.flatnonzero(begins[:n]), np.flatnonzero(kinds == _ODD)
 
 
 def byte_alphabet() -> list[str]:

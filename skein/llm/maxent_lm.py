@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm import common
+from skein.llm.common import regroup
 
 HEAD = 4096
 CLASS = 64
@@ -55,25 +56,6 @@ def tokens(text: str | None) -> list[bytes]:
     return [*(text or "").encode().lower().split(), END]
 
 
-def regroup(batches: Iterator[pa.RecordBatch], column: int, size: int = PART) -> Iterator[pa.RecordBatch]:
-    """The same rows in the same order, in batches of about size bytes of text: short ones are put together, long ones cut."""
-    held, n = [], 0
-    for batch in batches:
-        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-        a = 0
-        while a < batch.num_rows:
-            before = ends[a - 1] if a else 0
-            b = max(a + 1, int(np.searchsorted(ends, before + size - n, side="right")))
-            held.append(batch.slice(a, b - a))
-            n += ends[b - 1] - before
-            a = b
-            if n >= size or a < batch.num_rows:
-                yield pa.concat_batches(held)
-                held, n = [], 0
-    if held:
-        yield pa.concat_batches(held)
-
-
 def split(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """tokens() of many texts: where each text's tokens start (and the last ones end), each token's number, and the distinct words by number."""
     # take() copies: Arrow's string functions go wrong on the offsets of a slice
@@ -362,7 +344,7 @@ def train(docs: DataFrame, model: Model) -> None:
         own.row, own.pair = np.zeros_like(own.row), np.zeros_like(own.pair)
         row_sum, pair_sum, room = np.zeros_like(own.row), np.zeros_like(own.pair), Room()
         ids, f = np.empty(0, dtype=np.int64), np.empty((0, 3), dtype=np.uint32)
-        for batch in regroup(batches, 0):
+        for batch in regroup(batches, 0, PART):
             starts, at, words = split(batch.column(0))
             i, g = own.read_all(starts, at, words)
             ends = len(ids) + starts[1:]
@@ -444,7 +426,7 @@ def score(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Model = shared.value
         known = np.log10(np.concatenate([own.count + 1, [1.0]]))
-        for batch in regroup(batches, 2):
+        for batch in regroup(batches, 2, PART):
             starts, at, words = split(batch.column(2))
             ids, f = own.read_all(starts, at, words)
             far = ids == len(own.count)

@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +35,8 @@ LANES = 2048
 BLOCK = 1 << 18
 #: Pre-tokens that a worker keeps: some 150 bytes each. Fewer of them, and the rare ones go to the library again and again.
 KEPT = 700_000
+#: Bytes of text that are cut into pre-tokens at once (a longer text is still whole).
+PART = 4 << 20
 LOW = np.uint64(1 << 31)
 _S, _W, _MASK = np.uint64(SCALE_BITS), np.uint64(32), np.uint64(SCALE - 1)
 
@@ -126,6 +129,53 @@ class _Encoder:
         of = self.pieces.__getitem__
         return [b"".join(map(of, self.vocab.pieces(t))) for t in texts]
 
+    def encode_all(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts without nulls, the end id after each, and where each text's ids end. Arrow numbers the pre-tokens, so that each distinct one is looked up once."""
+        if len(self.pieces) > KEPT:
+            self.pieces.clear()
+        # take() copies, so that the texts lie side by side from the first byte on
+        texts = texts.take(pa.array(np.arange(len(texts)))).cast(pa.large_string())
+        _, offsets, data = texts.buffers()
+        bounds = np.frombuffer(offsets, dtype=np.int64, count=len(texts) + 1)
+        flat = np.frombuffer(data, dtype=np.uint8)[: bounds[-1]] if bounds[-1] else np.empty(0, dtype=np.uint8)
+        begins, odd = bpe.piece_starts(flat, bounds[:-1])
+        apart = pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False)
+        apart[np.searchsorted(bounds, odd, side="right") - 1] = True
+        if apart.any():
+            return self._with_others(texts, apart, end)
+        # an empty piece at each text's end stands for the end id
+        ends = np.searchsorted(begins, bounds[1:]) + np.arange(len(texts))
+        cuts = np.empty(len(begins) + len(texts) + 1, dtype=np.int64)
+        own = np.ones(len(cuts), dtype=bool)
+        own[ends], own[-1] = False, False
+        cuts[own], cuts[ends], cuts[-1] = begins, bounds[1:], bounds[-1]
+        pieces = pa.Array.from_buffers(pa.large_string(), len(cuts) - 1, [None, pa.py_buffer(cuts), data]).dictionary_encode()
+        kind = self.pieces.kind
+        tail = array(kind, [end]).tobytes()
+        packed = [self.pieces[p] if p else tail for p in pieces.dictionary.to_numpy(zero_copy_only=False).tolist()]
+        known = np.frombuffer(b"".join(packed), dtype=kind)
+        size = np.fromiter(map(len, packed), dtype=np.int64, count=len(packed)) // len(tail)
+        start = np.cumsum(size) - size
+        at = pieces.indices.to_numpy()
+        size = size[at]
+        stops = np.cumsum(size)
+        ids = known[np.repeat(start[at] - (stops - size), size) + np.arange(stops[-1])]
+        return ids, stops[ends]
+
+    def _with_others(self, texts: pa.Array, apart: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """encode_all() where some texts are to be cut one by one."""
+        kind = self.pieces.kind
+        tail = array(kind, [end]).tobytes()
+        out: list[np.ndarray] = [np.empty(0, dtype=kind)] * len(texts)
+        rest = np.flatnonzero(~apart)
+        if len(rest):
+            ids, ends = self.encode_all(texts.take(pa.array(rest)), end)
+            for i, part in zip(rest.tolist(), np.split(ids, ends[:-1])):
+                out[i] = part
+        for i in np.flatnonzero(apart).tolist():
+            out[i] = np.frombuffer(self.encode([texts[i].as_py()])[0] + tail, dtype=kind)
+        return np.concatenate(out), np.cumsum([len(x) for x in out])
+
 
 @functools.lru_cache(maxsize=2)
 def _encoder(path: str) -> _Encoder:
@@ -144,14 +194,13 @@ def tokenize(docs: DataFrame, path: str, end: int = 0) -> DataFrame:
     """(doc_id, ids, counts): ids of each text and the end id, as id_kind() packs them; for each task one row more, with only the 64-bit counts of its ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = id_kind(path)
-        encoder, tail, total = _encoder(path), array(kind, [end]).tobytes(), np.zeros(1, dtype=np.int64)
-        for batch in batches:
-            ids = []
-            for part in bpe.slices([t or "" for t in batch.column(1).to_pylist()], 1_000_000):
-                ids += [x + tail for x in encoder.encode(part)]
-                total = _add(total, np.bincount(np.frombuffer(b"".join(ids[-len(part) :]), dtype=kind)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())], ["doc_id", "ids", "counts"])
+        encoder, total = _encoder(path), np.zeros(1, dtype=np.int64)
+        for batch in common.regroup(batches, 1, PART):
+            ids, ends = encoder.encode_all(pc.fill_null(batch.column(1), ""), end)
+            total = _add(total, np.bincount(ids))
+            offsets = np.concatenate([[0], ends]).astype(np.int64) * ids.itemsize
+            packed = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), packed.cast(pa.binary()), pa.nulls(len(ends), pa.binary())], ["doc_id", "ids", "counts"])
         if total.any():
             yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.tobytes()], pa.binary())], ["doc_id", "ids", "counts"])
 
