@@ -40,6 +40,8 @@ ROWS = 1 << 14
 PAIRS = 1 << 21
 #: Positions of a gradient update.
 BATCH = 4096
+#: Weights up to this number have powers of which no three multiply to what 32-bit numbers can't hold.
+TAME = 25
 #: Bytes of text that are read at once (a longer text is still whole), and that are counted at once.
 PART, COUNTED = 8 << 20, 16 << 20
 RATE = 0.25
@@ -47,6 +49,8 @@ END = b""
 _M1, _M2 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77)
 _BYTES = np.arange(1, 257, dtype=np.uint32) * _M1
 _BYTES = (_BYTES ^ (_BYTES >> np.uint32(13))) * _M2
+#: Where each feature's rows begin, side by side.
+_TURNS = np.arange(4, dtype=np.uint32) * np.uint32(ROWS)
 #: Stand for the two words before a text.
 _START = np.array([7, 5], dtype=np.uint32)
 
@@ -91,7 +95,7 @@ def held_out() -> Column:
 
 
 def count_words(docs: DataFrame) -> DataFrame:
-    """(word, n, kinds): counts over all rows, also by kind of text (a hash of its commonest word); summed per task first."""
+    """(word, n, kind): counts over all rows, and the kind of text (a hash of its commonest word) with most of them, the first of such; summed per task first."""
 
     def count(texts: pa.Array) -> pa.RecordBatch:
         starts, at, words = split(texts)
@@ -116,8 +120,10 @@ def count_words(docs: DataFrame) -> DataFrame:
             yield count(batch.column(0))
 
     rows = docs.select("text").mapInArrow(common.tidy(run), "word binary, kind int, n long")
-    kinds = [F.sum(F.expr(f"if(kind = {k}, n, 0)")).alias(f"k{k}") for k in range(KINDS)]
-    return rows.groupBy("word").agg(F.sum("n").alias("n"), *kinds)
+    sums = rows.groupBy("word").agg(*[F.sum(F.expr(f"if(kind = {k}, n, 0)")).alias(f"k{k}") for k in range(KINDS)])
+    kinds = [f"k{k}" for k in range(KINDS)]
+    kind = F.expr(f"cast(array_position(array({', '.join(kinds)}), greatest({', '.join(kinds)})) - 1 as int)")
+    return sums.select("word", F.expr(" + ".join(kinds)).alias("n"), kind.alias("kind"))
 
 
 _KINDS_OF = [pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
@@ -197,25 +203,42 @@ class Model:
         """Ids and features of a whole text's words."""
         return self.read_all(np.array([0, len(words)]), np.arange(len(words)), pa.array(words, pa.large_binary()))
 
+    @staticmethod
+    def class_rows(f: np.ndarray) -> np.ndarray:
+        return (f * _M2) >> np.uint32(32 - 14)
+
+    def word_blocks(self, f: np.ndarray, classes: np.ndarray) -> np.ndarray:
+        return ((f ^ self.class_hash[classes][:, None]) * _M2) >> np.uint32(32 - 15)
+
     def class_logits(self, f: np.ndarray, room: Room | None = None) -> tuple[np.ndarray, np.ndarray]:
-        rows = (f * _M2) >> np.uint32(32 - 14)
+        rows = self.class_rows(f)
         return rows, _gather(self.row, rows, self.bias, room or Room())
 
     def word_logits(self, f: np.ndarray, classes: np.ndarray, room: Room | None = None) -> tuple[np.ndarray, np.ndarray]:
         room = room or Room()
-        blocks = ((f ^ self.class_hash[classes][:, None]) * _M2) >> np.uint32(32 - 15)
+        blocks = self.word_blocks(f, classes)
         return blocks, _gather(self.pair.reshape(-1, CLASS), blocks, room.take("bias", self.word_bias, classes), room)
 
     def log_probs(self, ids: np.ndarray, f: np.ndarray) -> np.ndarray:
         """Natural log P of each position; for rare words that of the class alone."""
         out, room = np.empty(len(ids)), Room()
+        # a softmax is made of products of powers: those of the tables are taken once, not for each position
+        tame = max(-self.row.min(), self.row.max(), -self.pair.min(), self.pair.max()) <= TAME
+        if tame:
+            row, pair, bias, word_bias = np.exp(self.row), np.exp(self.pair).reshape(-1, CLASS), np.exp(self.bias), np.exp(self.word_bias)
         for a in range(0, len(ids), 2048):
             i, g = ids[a : a + 2048], f[a : a + 2048]
             c = self.class_of[i]
-            got = _log_softmax_at(self.class_logits(g, room)[1], c, room)
+            got, odd = _log_share(row, self.class_rows(g), bias, c, room) if tame else (np.empty(len(i)), np.arange(len(i)))
+            if len(odd):
+                got[odd] = _log_softmax_at(self.class_logits(g[odd], room)[1], c[odd], room)
             head = np.flatnonzero(c < self.heads)
             if len(head):
-                got[head] += _log_softmax_at(self.word_logits(g[head], c[head], room)[1], self.place[i[head]], room)
+                h, d, place = g[head], c[head], self.place[i[head]]
+                more, odd = _log_share(pair, self.word_blocks(h, d), room.take("bias", word_bias, d), place, room) if tame else (np.empty(len(h)), np.arange(len(h)))
+                if len(odd):
+                    more[odd] = _log_softmax_at(self.word_logits(h[odd], d[odd], room)[1], place[odd], room)
+                got[head] += more
             mid = (c >= self.heads) & (c < self.rare)
             got[mid] += np.log((self.count[i[mid]] + 1) / self.mass[c[mid]])
             out[a : a + 2048] = got
@@ -228,14 +251,17 @@ class Model:
         rows, z = self.class_logits(f, room)
         p = _softmax(z, room)
         p[np.arange(len(ids)), c] -= 1
-        for k in range(3):
-            _step(self.row, row_sum, rows[:, k], p, room)
+        # the features' sums come at once, their steps one after another
+        keys, sums = _sums((rows + _TURNS[:-1]).T.ravel(), p, room)
+        cuts = np.searchsorted(keys, _TURNS)
+        for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            _step(self.row, row_sum, keys[a:b] - k * ROWS, sums[a:b], room)
         head = np.flatnonzero(c < self.heads)
         if len(head):
             blocks, z = self.word_logits(f[head], c[head], room)
             p = _softmax(z, room)
             p[np.arange(len(head)), self.place[ids[head]]] -= 1
-            _step(self.pair.reshape(-1, CLASS), pair_sum.reshape(-1, CLASS), blocks.T.ravel(), p, room)
+            _step(self.pair.reshape(-1, CLASS), pair_sum.reshape(-1, CLASS), *_sums(blocks.T.ravel(), p, room), room)
 
 
 class Room:
@@ -251,7 +277,9 @@ class Room:
         size = shape[0] * shape[1]
         flat = self.held.get(name)
         if flat is None or len(flat) < size or flat.dtype != dtype:
-            flat = self.held[name] = np.empty(size, dtype=dtype)
+            # from a multiple of 64 bytes on: vector instructions on others take two cache lines each
+            room = np.empty(size * dtype.itemsize + 64, dtype=np.uint8)
+            flat = self.held[name] = room[-room.ctypes.data % 64 :][: size * dtype.itemsize].view(dtype)
         return flat[:size].reshape(shape)
 
     def take(self, name: str, table: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -288,20 +316,34 @@ def _softmax(z: np.ndarray, room: Room) -> np.ndarray:
     return e
 
 
+def _log_share(powers: np.ndarray, at: np.ndarray, bias: np.ndarray, column: np.ndarray, room: Room) -> tuple[np.ndarray, np.ndarray]:
+    """Each position's log softmax at one column, from exp(table) and exp(bias), and where that is too small for it. bias is one row for all or a row each."""
+    e = room.take("z", powers, at[:, 0])
+    e *= room.take("more", powers, at[:, 1])
+    e *= room.take("more", powers, at[:, 2])
+    each = np.arange(len(e))
+    with np.errstate(over="ignore", under="ignore", divide="ignore", invalid="ignore"):
+        own = e[each, column] * (bias[column] if bias.ndim == 1 else bias[each, column])
+        sums = np.einsum("ij,j->i" if bias.ndim == 1 else "ij,ij->i", e, bias)
+        return np.log(own).astype(np.float64) - np.log(sums), np.flatnonzero(~((own > 1e-30) & (sums < 1e30)))
+
+
 def _log_softmax_at(z: np.ndarray, at: np.ndarray, room: Room) -> np.ndarray:
     """Each row's log softmax at one column."""
+    z -= z.max(axis=1, keepdims=True)
     _, sums = _exp(z, room)
     return z[np.arange(len(z)), at].astype(np.float64) - np.log(sums)
 
 
 def _sums(at: np.ndarray, p: np.ndarray, room: Room) -> tuple[np.ndarray, np.ndarray]:
     """Distinct numbers in at, and the sum of p's rows for each; at may run over p's rows several times."""
-    order = np.argsort(at.astype(np.uint16), kind="stable")  # radix sort; ROWS and PAIRS // CLASS numbers fit
+    order = np.argsort(at.astype(np.uint16), kind="stable")  # radix sort; 3 * ROWS and PAIRS // CLASS numbers fit
     ordered = at[order]
     first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
     n = np.diff(np.append(first, len(at)))
     if len(at) > len(p):
         order %= len(p)
+    room.empty("sums", (len(at), p.shape[1]), p.dtype)  # its largest size at once
     sums = room.take("sums", p, order[first])
     # the second of each run, the third and so on; what long runs have beyond is summed one by one
     left = np.flatnonzero(n > 1)
@@ -317,9 +359,8 @@ def _sums(at: np.ndarray, p: np.ndarray, room: Room) -> tuple[np.ndarray, np.nda
     return ordered[first].astype(np.intp), sums
 
 
-def _step(table: np.ndarray, squares: np.ndarray, at: np.ndarray, p: np.ndarray, room: Room) -> None:
-    """AdaGrad on the table's rows that have a gradient: the sum of p's rows by number in at."""
-    rows, grad = _sums(at, p, room)
+def _step(table: np.ndarray, squares: np.ndarray, rows: np.ndarray, grad: np.ndarray, room: Room) -> None:
+    """AdaGrad on the table's rows that have a gradient; no row may come twice."""
     for a in range(0, len(rows), 512):  # what fits the processor's cache
         r, g = rows[a : a + 512], grad[a : a + 512]
         s = np.multiply(g, g, out=room.empty("step", g.shape, g.dtype))
@@ -402,9 +443,7 @@ def _frequent(counts: DataFrame) -> list[tuple[bytes, int, int]]:
         least = n
     if least is None:
         return []
-    kinds = ", ".join(f"k{k}" for k in range(KINDS))
-    kind = F.expr(f"cast(array_position(array({kinds}), greatest({kinds})) - 1 as int)")
-    rows = counts.where(F.col("n") >= least).select("word", "n", kind.alias("kind")).collect()  # KNOWN rows at most
+    rows = counts.where(F.col("n") >= least).select("word", "n", "kind").collect()  # KNOWN rows at most
     return sorted(((bytes(w), n, k) for w, n, k in rows), key=lambda r: (-r[1], r[0]))
 
 
@@ -442,6 +481,10 @@ def score(docs: DataFrame) -> DataFrame:
     scored = common.cut(docs.mapInArrow(common.tidy(run), SCORED).withColumn("row", F.monotonically_increasing_id()), "scored")
     far = scored.select("row", F.explode("beyond").alias("word")).join(counts.select("word", "n"), "word")
     far = far.groupBy("row").agg(F.sum(F.log10(F.col("n") + 1)).alias("more"), F.count(F.lit(1)).alias("n_far"))
+    # partitions of bounded size are joined by hashes and not sorted; Spark decides that when it has seen their sizes
+    with common.setting(docs.sparkSession, "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "64m"):
+        far = common.cut(far, "far")
+    common.drop_cut(counts)
     out = scored.drop("beyond").join(far, "row", "left")
     more = F.coalesce("more", F.lit(0.0))
     return out.select(

@@ -291,3 +291,57 @@ def test_language_model_splits_columns_as_texts():
         assert [t for p in parts for t in p.column(0).to_pylist()] == column.to_pylist() * 3
     one, two = (maxent_lm.hashes(pa.array(x, pa.large_binary())) for x in ([b"", b"ab", b"ba", b"x" * 300], [b"q", b"", b"ab"]))
     assert one[:2].tolist() == two[1:].tolist() and len(set(one.tolist())) == 4
+
+
+def test_language_model_step_sums_all_features_at_once(monkeypatch):
+    """One pass over a batch's gradients for the classes and one for the words, not one a feature; scratch arrays begin where cache lines do."""
+    import numpy as np
+
+    model, _, calls = *_small_model()[:2], []
+    ids, f = np.random.default_rng(5).integers(0, 202, 3000), np.random.default_rng(6).integers(0, 5000, (3000, 3)).astype(np.uint32)
+    sums, room = maxent_lm._sums, maxent_lm.Room()
+    monkeypatch.setattr(maxent_lm, "_sums", lambda *a: calls.append(1) or sums(*a))
+    model.learn(ids, f, np.zeros_like(model.row), np.zeros_like(model.pair), room)
+    assert len(calls) == 2 and all(x.ctypes.data % 64 == 0 for x in room.held.values())
+
+
+def test_language_model_scores_by_powers_of_its_tables():
+    """Against a softmax in doubles, with ordinary weights and with such that products of powers leave the range of numbers."""
+    import numpy as np
+
+    model, rng = _small_model()[0], np.random.default_rng(7)
+    ids, f = rng.integers(0, len(model.count) + 1, 3000), rng.integers(0, 5000, (3000, 3)).astype(np.uint32)
+    for scale in (0.5, 4, 60, 400):
+        model.row[:], model.pair[:] = (rng.normal(0, scale, x.shape).clip(-25, 25 if scale < 9 else None) for x in (model.row, model.pair))
+        c = model.class_of[ids]
+        head, mid = np.flatnonzero(c < model.heads), np.flatnonzero((c >= model.heads) & (c < model.rare))
+
+        def at(z, column):
+            z = z.astype(np.float64)
+            z -= z.max(axis=1, keepdims=True)
+            return z[np.arange(len(z)), column] - np.log(np.exp(z).sum(axis=1))
+
+        want = at(model.class_logits(f)[1], c)
+        want[head] += at(model.word_logits(f[head], c[head])[1], model.place[ids[head]])
+        want[mid] += np.log((model.count[ids[mid]] + 1) / model.mass[c[mid]])
+        got = model.log_probs(ids, f)
+        assert np.isfinite(got).all() and np.allclose(got, want, rtol=1e-5, atol=1e-4)
+        if scale == 0.5:
+            # no position's own powers
+            exp, calls = np.exp, []
+            np.exp = lambda x, *a, **k: calls.append(np.size(x)) or exp(x, *a, **k)
+            try:
+                model.log_probs(ids, f)
+            finally:
+                np.exp = exp
+            assert sum(calls) == model.row.size + model.pair.size + model.bias.size + model.word_bias.size
+
+
+def test_language_model_removes_its_counts(spark):
+    from skein.llm import common
+
+    docs = spark.createDataFrame([(i, f"a b c w{i} w{i % 7} again") for i in range(200)], "doc_id long, text string")
+    with common.leaving(spark):
+        rows = maxent_lm.score(docs)
+        assert not [p for p in common._LEFT if "skein-counts" in p]
+        assert rows.count() == 200 and rows.where("n_known < 5").count() == rows.where("NOT held_out AND n_known < n_tokens").count() == 0
