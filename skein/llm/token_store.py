@@ -39,6 +39,7 @@ KEPT = 700_000
 PART = 4 << 20
 LOW = np.uint64(1 << 31)
 _S, _W, _MASK = np.uint64(SCALE_BITS), np.uint64(32), np.uint64(SCALE - 1)
+_TOP = np.uint64(63 - SCALE_BITS)
 
 
 def scale_counts(counts: np.ndarray) -> np.ndarray:
@@ -60,38 +61,45 @@ class Coder:
     def __init__(self, freq: np.ndarray):
         self.freq = freq.astype(np.uint64)
         self.start = (np.cumsum(freq) - freq).astype(np.uint64)
-        self.limit = self.freq << np.uint64(63 - SCALE_BITS)
         self.slot = np.repeat(np.arange(len(freq), dtype=np.uint32), freq)
 
     def encode(self, ids: np.ndarray) -> bytes:
         """Lane j codes ids j, j + LANES, ...; rows go in last-to-first, so that they come out in order."""
         state = np.full(LANES, LOW, dtype=np.uint64)
         words: list[np.ndarray] = []
-        freq, start, limit = self.freq[ids], self.start[ids], self.limit[ids]
+        at_once = ids.astype(np.intp)
+        freq, start = self.freq.take(at_once), self.start.take(at_once)
+        rest = np.uint64(SCALE) - freq
         for at in range((len(ids) - 1) // LANES * LANES, -1, -LANES):
-            f, c, top = freq[at : at + LANES], start[at : at + LANES], limit[at : at + LANES]
+            f = freq[at : at + LANES]
             x = state[: len(f)]
-            full = x >= top
-            words.append(x[full].astype(np.uint32))  # the low half
-            x = np.where(full, x >> _W, x)
+            full = np.flatnonzero(x >> _TOP >= f)
+            out = x.take(full)
+            words.append(out.astype(np.uint32))  # the low half
+            x[full] = out >> _W
+            # the quotient moves up, the rest stays: x + quotient * (SCALE - f) + start
             q = x // f
-            state[: len(f)] = (q << _S) + (x - q * f) + c
+            q *= rest[at : at + LANES]
+            x += q
+            x += start[at : at + LANES]
         return state.tobytes() + (np.concatenate(words[::-1]).tobytes() if words else b"")
 
     def decode(self, payload: bytes, n: int) -> np.ndarray:
         state = np.frombuffer(payload, dtype=np.uint64, count=LANES).copy()
-        words = np.frombuffer(payload, dtype=np.uint32, offset=LANES * 8).astype(np.uint64)
+        words = np.frombuffer(payload, dtype=np.uint32, offset=LANES * 8)
         out, used = np.empty(n, dtype=np.uint32), 0
         for at in range(0, n, LANES):
             x = state[: min(LANES, n - at)]
             low = x & _MASK
-            s = self.slot[low]
-            out[at : at + len(s)] = s
-            x = self.freq[s] * (x >> _S) + low - self.start[s]
+            # numbers below SCALE, so nothing is clipped; numpy would take into an array of its own first otherwise
+            s = self.slot.take(low.view(np.int64), out=out[at : at + len(x)], mode="clip").astype(np.intp)
+            x >>= _S
+            x *= self.freq.take(s)
+            low -= self.start.take(s)
+            x += low
             empty = np.flatnonzero(x < LOW)
-            x[empty] = (x[empty] << _W) | words[used : used + len(empty)]
+            x[empty] = (x.take(empty) << _W) | words[used : used + len(empty)]
             used += len(empty)
-            state[: len(x)] = x
         if used != len(words) or (state != LOW).any():
             raise ValueError("corrupt block: the coders don't end where they began")
         return out
